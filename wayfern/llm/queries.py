@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lang_id, length_stats, pii, secret_scan, token_store
+from . import bpe, decontam, lang_id, length_stats, line_dedup, near_dup, pii, secret_scan, token_store, topk
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -21,6 +21,10 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string")) % 5 == 0
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
 
@@ -36,6 +40,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -44,6 +52,17 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their number of lines, the deleted ones and the text that is left."""
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    n_removed = F.coalesce(F.size("gone"), F.lit(0))
+    return found.select("doc_id", n_removed.cast("long").alias("n_removed"), F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed_lines"), "text")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
@@ -53,4 +72,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_topk": """
+            WITH v AS (
+                SELECT vec_id, list_transform(embedding, x -> floor(1024 * CAST(x AS DOUBLE))) AS v
+                FROM embeddings
+                WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
+            ), s AS (
+                SELECT q.vec_id AS query_id, e.vec_id, CAST(list_inner_product(q.v, e.v) AS BIGINT) AS score
+                FROM v q JOIN v e ON q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0
+            ), r AS (
+                SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+            )
+            SELECT * FROM r WHERE rank <= 10""",
+    }
