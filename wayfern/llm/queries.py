@@ -75,9 +75,9 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_topk": """
             WITH v AS (
-                SELECT vec_id, list_transform(embedding, x -> floor(1024 * CAST(x AS DOUBLE))) AS v
+                SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
                 FROM embeddings
-                WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
+                WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
             ), s AS (
                 SELECT q.vec_id AS query_id, e.vec_id, CAST(list_inner_product(q.v, e.v) AS BIGINT) AS score
                 FROM v q JOIN v e ON q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0
