@@ -49,50 +49,70 @@ def _arc(lat: float) -> float:
     )
 
 
-def grid_to_wgs84(x: Column, y: Column) -> tuple[Column, Column]:
-    """(latitude, longitude) in degrees of grid metres: inverse projection series, seven-parameter shift, geodetic latitude."""
+def _let(value: Column, use) -> Column:
+    """``use`` of a named value; nested uses of a plain column would copy its whole expression each time."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def grid_to_wgs84(x: Column, y: Column) -> Column:
+    """struct(lat, lon) in degrees of grid metres: inverse projection series, seven-parameter shift, geodetic latitude."""
     e2 = _F * (2 - _F)
     ep2 = e2 / (1 - e2)
     e1 = (1 - math.sqrt(1 - e2)) / (1 + math.sqrt(1 - e2))
     mu = (y - _Y0 + _arc(_LAT0)) / (_A * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256))
-    p = (
-        mu
-        + (3 * e1 / 2 - 27 * e1**3 / 32) * F.sin(2 * mu)
-        + (21 * e1**2 / 16 - 55 * e1**4 / 32) * F.sin(4 * mu)
-        + 151 * e1**3 / 96 * F.sin(6 * mu)
-        + 1097 * e1**4 / 512 * F.sin(8 * mu)
-    )
-    c = ep2 * F.pow(F.cos(p), 2)
-    t = F.pow(F.tan(p), 2)
-    w = 1 - e2 * F.pow(F.sin(p), 2)
-    n = _A / F.sqrt(w)
-    r = _A * (1 - e2) / F.pow(w, 1.5)
-    d = (x - _X0) / n
-    lat = p - n * F.tan(p) / r * (
-        F.pow(d, 2) / 2
-        - (5 + 3 * t + 10 * c - 4 * c * c - 9 * ep2) * F.pow(d, 4) / 24
-        + (61 + 90 * t + 298 * c + 45 * t * t - 252 * ep2 - 3 * c * c) * F.pow(d, 6) / 720
-    )
-    lon = _LON0 + (d - (1 + 2 * t + c) * F.pow(d, 3) / 6 + (5 - 2 * c + 28 * t - 3 * c * c + 8 * ep2 + 24 * t * t) * F.pow(d, 5) / 120) / F.cos(p)
-    n = _A / F.sqrt(1 - e2 * F.pow(F.sin(lat), 2))
-    gx, gy, gz = n * F.cos(lat) * F.cos(lon), n * F.cos(lat) * F.sin(lon), n * (1 - e2) * F.sin(lat)
-    rx, ry, rz = _TURN
-    wx = _SHIFT[0] + _SCALE * (gx - rz * gy + ry * gz)
-    wy = _SHIFT[1] + _SCALE * (rz * gx + gy - rx * gz)
-    wz = _SHIFT[2] + _SCALE * (-ry * gx + rx * gy + gz)
+
+    def footpoint(m):
+        return (
+            m
+            + (3 * e1 / 2 - 27 * e1**3 / 32) * F.sin(2 * m)
+            + (21 * e1**2 / 16 - 55 * e1**4 / 32) * F.sin(4 * m)
+            + 151 * e1**3 / 96 * F.sin(6 * m)
+            + 1097 * e1**4 / 512 * F.sin(8 * m)
+        )
+
+    def terms(p):
+        w = 1 - e2 * F.pow(F.sin(p), 2)
+        n = _A / F.sqrt(w)
+        return F.struct(p.alias("p"), (ep2 * F.pow(F.cos(p), 2)).alias("c"), F.pow(F.tan(p), 2).alias("t"), n.alias("n"), (_A * (1 - e2) / F.pow(w, 1.5)).alias("r"), ((x - _X0) / n).alias("d"))
+
+    def local(v):
+        p, c, t, d = v["p"], v["c"], v["t"], v["d"]
+        lat = p - v["n"] * F.tan(p) / v["r"] * (
+            F.pow(d, 2) / 2
+            - (5 + 3 * t + 10 * c - 4 * c * c - 9 * ep2) * F.pow(d, 4) / 24
+            + (61 + 90 * t + 298 * c + 45 * t * t - 252 * ep2 - 3 * c * c) * F.pow(d, 6) / 720
+        )
+        lon = _LON0 + (d - (1 + 2 * t + c) * F.pow(d, 3) / 6 + (5 - 2 * c + 28 * t - 3 * c * c + 8 * ep2 + 24 * t * t) * F.pow(d, 5) / 120) / F.cos(p)
+        return F.struct(lat.alias("lat"), lon.alias("lon"), (_A / F.sqrt(1 - e2 * F.pow(F.sin(lat), 2))).alias("n"))
+
+    def shifted(v):
+        gx, gy, gz = v["n"] * F.cos(v["lat"]) * F.cos(v["lon"]), v["n"] * F.cos(v["lat"]) * F.sin(v["lon"]), v["n"] * (1 - e2) * F.sin(v["lat"])
+        rx, ry, rz = _TURN
+        wx = _SHIFT[0] + _SCALE * (gx - rz * gy + ry * gz)
+        wy = _SHIFT[1] + _SCALE * (rz * gx + gy - rx * gz)
+        wz = _SHIFT[2] + _SCALE * (-ry * gx + rx * gy + gz)
+        return F.struct(wx.alias("x"), wy.alias("y"), wz.alias("z"))
+
     w2 = _WGS_F * (2 - _WGS_F)
     b = _WGS_A * (1 - _WGS_F)
-    flat = F.sqrt(wx * wx + wy * wy)
-    theta = F.atan2(wz * _WGS_A, flat * b)
-    out = F.atan2(wz + w2 / (1 - w2) * b * F.pow(F.sin(theta), 3), flat - w2 * _WGS_A * F.pow(F.cos(theta), 3))
-    return F.degrees(out), F.degrees(F.atan2(wy, wx))
+
+    def geodetic(v):
+        flat = F.sqrt(v["x"] * v["x"] + v["y"] * v["y"])
+        theta = F.atan2(v["z"] * _WGS_A, flat * b)
+        lat = F.atan2(v["z"] + w2 / (1 - w2) * b * F.pow(F.sin(theta), 3), flat - w2 * _WGS_A * F.pow(F.cos(theta), 3))
+        return F.struct(F.degrees(lat).alias("lat"), F.degrees(F.atan2(v["y"], v["x"])).alias("lon"))
+
+    return _let(_let(_let(_let(_let(mu, footpoint), terms), local), shifted), geodetic)
 
 
 def coordinates(x: Column, y: Column) -> Column:
     """struct(latitude_e7, longitude_e7, crs) of grid coordinates given as text; null if missing, malformed or outside the box."""
-    lat, lon = grid_to_wgs84(x.try_cast("double"), y.try_cast("double"))
-    inside = lat.between(BOX[0], BOX[1]) & lon.between(BOX[2], BOX[3])
-    return F.when(inside, F.struct(F.floor(lat * E7 + 0.5).cast("int").alias("latitude_e7"), F.floor(lon * E7 + 0.5).cast("int").alias("longitude_e7"), F.lit("EPSG:4326").alias("crs")))
+
+    def e7(v):
+        inside = v["lat"].between(BOX[0], BOX[1]) & v["lon"].between(BOX[2], BOX[3])
+        return F.when(inside, F.struct(F.floor(v["lat"] * E7 + 0.5).cast("int").alias("latitude_e7"), F.floor(v["lon"] * E7 + 0.5).cast("int").alias("longitude_e7"), F.lit("EPSG:4326").alias("crs")))
+
+    return _let(grid_to_wgs84(x.try_cast("double"), y.try_cast("double")), e7)
 
 
 def tile_key(lat_e7: Column, lon_e7: Column, depth: int, box: tuple[int, int, int, int]) -> Column:
