@@ -269,6 +269,8 @@ class Scorer:
 
     def predict(self, texts: pa.Array) -> tuple[list[str], list[float]]:
         langs = self.model.languages
+        if not langs:
+            return [UND] * len(texts), [0.0] * len(texts)
         chunks, index, first = split_words(pc.replace_substring(texts, "\n", " "))
         found = list(map(self.known.get, chunks))
         lost = [c for c, x in zip(chunks, found, strict=True) if x is None]
@@ -279,8 +281,6 @@ class Scorer:
         n = len(first) - 1
         which = np.repeat(np.arange(n), np.diff(first))
         has = np.bincount(which, self.letters[rows], n) > 0
-        if not langs:
-            return [UND] * n, [0.0] * n
         scores = np.stack([np.bincount(which, self.table[rows, k], n) for k in range(len(langs))], 1)
         best = scores.argmax(1)
         share = 1 / np.exp(np.clip(scores - scores.max(1, keepdims=True), -700, 0)).sum(1)
