@@ -13,10 +13,11 @@ common ones).
 
 Candidates come from the lists.  Lists up to ``SHORT`` give their pairs.  Longer
 ones first give each member with two pivots only; confirmed links join members
-to components.  What remains, pairs of different components, is then estimated
-in blocks of members, so that a long list neither meets in one task nor is
-spelled out in pairs.  The sketch of the union estimates the similarity and
-drops pairs that are far from linked; the exact sets decide the rest.
+to components.  What remains, pairs of different components, is then compared
+in blocks of members by wider sketches, which are whole sets for most texts and
+decide them exactly; so a long list neither meets in one task nor is spelled
+out in pairs.  For other pairs the sketch of the union estimates the similarity
+and drops those far from linked; the exact sets decide the rest.
 
 Defined cases: documents without words have an empty set and are linked with
 nothing; documents of fewer than five words have one shingle, the whole
@@ -39,7 +40,9 @@ from .components import components
 #: Values of a sketch, words of a shingle, least similarity in hundredths.
 K, WORDS, HUNDREDTHS = 40, 5, 75
 #: Members of the longest list whose pairs are listed, and of a block of longer ones.
-SHORT, BLOCK = 48, 512
+SHORT, BLOCK = 48, 1536
+#: Values of the sketches that members of long lists are compared by, and their least share of common ones in hundredths.
+WIDE, WIDE_ESTIMATE = 256, 62
 #: Common values of the union's sketch, in hundredths, below which a pair is not looked at further.
 ESTIMATE = 42
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -159,37 +162,91 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_batches(both, ["a", "b", "ta", "tb"], make, "a long, b long", 256)
 
 
-def block_candidates(left: list[np.ndarray], right: list[np.ndarray], k: int = K, estimate: int = ESTIMATE) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j) of the sketch pairs whose number of common values does not rule them out.
+def wide_sketches(texts: DataFrame, k: int) -> DataFrame:
+    """``rep``, ``wide``: the k smallest hashes of each text's set, which is all of most sets."""
 
-    The product of two incidence matrices counts common values of all pairs at
-    once.  All common values are counted, also those behind the union's k-th, so
-    that nothing is dropped that the union's sketch would keep.
-    """
+    def make(keys: list, found: list) -> dict:
+        return {"rep": keys, "wide": [shingle_set(t)[:k].tobytes() for t in found]}
+
+    return map_batches(texts, ["rep", "text"], make, "rep long, wide binary", 512)
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Number of common values of each left and right set, by products of slices of their incidence matrices."""
     values, codes = np.unique(np.concatenate([*left, *right]), return_inverse=True)
-    sizes = [len(s) for s in left + right]
-    rows = np.repeat(np.arange(len(sizes)), sizes)
-    used = np.bincount(codes, minlength=len(values)) > 1
-    narrow = np.cumsum(used) - 1
-    kept = used[codes]
-    m = np.zeros((len(sizes), int(used.sum())), np.float32)
-    m[rows[kept], narrow[codes[kept]]] = 1
-    common = m[: len(left)] @ m[len(left) :].T
-    na, nb = np.array(sizes[: len(left)])[:, None], np.array(sizes[len(left) :])[None, :]
-    union = np.minimum(k, na + nb - common)
-    return np.nonzero(100 * common >= estimate * union)
-
-
-def _block_pairs(group: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one cell of a long list: members of block i against those of block j, of different components."""
+    rows = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in left + right])
+    on_left = rows < len(left)
+    used = (np.bincount(codes[on_left], minlength=len(values)) > 0) & (np.bincount(codes[~on_left], minlength=len(values)) > 0)
+    place = np.cumsum(used) - 1
+    kept = np.flatnonzero(used[codes])
+    order = kept[np.argsort(place[codes[kept]], kind="stable")]
+    rows, place = rows[order], place[codes[order]]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(used.sum()), columns):
+        part = slice(*np.searchsorted(place, (at, at + columns)))
+        m = np.zeros((len(left) + len(right), columns), np.float32)
+        m[rows[part], place[part] - at] = 1
+        out += m[: len(left)] @ m[len(left) :].T
+    return out
+
+
+def block_links(left: list[np.ndarray], n_left: np.ndarray, right: list[np.ndarray], n_right: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(linked for certain, perhaps linked) of each left and right document, from their k smallest hashes.
+
+    Up to the smaller of the two sketches' last values both sets are known, so
+    that the share of common values there estimates the similarity; a set of up
+    to k values is known throughout, and two such sets are decided exactly.
+    """
+    common = common_counts(left, right)
+    every = np.iinfo(np.uint64).max
+    last_left = np.array([every if n <= k else s[-1] for s, n in zip(left, n_left, strict=True)], np.uint64)
+    last_right = np.array([every if n <= k else s[-1] for s, n in zip(right, n_right, strict=True)], np.uint64)
+    known_left = np.stack([np.searchsorted(s, np.minimum(last_right, e), side="right") for s, e in zip(left, last_left, strict=True)])
+    known_right = np.stack([np.searchsorted(s, np.minimum(last_left, e), side="right") for s, e in zip(right, last_right, strict=True)]).T
+    union = known_left + known_right - common
+    whole = (n_left <= k)[:, None] & (n_right <= k)[None, :]
+    sized = 100 * np.minimum(n_left[:, None], n_right[None, :]) >= HUNDREDTHS * np.maximum(n_left[:, None], n_right[None, :])
+    return whole & (100 * common >= HUNDREDTHS * union), ~whole & sized & (100 * common >= WIDE_ESTIMATE * union)
+
+
+def _cell_pairs(group: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of different components within one cell of a long list.
+
+    The component with most members is only compared with the others.  Certain
+    links are given as far as they join components that are still apart.
+    """
     i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
+    out: list[tuple[int, int, bool]] = []
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> None:
+        for at in range(0, len(left), 256):
+            part = left.iloc[at : at + 256]
+            if not len(right):
+                return
+            sets = [[np.frombuffer(s, np.uint64) for s in side["wide"]] for side in (part, right)]
+            certain, perhaps = block_links(sets[0], part["n"].to_numpy(), sets[1], right["n"].to_numpy(), WIDE)
+            apart = part["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :]
+            a, b, ca, cb = part["rep"].to_numpy(), right["rep"].to_numpy(), part["comp"].to_numpy(), right["comp"].to_numpy()
+            for x, y in zip(*np.nonzero(certain & apart), strict=True):
+                p, q = find(int(ca[x])), find(int(cb[y]))
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    out.append((int(min(a[x], b[y])), int(max(a[x], b[y])), True))
+            out.extend((int(min(a[x], b[y])), int(max(a[x], b[y])), False) for x, y in zip(*np.nonzero(perhaps & apart), strict=True))
+
+    most = group["comp"].value_counts().index[0]
     left, right = group[group["c"] == i], group[group["c"] == j]
-    x, y = block_candidates([np.frombuffer(s, np.uint64) for s in left["sketch"]], [np.frombuffer(s, np.uint64) for s in right["sketch"]])
-    cols = {n: (left[n].to_numpy()[x], right[n].to_numpy()[y]) for n in ("rep", "n", "comp")}
-    (a, b), (na, nb), (ca, cb) = cols["rep"], cols["n"], cols["comp"]
-    good = (ca != cb) & (100 * np.minimum(na, nb) >= HUNDREDTHS * np.maximum(na, nb)) & ((a < b) | (i != j))
-    a, b = a[good], b[good]
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}, dtype=np.int64)
+    compare(left[left["comp"] != most], right)
+    if i != j:
+        compare(right[right["comp"] != most], left[left["comp"] == most])
+    return pd.DataFrame(out, columns=["a", "b", "certain"]).astype({"a": np.int64, "b": np.int64, "certain": bool}).drop_duplicates()
 
 
 def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
@@ -215,18 +272,20 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     # long lists whose members are in several components
     members = long.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
     mixed = members.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where(F.col("least") < F.col("most")).select("key")
+    hot = texts.join(members.join(mixed, "key", "left_semi").select("rep").distinct(), "rep", "left_semi")
+    wide = cut(wide_sketches(hot, WIDE), "wide")
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
     cells = (
         members.join(mixed, "key", "left_semi")
         .withColumn("c", F.pmod(F.xxhash64("rep", F.lit(1)), blocks).cast("int"))
         .withColumn("x", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select("key", "rep", "n", "comp", "c", F.least("c", "x").alias("i"), F.greatest("c", "x").alias("j"))
-        .join(reps.select("rep", "sketch"), "rep")
+        .join(wide, "rep")
     )
-    more = cells.groupBy("key", "i", "j").applyInPandas(_block_pairs, "a long, b long").distinct()
-    seen = pairs.withColumn("seen", F.lit(True))
-    more = _estimated(more.join(seen, ["a", "b"], "left_anti"), reps)
-    every = cut(found.unionByName(_confirmed(more, texts)), "links")
+    more = cut(cells.groupBy("key", "i", "j").applyInPandas(_cell_pairs, "a long, b long, certain boolean").distinct(), "more")
+    open_pairs = more.where(~F.col("certain")).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    certain = more.where("certain").select("a", "b")
+    every = cut(found.unionByName(certain).unionByName(_confirmed(open_pairs, texts)), "links")
     return components(every)
 
 
