@@ -270,7 +270,9 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     found = cut(_confirmed(pairs, texts), "links")
     first = cut(components(found), "components")
     # long lists whose members are in several components
-    members = long.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+    by_rep = long.groupBy("rep", "n").agg(F.collect_list(F.struct("key", "members")).alias("lists"))  # at most K - 1 each
+    placed = by_rep.join(first.withColumnRenamed("node", "rep"), "rep", "left")
+    members = cut(placed.select("rep", "n", F.coalesce("component", "rep").alias("comp"), F.inline("lists")), "members")
     mixed = members.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where(F.col("least") < F.col("most")).select("key")
     hot = texts.join(members.join(mixed, "key", "left_semi").select("rep").distinct(), "rep", "left_semi")
     wide = cut(wide_sketches(hot, WIDE), "wide")
