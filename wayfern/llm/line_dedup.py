@@ -1,15 +1,20 @@
 """Line deduplication by pairwise alignment.
 
-Documents overlap if they share a seed line: one of ``SEED_WORDS`` words or
-more.  Instead of all pairs of a line's holders, each later holder is paired
-with the line's earliest one, so that a line in many documents gives as many
-pairs as holders and no line is too frequent to be looked at; a rare line gives
-the pair of its two holders.  Each pair is aligned with patience diff over line
-hashes: lines that are unique in both are matched along their longest common
-order, then the gaps between matches in the same way, with equal lines at a
-gap's ends matched directly.  Aligned lines that follow each other in both
-documents form a block; blocks of ``BLOCK_WORDS`` words or more are deleted
-from the later document.
+A run is the shortest stretch of neighbouring lines, from or up to a line, that
+holds ``BLOCK_WORDS`` words.  Documents overlap if they share a run.  Instead of
+all pairs of a run's holders, each later holder is paired with the run's
+earliest one, so that a run in many documents gives as many pairs as holders
+and no line is too frequent to be looked at.  That loses nothing: every line of
+a block that a document shares with any earlier one lies in a run of that
+block, and the run's earliest holder has it as well.
+
+Each pair is aligned with patience diff over line hashes: lines that are unique
+in both are matched along their longest common order, then the gaps between
+matches in the same way, with equal lines at a gap's ends matched directly.
+Aligned lines that follow each other in both documents form a block.  Lines
+that are left are compared by runs, which finds passages that a document
+repeats and passages in another order.  Blocks of ``BLOCK_WORDS`` words or more
+are deleted from the later document, each time it holds them.
 
 Documents are ordered by id, then by a hash of their text.
 
@@ -23,6 +28,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
+import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import cut, map_batches
 
 SEED_WORDS, BLOCK_WORDS = 4, 8
+_STEP = 0x9E3779B97F4A7C15
+_STEP_BACK = pow(_STEP, -1, 1 << 64)
 
 
 def line_hashes(text: str) -> tuple[list[int], list[int]]:
@@ -85,8 +93,49 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def runs(lines: list[int], words: list[int], least: int = BLOCK_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first line, line behind the last) of the shortest runs of ``least`` words from and up to each line."""
+    n = len(lines)
+    total = np.concatenate([[0], np.cumsum(np.array(words, np.int64))])
+    ends = np.searchsorted(total, total[:-1] + least)
+    starts = np.searchsorted(total, total[1:] - least, side="right") - 1
+    from_line, to_line = np.flatnonzero(ends <= n), np.flatnonzero(starts >= 0)
+    both = np.unique(np.concatenate([from_line * (n + 1) + ends[from_line], starts[to_line] * (n + 1) + to_line + 1]))
+    low, high = both // (n + 1), both % (n + 1)
+    power = np.full(n + 1, _STEP, np.uint64)
+    back = np.full(n + 1, _STEP_BACK, np.uint64)
+    power[0] = back[0] = 1
+    power, back = np.cumprod(power), np.cumprod(back)
+    summed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.array(lines, np.int64).astype(np.uint64) * power[:n])])
+    h = (summed[high] - summed[low]) * back[low] + (high - low).astype(np.uint64)
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9), low, high
+
+
+def _run_matches(earlier: list[int], later: list[int], words: list[int], least: int) -> np.ndarray:
+    """Whether each line of the later document lies in a run that the earlier one holds anywhere."""
+    known = dict(zip(later, words, strict=True))
+    # a line that only the earlier document has parts its runs
+    shared = [x in known for x in earlier]
+    held, at = [], 0
+    while at < len(earlier):
+        end = at
+        while end < len(earlier) and shared[end]:
+            end += 1
+        if end > at:
+            part = earlier[at:end]
+            held.append(runs(part, [known[x] for x in part], least)[0])
+        at = end + 1
+    edges = np.zeros(len(later) + 1, np.int64)
+    if held:
+        h, low, high = runs(later, words, least)
+        found = np.isin(h, np.concatenate(held))
+        np.add.at(edges, low[found], 1)
+        np.add.at(edges, high[found], -1)
+    return np.cumsum(edges)[:-1] > 0
+
+
 def common_blocks(earlier: list[int], later: list[int], words: list[int], least: int = BLOCK_WORDS) -> list[int]:
-    """Positions of the later document's lines that lie in aligned blocks of ``least`` words or more."""
+    """Positions of the later document's lines that lie in common blocks of ``least`` words or more."""
     out: list[int] = []
     block: list[int] = []
     last = (-2, -2)
@@ -97,6 +146,8 @@ def common_blocks(earlier: list[int], later: list[int], words: list[int], least:
             block = []
         block.append(match[1])
         last = match
+    if len(out) < len(later):
+        out = sorted({*out, *np.flatnonzero(_run_matches(earlier, later, words, least)).tolist()})
     return out
 
 
@@ -106,14 +157,15 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     def make(ids: list, hashes: list, texts: list) -> dict:
         found = [line_hashes(x) for x in texts]
-        return {"d": ids, "t": hashes, "lines": [f[0] for f in found], "words": [f[1] for f in found]}
+        keys = [np.unique(runs(*f)[0]).astype(np.int64).tolist() for f in found]
+        return {"d": ids, "t": hashes, "lines": [f[0] for f in found], "words": [f[1] for f in found], "runs": keys}
 
-    lines = map_batches(source.where(F.col("d").isNotNull() & F.col("text").isNotNull()), ["d", "t", "text"], make, "d long, t long, lines array<long>, words array<int>", 1024)
+    lines = map_batches(source.where(F.col("d").isNotNull() & F.col("text").isNotNull()), ["d", "t", "text"], make, "d long, t long, lines array<long>, words array<int>, runs array<long>", 1024)
     sequences = cut(lines, "lines")
-    seeds = sequences.select("d", "t", F.explode(F.array_distinct(F.filter("lines", lambda x, i: F.get("words", i) >= SEED_WORDS))).alias("line"))
-    shared = seeds.groupBy("line").agg(F.min(F.struct("d", "t")).alias("first"), F.max(F.struct("d", "t")).alias("last")).where(F.col("first") != F.col("last"))
-    pairs = seeds.join(shared.select("line", F.col("first.d").alias("d0"), F.col("first.t").alias("t0")), "line").where((F.col("d") != F.col("d0")) | (F.col("t") != F.col("t0"))).select("d", "t", "d0", "t0").distinct()
-    own = sequences.dropDuplicates(["d", "t"])
+    seeds = sequences.select("d", "t", F.explode("runs").alias("run"))
+    shared = seeds.groupBy("run").agg(F.min(F.struct("d", "t")).alias("first"), F.max(F.struct("d", "t")).alias("last")).where(F.col("first") != F.col("last"))
+    pairs = seeds.join(shared.select("run", F.col("first.d").alias("d0"), F.col("first.t").alias("t0")), "run").where((F.col("d") != F.col("d0")) | (F.col("t") != F.col("t0"))).select("d", "t", "d0", "t0").distinct()
+    own = sequences.drop("runs").dropDuplicates(["d", "t"])
     both = pairs.join(own.select(F.col("d").alias("d0"), F.col("t").alias("t0"), F.col("lines").alias("earlier")), ["d0", "t0"]).join(own, ["d", "t"])
 
     def align(ids: list, hashes: list, earlier: list, later: list, words: list) -> dict:
