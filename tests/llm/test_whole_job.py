@@ -40,3 +40,13 @@ def test_line_blocks_behind_other_holders(spark):
     texts = [a + "\nown", b + "\nanother", f"{a}\n{b}", f"x\n{a}\n{b}", f"{passage}\n-\n{passage}", f"y\n{passage}\nz\n{passage}"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.d: r.gone for r in line_dedup.deletions(docs).collect()} == {3: [1, 2], 5: [1, 3]}
+
+
+def test_line_blocks_of_short_lines_and_unspaced_scripts(spark):
+    verse = "\n".join(f"word{i} too" for i in range(30))
+    chinese = "这是一个在两份文件中重复出现的段落"
+    thai = "ย่อหน้านี้ซ้ำกันในเอกสารสองฉบับ"
+    texts = [f"a\n{verse}", f"b\n{verse}\nc", f"d\n{chinese}", f"e\n{chinese}", f"f\n{thai}", f"g\n{thai}", "h\n你好", "i\n你好"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.d: r.gone for r in line_dedup.deletions(docs).collect()} == {1: list(range(1, 31)), 3: [1], 5: [1]}
+    assert line_dedup.line_hashes("two words\n日本語 and kana かな\n你好，世界。")[1] == [2, 5, 2]

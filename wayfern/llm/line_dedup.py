@@ -16,6 +16,9 @@ that are left are compared by runs, which finds passages that a document
 repeats and passages in another order.  Blocks of ``BLOCK_WORDS`` words or more
 are deleted from the later document, each time it holds them.
 
+Words are parted by white space; in scripts that are written without it every
+``LETTERS_A_WORD`` letters in a row, or a rest of them, count as a word.
+
 Documents are ordered by id, then by a hash of their text.
 
 Defined cases: null texts and rows without an id are left as they are; exact
@@ -26,6 +29,7 @@ an empty text.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 
 import numpy as np
@@ -36,6 +40,11 @@ from pyspark.sql import functions as F
 from .common import cut, map_batches
 
 SEED_WORDS, BLOCK_WORDS = 4, 8
+#: Letters that count as a word in scripts without spaces.
+LETTERS_A_WORD = 2
+# Thai to Myanmar, Khmer, kana, Han
+_unspaced = re.compile("[\u0e00-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]+")
+_unspaced_marks = re.compile("[\u3000-\u303f\uff01-\uff0f\uff1a-\uff20]+")
 _STEP = 0x9E3779B97F4A7C15
 _STEP_BACK = pow(_STEP, -1, 1 << 64)
 
@@ -43,7 +52,12 @@ _STEP_BACK = pow(_STEP, -1, 1 << 64)
 def line_hashes(text: str) -> tuple[list[int], list[int]]:
     """(hash, words) of each line."""
     lines = text.split("\n")
-    return [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x in lines], [len(x.split()) for x in lines]
+    count = _count_words if not text.isascii() and _unspaced.search(text) else lambda x: len(x.split())
+    return [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x in lines], [count(x) for x in lines]
+
+
+def _count_words(line: str) -> int:
+    return len(_unspaced_marks.sub(" ", _unspaced.sub(" ", line)).split()) + sum(-(-len(x) // LETTERS_A_WORD) for x in _unspaced.findall(line))
 
 
 def _unique_matches(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
