@@ -2,7 +2,7 @@
 
 import random
 
-from wayfern.llm import line_dedup
+from wayfern.llm import decontam, line_dedup
 
 
 def blocks_brute(docs, least=line_dedup.BLOCK_WORDS):
@@ -50,3 +50,18 @@ def test_line_blocks_of_short_lines_and_unspaced_scripts(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.d: r.gone for r in line_dedup.deletions(docs).collect()} == {1: list(range(1, 31)), 3: [1], 5: [1]}
     assert line_dedup.line_hashes("two words\n日本語 and kana かな\n你好，世界。")[1] == [2, 5, 2]
+
+
+TRAIN = "If a train travels from Paris at 60 km per hour for 3 hours then how far from Paris will the train be"
+
+
+def contaminated(spark, items, texts):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    return {(r.doc_id, r.item_id): (r.span_words, r.changed) for r in decontam.find(docs, bench).collect()}
+
+
+def test_values_of_other_word_counts(spark):
+    texts = [TRAIN.replace("Paris", "New York"), "So. " + TRAIN.replace("60", "one hundred twenty"), TRAIN.replace("Paris", "Rio").replace("60", "ninety five"), "If a train travels then how far will it be"]
+    assert contaminated(spark, [TRAIN], texts) == {(d, 0): (23, True) for d in range(3)}
+    assert contaminated(spark, [texts[0]], [TRAIN, texts[0]]) == {(0, 0): (25, True), (1, 0): (25, False)}
