@@ -65,3 +65,10 @@ def test_values_of_other_word_counts(spark):
     texts = [TRAIN.replace("Paris", "New York"), "So. " + TRAIN.replace("60", "one hundred twenty"), TRAIN.replace("Paris", "Rio").replace("60", "ninety five"), "If a train travels then how far will it be"]
     assert contaminated(spark, [TRAIN], texts) == {(d, 0): (23, True) for d in range(3)}
     assert contaminated(spark, [texts[0]], [TRAIN, texts[0]]) == {(0, 0): (25, True), (1, 0): (25, False)}
+
+
+def test_copies_of_items_with_few_literals(spark):
+    items = ["Compute 12 + 7 - 3 + 44 - 9 + 15 - 8 + 21 - 6 + 30", "Invited: " + " ".join(f"Name{chr(97 + i)} Other{chr(97 + i)}" for i in range(12)).replace("Name", "Na"), "Compute 12 times 7"]
+    items.append("The first list has 1 2 3 4 5 6 7 and the second has 8 9 10 11 12 13 14 and nothing else")
+    texts = [f"Text before. {x} and behind it" for x in items] + ["Compute 12 + 7 - 3 + 44 - 9 + 15 - 8 + 21 - 6 + 31 and".replace("1", "2"), "Compute 13 times 7"]
+    assert contaminated(spark, items, texts) == {(0, 0): (11, False), (1, 1): (25, False), (2, 2): (4, False), (3, 3): (25, False)}
