@@ -2,7 +2,9 @@
 
 import random
 
-from wayfern.llm import decontam, line_dedup
+import public_tokenizers as P
+
+from wayfern.llm import decontam, lang_id, line_dedup, queries
 
 
 def blocks_brute(docs, least=line_dedup.BLOCK_WORDS):
@@ -72,3 +74,16 @@ def test_copies_of_items_with_few_literals(spark):
     items.append("The first list has 1 2 3 4 5 6 7 and the second has 8 9 10 11 12 13 14 and nothing else")
     texts = [f"Text before. {x} and behind it" for x in items] + ["Compute 12 + 7 - 3 + 44 - 9 + 15 - 8 + 21 - 6 + 31 and".replace("1", "2"), "Compute 13 times 7"]
     assert contaminated(spark, items, texts) == {(0, 0): (11, False), (1, 1): (25, False), (2, 2): (4, False), (3, 3): (25, False)}
+
+
+def test_languages_of_many_copies_are_learned(spark, monkeypatch):
+    counts = {}
+
+    def fit(words, found, languages, path):
+        counts.update(zip(languages, found.sum(0).tolist(), strict=True))
+
+    monkeypatch.setattr(lang_id, "fit", fit)
+    copied = [(f"{chr(97 + i)} {lang}", lang) for lang in ("aa", "bb", "cc", "dd") for i in range(10)] * 500
+    distinct = [("x" * (1 + i // 26) + chr(97 + i % 26), "ee") for i in range(2000)]
+    lang_id.train(spark.createDataFrame(copied + distinct, "text string, lang string"), P.path(queries.PIECES))
+    assert counts == {"aa": 20, "bb": 20, "cc": 20, "dd": 20, "ee": lang_id.SAMPLE_DOCS}

@@ -9,8 +9,8 @@ score.  ``score`` is that language's share of the posterior under equal priors.
 
 Training estimates the piece probabilities by expectation maximisation
 (forward-backward over the words) from a bounded sample of labelled documents:
-about ``sample_docs`` whole documents of each language, those whose text's hash
-is below a limit.  The model holds a probability for each piece and language, so
+``sample_docs`` whole documents of each language, the distinct texts of the
+smallest hashes.  The model holds a probability for each piece and language, so
 that its size follows from the vocabulary and the languages.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0;
@@ -27,14 +27,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, split_words
 
 UND = "und"
-#: Labelled documents of each language that a model is fitted on, as expected by the hash limit.
+#: Labelled documents of distinct texts of each language that a model is fitted on.
 SAMPLE_DOCS = 300
+#: The hash limit lets so many times as many texts pass, so that the sample is full with certainty for practical purposes.
+MARGIN = 2.0
 ROUNDS = 3
 #: Share of the uniform distribution mixed into every language's pieces.
 SMOOTHING = 0.02
@@ -288,19 +290,22 @@ class Scorer:
 
 
 def train(labelled: DataFrame, path: str, text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Fit a model on about ``sample_docs`` whole documents of each language.
+    """Fit a model on ``sample_docs`` whole documents of each language, or all distinct texts of one that has fewer.
 
-    The sample depends on the texts alone and takes a text once.  Hashes are
-    compared in the scan, so that only the sample is moved; word counts are
-    aggregated by the executors.
+    The sample depends on the texts alone and takes a text once; copies do not
+    lower the rate, as it comes from the number of distinct texts.  Hashes are
+    compared in the scan, so that little more than the sample is moved; word
+    counts are aggregated by the executors.
     """
     text, lang = F.col(f"`{text_col}`"), F.col(f"`{lang_col}`")
     labelled = labelled.where(lang.isNotNull() & text.isNotNull())
-    sizes = labelled.groupBy(lang.alias("lang")).agg(F.count(F.lit(1)).alias("n"))
-    share = sizes.select("lang", (F.lit(1 << 30) * F.least(F.lit(1.0), F.lit(float(sample_docs)) / F.col("n"))).cast("long").alias("limit"))
-    rows = labelled.select(text.alias("text"), lang.alias("lang"), F.xxhash64(text).alias("h"))
-    kept = rows.join(F.broadcast(share), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("limit"))  # a row a language
-    sample = kept.groupBy("lang", "h").agg(F.first("text").alias("text"))
+    rows = labelled.select(text.alias("text"), lang.alias("lang"), F.xxhash64(text).alias("h")).withColumn("order", F.pmod("h", F.lit(1 << 30)))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n"))
+    share = sizes.select("lang", (F.lit(1 << 30) * F.least(F.lit(1.0), F.lit(MARGIN * sample_docs) / F.col("n"))).cast("long").alias("limit"))
+    kept = rows.join(F.broadcast(share), "lang").where(F.col("order") < F.col("limit"))  # a row a language
+    texts = kept.groupBy("lang", "order", "h").agg(F.first("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("order", "h"))  # over some hundred texts a language
+    sample = texts.withColumn("place", place).where(F.col("place") <= sample_docs)
 
     def words(langs: list, texts: list) -> dict:
         out: dict[tuple[str, str], int] = {}
