@@ -4,7 +4,7 @@ import random
 
 import public_tokenizers as P
 
-from wayfern.llm import decontam, lang_id, line_dedup, queries
+from wayfern.llm import decontam, lang_id, line_dedup, queries, token_store
 
 
 def blocks_brute(docs, least=line_dedup.BLOCK_WORDS):
@@ -87,3 +87,16 @@ def test_languages_of_many_copies_are_learned(spark, monkeypatch):
     distinct = [("x" * (1 + i // 26) + chr(97 + i % 26), "ee") for i in range(2000)]
     lang_id.train(spark.createDataFrame(copied + distinct, "text string, lang string"), P.path(queries.PIECES))
     assert counts == {"aa": 20, "bb": 20, "cc": 20, "dd": 20, "ee": lang_id.SAMPLE_DOCS}
+
+
+def test_word_markers_equal_the_library():
+    from tokenizers import Tokenizer
+
+    path = P.path(queries.WORD_BPE)
+    fresh, own = Tokenizer.from_file(path), token_store.WordEncoder(path)
+    rnd = random.Random(10)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "<", "a", "Word", "é", "3", "'s", ".", "|", " ", " ", "\n", "\t", "日本"]
+    texts = ["a <|endoftext|> b", "a<|endoftext|>b", '"<|endoftext|>".', *("".join(rnd.choices(parts, k=rnd.randint(1, 12))) for _ in range(3000))]
+    assert own.encode_batch(texts[:1])[0].tolist() == [320, 49407, 321]
+    for text, ids in zip(texts, own.encode_batch(texts), strict=True):
+        assert ids.tolist() == fresh.encode(text, add_special_tokens=False).ids
