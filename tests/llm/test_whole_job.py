@@ -4,7 +4,7 @@ import random
 
 import public_tokenizers as P
 
-from wayfern.llm import decontam, lang_id, line_dedup, queries, token_store
+from wayfern.llm import decontam, lang_id, line_dedup, queries, secret_scan, token_store
 
 
 def blocks_brute(docs, least=line_dedup.BLOCK_WORDS):
@@ -100,3 +100,10 @@ def test_word_markers_equal_the_library():
     assert own.encode_batch(texts[:1])[0].tolist() == [320, 49407, 321]
     for text, ids in zip(texts, own.encode_batch(texts), strict=True):
         assert ids.tolist() == fresh.encode(text, add_special_tokens=False).ids
+
+
+def test_secrets_of_letters_only():
+    rule = secret_scan.EntropyRule()
+    assert secret_scan.entropy_spans("key qWkRxXpLmNZtWbvBnYcDdHfG end", rule) == [(4, 28, "entropy_alnum")]
+    for text in ("abcdefghijklmnopqrstuvwx", "Some-Words_joined/By-dashes-only", "/usr/local/share/Applications/bin", "-" * 40, "ABCDEFGHIJKLMNOPQRSTUV"):
+        assert secret_scan.entropy_spans(text, rule) == []

@@ -5,8 +5,8 @@ strings.  The entropy part takes candidate strings (runs of base64 or
 hexadecimal characters), slides a window over each, keeps the window's counts
 and its sum of n*log2(n) up to date as one character enters and one leaves, and
 reports candidates whose best window reaches the limit of their character
-class.  An allow-list suppresses entropy findings; pattern findings always
-stay.
+class.  An allow-list suppresses entropy findings, words and dates among them;
+letters in mixed case are no words.  Pattern findings always stay.
 
 Defined cases: null texts count as empty; texts without findings have zero
 counts, the SHA-256 of the empty string and an empty ``spans``.  Whole texts
@@ -35,7 +35,6 @@ _assign = re.compile(ASSIGN, re.IGNORECASE | re.ASCII)
 _access = re.compile(ACCESS)
 _hex = re.compile(HEX)
 _candidate = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
-_digit = re.compile(r"[0-9]")
 
 #: n * log2(n) for the counts a window can hold.
 _NLOGN = [0.0] + [n * math.log2(n) for n in range(1, 257)]
@@ -47,10 +46,10 @@ class EntropyRule:
 
     window: int = 20
     limits: tuple[tuple[str, float], ...] = (("hex", 2.9), ("alnum", 3.6), ("base64", 3.7))
-    #: Full matches of a candidate that are no secrets: dates and numbers, words joined by dashes, ids of public form.
+    #: Full matches of a candidate that are no secrets: dates and numbers, words (in one case or with an initial capital) joined by dashes, ids of public form.
     allow: tuple[str, ...] = (
         r"[0-9]+(-[0-9]+)*",
-        r"[A-Za-z]+([-_/][A-Za-z]+)*",
+        r"[-_/+]*([A-Z]?[a-z]+|[A-Z]+)?([-_/+]+([A-Z]?[a-z]+|[A-Z]+))*[-_/+]*=*",
         r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}",
         r"(?i:.*(example|sample|dummy|placeholder).*)",
     )
@@ -110,7 +109,7 @@ def entropy_spans(text: str, rule: EntropyRule) -> list[tuple[int, int, str]]:
     limits = dict(rule.limits)
     for m in _candidate.finditer(text):
         s = m.group()
-        if not _digit.search(s) or rule.allowed(s):
+        if rule.allowed(s):
             continue
         kind = char_class(s.rstrip("="))
         if window_entropy(s, rule.window) >= limits[kind]:
