@@ -12,12 +12,16 @@ of the c - 1 neighbours, and there are at most a third as many such values as
 common ones).
 
 Candidates come from the lists.  Lists up to ``SHORT`` give their pairs.  Longer
-ones first give each member with two pivots only; confirmed links join members
-to components.  What remains, pairs of different components, is then compared
-in blocks of members by wider sketches, which are whole sets for most texts and
-decide them exactly; so a long list neither meets in one task nor is spelled
-out in pairs.  For other pairs the sketch of the union estimates the similarity
-and drops those far from linked; the exact sets decide the rest.
+ones give each member with two pivots only; confirmed links join members to
+components.  What is left are long lists with several components.  There,
+counts of the values that other components have bound how similar a member can
+be to any of them, which settles nearly all members (see ``_undecided``); the
+rest is compared by whole sets, in blocks of members, and gives links between
+components only.  So a long list neither meets in one task nor is spelled out
+in pairs.  For pairs of short lists and pivots the sketch of the union
+estimates the similarity and drops those far from linked (of pairs at 0.75 a
+share of 4e-10; none where both sets fit their sketches); the exact sets decide
+the rest.
 
 Defined cases: documents without words have an empty set and are linked with
 nothing; documents of fewer than five words have one shingle, the whole
@@ -39,12 +43,10 @@ from .components import components
 
 #: Values of a sketch, words of a shingle, least similarity in hundredths.
 K, WORDS, HUNDREDTHS = 40, 5, 75
-#: Members of the longest list whose pairs are listed, and of a block of longer ones.
-SHORT, BLOCK = 48, 1536
-#: Values of the sketches that members of long lists are compared by, and their least share of common ones in hundredths.
-WIDE, WIDE_ESTIMATE = 256, 62
+#: Members of the longest list whose pairs are listed; members and values of a block of longer ones.
+SHORT, BLOCK, BLOCK_VALUES = 48, 1536, 1 << 20
 #: Common values of the union's sketch, in hundredths, below which a pair is not looked at further.
-ESTIMATE = 42
+ESTIMATE = 30
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -162,13 +164,24 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_batches(both, ["a", "b", "ta", "tb"], make, "a long, b long", 256)
 
 
-def wide_sketches(texts: DataFrame, k: int) -> DataFrame:
-    """``rep``, ``wide``: the k smallest hashes of each text's set, which is all of most sets."""
+def whole_sets(texts: DataFrame) -> DataFrame:
+    """``rep``, ``hashes``: each text's whole set."""
 
     def make(keys: list, found: list) -> dict:
-        return {"rep": keys, "wide": [shingle_set(t)[:k].tobytes() for t in found]}
+        return {"rep": keys, "hashes": [shingle_set(t).tobytes() for t in found]}
 
-    return map_batches(texts, ["rep", "text"], make, "rep long, wide binary", 512)
+    return map_batches(texts, ["rep", "text"], make, "rep long, hashes binary", 256)
+
+
+def shingle_rows(texts: DataFrame) -> DataFrame:
+    """``rep``, ``comp``, ``h``: a row for each value of each set."""
+
+    def make(keys: list, comps: list, found: list) -> dict:
+        sets = [shingle_set(t) for t in found]
+        sizes = [len(s) for s in sets]
+        return {"rep": np.repeat(np.array(keys, np.int64), sizes), "comp": np.repeat(np.array(comps, np.int64), sizes), "h": np.concatenate(sets).view(np.int64)}
+
+    return map_batches(texts, ["rep", "comp", "text"], make, "rep long, comp long, h long", 256)
 
 
 def common_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -190,33 +203,21 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int
     return out
 
 
-def block_links(left: list[np.ndarray], n_left: np.ndarray, right: list[np.ndarray], n_right: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(linked for certain, perhaps linked) of each left and right document, from their k smallest hashes.
-
-    Up to the smaller of the two sketches' last values both sets are known, so
-    that the share of common values there estimates the similarity; a set of up
-    to k values is known throughout, and two such sets are decided exactly.
-    """
+def block_links(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Whether each left and right set are linked."""
     common = common_counts(left, right)
-    every = np.iinfo(np.uint64).max
-    last_left = np.array([every if n <= k else s[-1] for s, n in zip(left, n_left, strict=True)], np.uint64)
-    last_right = np.array([every if n <= k else s[-1] for s, n in zip(right, n_right, strict=True)], np.uint64)
-    known_left = np.stack([np.searchsorted(s, np.minimum(last_right, e), side="right") for s, e in zip(left, last_left, strict=True)])
-    known_right = np.stack([np.searchsorted(s, np.minimum(last_left, e), side="right") for s, e in zip(right, last_right, strict=True)]).T
-    union = known_left + known_right - common
-    whole = (n_left <= k)[:, None] & (n_right <= k)[None, :]
-    sized = 100 * np.minimum(n_left[:, None], n_right[None, :]) >= HUNDREDTHS * np.maximum(n_left[:, None], n_right[None, :])
-    return whole & (100 * common >= HUNDREDTHS * union), ~whole & sized & (100 * common >= WIDE_ESTIMATE * union)
-
-
-def _cell_pairs(group: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different components within one cell of a long list.
-
-    The component with most members is only compared with the others.  Certain
-    links are given as far as they join components that are still apart.
+    n_left, n_right = (np.array([len(s) for s in side], np.float64) for side in (left, right))
+    return 100 * common >= HUNDREDTHS * (n_left[:, None] + n_right[None, :] - common)
+
+
+def _cell_links(group: pd.DataFrame) -> pd.DataFrame:
+    """Links within one cell of a long list, as far as they join components that are still apart.
+
+    The component with most members is only compared with the others.  A cell
+    gives fewer links than it has members.
     """
     i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-    out: list[tuple[int, int, bool]] = []
+    out: list[tuple[int, int]] = []
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -226,27 +227,45 @@ def _cell_pairs(group: pd.DataFrame) -> pd.DataFrame:
         return x
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> None:
-        for at in range(0, len(left), 256):
+        for at in range(0, len(left) if len(right) else 0, 256):
             part = left.iloc[at : at + 256]
-            if not len(right):
-                return
-            sets = [[np.frombuffer(s, np.uint64) for s in side["wide"]] for side in (part, right)]
-            certain, perhaps = block_links(sets[0], part["n"].to_numpy(), sets[1], right["n"].to_numpy(), WIDE)
-            apart = part["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :]
+            found = block_links(*([np.frombuffer(s, np.uint64) for s in side["hashes"]] for side in (part, right)))
             a, b, ca, cb = part["rep"].to_numpy(), right["rep"].to_numpy(), part["comp"].to_numpy(), right["comp"].to_numpy()
-            for x, y in zip(*np.nonzero(certain & apart), strict=True):
+            for x, y in zip(*np.nonzero(found & (ca[:, None] != cb[None, :])), strict=True):
                 p, q = find(int(ca[x])), find(int(cb[y]))
                 if p != q:
                     root[max(p, q)] = min(p, q)
-                    out.append((int(min(a[x], b[y])), int(max(a[x], b[y])), True))
-            out.extend((int(min(a[x], b[y])), int(max(a[x], b[y])), False) for x, y in zip(*np.nonzero(perhaps & apart), strict=True))
+                    out.append((int(a[x]), int(b[y])))
 
     most = group["comp"].value_counts().index[0]
     left, right = group[group["c"] == i], group[group["c"] == j]
     compare(left[left["comp"] != most], right)
     if i != j:
         compare(right[right["comp"] != most], left[left["comp"] == most])
-    return pd.DataFrame(out, columns=["a", "b", "certain"]).astype({"a": np.int64, "b": np.int64, "certain": bool}).drop_duplicates()
+    return pd.DataFrame(out, columns=["a", "b"]).astype(np.int64)
+
+
+def _undecided(long: DataFrame, first: DataFrame, texts: DataFrame) -> DataFrame:
+    """``key``, ``rep``, ``comp``, ``n`` of members of long lists that may be linked with another component's.
+
+    Of a set, only values that another component has too can be common with
+    it.  With s such values in the smaller count, the similarity of two sets is
+    at most s / (n1 + n2 - s).  That leaves out documents of which the shared
+    passages are too small a part, however long the passages' lists are.
+    """
+    by_rep = long.groupBy("rep", "n").agg(F.collect_list("key").alias("keys"))  # at most K - 1 each
+    placed = by_rep.join(first.withColumnRenamed("node", "rep"), "rep", "left")
+    members = cut(placed.select("rep", "n", F.coalesce("component", "rep").alias("comp"), F.explode("keys").alias("key")), "members")
+    apart = F.min("comp") < F.max("comp")
+    mixed = members.join(members.groupBy("key").agg(apart.alias("apart")).where("apart"), "key", "left_semi")
+    held = cut(shingle_rows(texts.join(mixed.select("rep", "comp").distinct(), "rep")), "values")
+    foreign = held.groupBy("h").agg(apart.alias("apart")).where("apart")
+    shared = held.join(foreign, "h", "left_semi").groupBy("rep").agg(F.count(F.lit(1)).alias("s"))
+    # the largest set that this one can be linked with, from 100 * s >= HUNDREDTHS * (n1 + n2 - s)
+    partner = F.floor(F.col("s") * (100 + HUNDREDTHS) / HUNDREDTHS) - F.col("n")
+    able = cut(mixed.join(shared, "rep").where(100 * F.col("s") >= HUNDREDTHS * F.col("n")).select("key", "rep", "comp", "n", partner.alias("partner")), "able")
+    lists = able.groupBy("key").agg(apart.alias("apart"), F.min("n").alias("least")).where("apart")
+    return able.join(lists.drop("apart"), "key").where(F.col("partner") >= F.col("least")).select("key", "rep", "comp", "n")
 
 
 def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
@@ -269,26 +288,19 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     texts = cut(docs.withColumnRenamed("doc_id", "rep").join(involved, "rep", "left_semi"), "texts")
     found = cut(_confirmed(pairs, texts), "links")
     first = cut(components(found), "components")
-    # long lists whose members are in several components
-    by_rep = long.groupBy("rep", "n").agg(F.collect_list(F.struct("key", "members")).alias("lists"))  # at most K - 1 each
-    placed = by_rep.join(first.withColumnRenamed("node", "rep"), "rep", "left")
-    members = cut(placed.select("rep", "n", F.coalesce("component", "rep").alias("comp"), F.inline("lists")), "members")
-    mixed = members.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where(F.col("least") < F.col("most")).select("key")
-    hot = texts.join(members.join(mixed, "key", "left_semi").select("rep").distinct(), "rep", "left_semi")
-    wide = cut(wide_sketches(hot, WIDE), "wide")
-    blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
+    members = cut(_undecided(long, first, texts), "undecided")
+    lists = members.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("values"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where(F.col("c0") < F.col("c1"))
+    sets = cut(whole_sets(texts.join(members.select("rep").distinct(), "rep", "left_semi")), "sets")
+    blocks = F.greatest(F.ceil(F.col("members") / F.lit(BLOCK)), F.ceil(F.col("values") / F.lit(BLOCK_VALUES))).cast("int")
     cells = (
-        members.join(mixed, "key", "left_semi")
-        .withColumn("c", F.pmod(F.xxhash64("rep", F.lit(1)), blocks).cast("int"))
-        .withColumn("x", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("key", "rep", "n", "comp", "c", F.least("c", "x").alias("i"), F.greatest("c", "x").alias("j"))
-        .join(wide, "rep")
+        members.join(lists.select("key", blocks.alias("blocks")), "key")
+        .withColumn("c", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int"))
+        .withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("key", "rep", "comp", "c", F.least("c", "x").alias("i"), F.greatest("c", "x").alias("j"))
+        .join(sets, "rep")
     )
-    more = cut(cells.groupBy("key", "i", "j").applyInPandas(_cell_pairs, "a long, b long, certain boolean").distinct(), "more")
-    open_pairs = more.where(~F.col("certain")).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    certain = more.where("certain").select("a", "b")
-    every = cut(found.unionByName(certain).unionByName(_confirmed(open_pairs, texts)), "links")
-    return components(every)
+    more = cells.groupBy("key", "i", "j").applyInPandas(_cell_links, "a long, b long")
+    return components(found.unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -298,8 +310,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     some = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     reps = cut(some.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
     found = links(reps.select("rep", "n", "sketch"), source)
-    # one row for each class with its component
+    # one row for each class with its component; documents without words are in none
     classes = reps.select("c1", "c2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component"))
-    whole = rows.drop("sketch").join(classes, ["c1", "c2"], "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return whole.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    worded = rows.where("n > 0").drop("sketch").join(classes, ["c1", "c2"], "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component_id"))
+    whole = worded.unionByName(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    return whole.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
