@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,8 +12,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folder used for written tables if the session names no shared one (local runs and tests).
+#: Folder for written tables of runs within one machine that name no shared one.
 LOCAL_SHARED = "/tmp/wayfern-shared"
+_own_folders: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,12 +24,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    master = spark.sparkContext.master
+    if not found and master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (found or LOCAL_SHARED).rstrip("/")
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/wayfern/{what}-{uuid.uuid4().hex[:12]}"
+    """A new path in the application's own part of the shared folder, which goes when the driver ends."""
+    folder = f"{shared_dir(spark)}/wayfern-{spark.sparkContext.applicationId}"
+    if folder not in _own_folders:
+        _own_folders.add(folder)
+        atexit.register(discard, spark, folder)
+    return f"{folder}/{what}-{uuid.uuid4().hex[:12]}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a table or folder that nothing reads any more."""
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001  the session or its JVM has ended: what is left is only disk space
+        pass
 
 
 def cut(df: DataFrame, what: str) -> DataFrame:
@@ -36,10 +54,21 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     This cuts lineage and survives the loss of any executor, unlike a cache or
     a local checkpoint.
     """
-    spark = df.sparkSession
-    path = scratch(spark, what)
+    return cut_to(df, scratch(df.sparkSession, what))
+
+
+def cut_to(df: DataFrame, path: str) -> DataFrame:
+    """``cut`` with a path of the caller's, who may discard it later."""
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
 
 
 def split_words(texts: pa.Array, at: str = " ") -> tuple[list[str], np.ndarray, np.ndarray]:
