@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Lengths in a block of the suffix sums.
 BLOCK = 1024
 
@@ -56,8 +58,29 @@ def suffix_table(hist: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
+def report(counts: DataFrame, limits: list[int], probabilities: list[float], length_col: str = "n_tokens") -> DataFrame:
+    """Everything the histogram answers, in rows of three kinds.
+
+    ``kind`` is ``length`` for each length that occurs, ``limit`` for each of
+    ``limits`` and ``quantile`` for each of ``probabilities``; ``at`` is the
+    length, limit or probability and ``n_tokens`` the length that it stands
+    for.  The histogram is written once, so that documents are encoded once.
+    """
+    table = suffix_table(cut(length_histogram(counts, length_col), "histogram"))
+    every = table.withColumnsRenamed({"n_docs": "d", "docs_at_least": "da", "tokens_at_least": "ta", "truncated_total": "tt", "n_truncated": "nt"})
+    facts = lambda kind, at: [F.lit(kind).alias("kind"), at.cast("double").alias("at"), "n_tokens", F.col("d").alias("n_docs"), F.col("da").alias("docs_at_least"), F.col("ta").alias("tokens_at_least"), F.col("tt").alias("truncated_total"), F.col("nt").alias("n_truncated")]
+    lengths = every.select(*facts("length", F.col("n_tokens")))
+    asked = truncated_totals(table, limits)
+    exact = asked.join(table.select(F.col("n_tokens").alias("context_limit"), "n_docs"), "context_limit", "left")
+    n_docs = F.coalesce("n_docs", F.lit(0)).cast("long")
+    # documents of exactly the limit's length add to those beyond it
+    at_limit = exact.select(F.lit("limit").alias("kind"), F.col("context_limit").cast("double").alias("at"), F.col("context_limit").alias("n_tokens"), n_docs.alias("n_docs"), (F.col("n_truncated") + n_docs).alias("docs_at_least"), (F.col("tokens_beyond") + n_docs * F.col("context_limit")).alias("tokens_at_least"), "truncated_total", "n_truncated")
+    found = quantiles(table, probabilities).join(every, "n_tokens").select(*facts("quantile", F.col("probability")))
+    return lengths.unionByName(at_limit).unionByName(found)
+
+
 def truncated_totals(table: DataFrame, limits: list[int]) -> DataFrame:
-    """``context_limit``, ``truncated_total``, ``n_truncated`` for any limits, from the suffix table.
+    """``context_limit``, ``truncated_total``, ``n_truncated``, ``tokens_beyond`` (tokens of documents beyond it) for any limits, from the suffix table.
 
     With L the shortest length above the limit c, documents of L or more give
     c each and the rest all they have.
@@ -67,7 +90,7 @@ def truncated_totals(table: DataFrame, limits: list[int]) -> DataFrame:
     longer = table.join(F.broadcast(wanted), F.col("n_tokens") > F.col("context_limit")).groupBy("context_limit").agg(F.max("docs_at_least").alias("n"), F.max("tokens_at_least").alias("lost"))
     out = wanted.join(longer, "context_limit", "left").join(F.broadcast(total))
     n, lost = F.coalesce("n", F.lit(0)), F.coalesce("lost", F.lit(0))
-    return out.select("context_limit", (F.col("total") - lost + n * F.col("context_limit")).alias("truncated_total"), n.alias("n_truncated"))
+    return out.select("context_limit", (F.col("total") - lost + n * F.col("context_limit")).alias("truncated_total"), n.alias("n_truncated"), lost.alias("tokens_beyond"))
 
 
 def quantiles(table: DataFrame, probabilities: list[float]) -> DataFrame:

@@ -14,6 +14,9 @@ from .common import table
 BYTE_BPE = "byte_bpe_50k.tiktoken"
 WORD_BPE = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
+#: Context limits and quantiles that the report of token counts has beside the lengths that occur.
+LIMITS = [1 << i for i in range(7, 21)]
+PROBABILITIES = [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999, 1.0]
 
 
 def held_out(id_col: str = "doc_id"):
@@ -31,7 +34,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = bpe.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
-    return length_stats.suffix_table(length_stats.length_histogram(counts))
+    return length_stats.report(counts, LIMITS, PROBABILITIES)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,4 +88,32 @@ def oracle_sql() -> dict[str, str]:
                 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
             )
             SELECT * FROM r WHERE rank <= 10""",
+        "op8_near_dup": r"""
+            WITH RECURSIVE w AS (
+                SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+            ), s AS (
+                SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+            ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+            p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+            e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+            u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+            r(doc_id, root) AS (SELECT a, a FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.doc_id AND r.root < u.b),
+            c AS (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id)
+            SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(root, d.doc_id) AS component_id, d.doc_id = coalesce(root, d.doc_id) AS kept
+            FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""",
+        "op9_line_dedup": r"""
+            WITH x AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+            l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM x),
+            t AS (SELECT doc_id, pos, len(regexp_extract_all(line, '\S+')) AS n, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM l),
+            span AS (
+                SELECT a.doc_id, a.pos AS low, min(b.pos) AS high FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.upto - a.upto + a.n >= 8 GROUP BY ALL
+                UNION
+                SELECT b.doc_id, max(a.pos) AS low, b.pos AS high FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.upto - a.upto + a.n >= 8 GROUP BY ALL
+            ), run AS (SELECT doc_id, low, high, lines[low + 1:high + 1] AS run FROM span JOIN x USING (doc_id)),
+            first AS (SELECT run, min(doc_id) AS first FROM run GROUP BY run),
+            gone AS (SELECT DISTINCT doc_id, unnest(range(low, high + 1)) AS pos FROM run JOIN first USING (run) WHERE first < doc_id),
+            lost AS (SELECT doc_id, count(*) AS n, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS removed FROM gone GROUP BY doc_id),
+            left_over AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS kept FROM l ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+            SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(removed, '') AS removed_lines, CASE WHEN n IS NULL THEN text ELSE coalesce(kept, '') END AS text
+            FROM documents d LEFT JOIN lost USING (doc_id) LEFT JOIN left_over USING (doc_id)""",
     }
