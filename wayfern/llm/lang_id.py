@@ -42,8 +42,8 @@ ROUNDS = 3
 SMOOTHING = 0.02
 #: Log probability of a character that no piece covers, the same in all languages.
 UNKNOWN = -14.0
-#: Characters of the longest pieces taken from the vocabulary.
-LONGEST = 8
+#: Cells (words x positions x languages) of a forward table in training, unless one word has more.
+CELLS = 2_000_000
 CACHE_WORDS = 700_000
 BASE = np.uint64(0x100000001B3)
 _letters = regex.compile(r"\p{L}+")
@@ -51,13 +51,13 @@ _letters = regex.compile(r"\p{L}+")
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> tuple[dict[str, int], int]:
-    """Piece -> id of a sentencepiece model, and the longest length; lower-case pieces of letters, without specials."""
+    """Piece -> id of a sentencepiece model, and the longest length; all its pieces of letters, in lower case (words are runs of letters)."""
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_file=path)
     names = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
-    pieces = sorted({p.lower() for p in names if len(p) <= LONGEST and regex.fullmatch(r"▁?\p{L}+|▁", p)})
-    return {p: i for i, p in enumerate(pieces)}, LONGEST
+    pieces = sorted({p.lower() for p in names if regex.fullmatch(r"▁?\p{L}+|▁", p)})
+    return {p: i for i, p in enumerate(pieces)}, max(map(len, pieces))
 
 
 class Lattice:
@@ -137,9 +137,16 @@ def fit(words: list[str], counts: np.ndarray, languages: list[str], path: str, r
     logp = np.full((n + 1, langs), -np.log(n))
     logp[-1] = UNKNOWN
     if langs and words:
-        # in slices, as the forward table has a cell for each position and language
-        slices = [slice(i, i + 20_000) for i in range(0, len(words), 20_000)]
-        lattices = [Lattice(words[s], pieces, longest) for s in slices]
+        # in slices of like lengths, as the forward table has a cell for each position and language
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(lengths, kind="stable")
+        slices, at = [], 0
+        while at < len(order):
+            width = (lengths[order[at:]] + 1) * langs * np.arange(1, len(order) - at + 1)
+            end = at + max(1, int(np.searchsorted(width, CELLS, side="right")))
+            slices.append(order[at:end])
+            at = end
+        lattices = [Lattice([words[i] for i in s], pieces, longest) for s in slices]
         for _ in range(rounds):
             uses = sum(x.expected(logp, counts[s], n) for x, s in zip(lattices, slices, strict=True))
             share = uses / np.maximum(uses.sum(0), 1e-9)
