@@ -1,11 +1,12 @@
 """Secret scans.
 
 Two parts.  Fixed patterns find assignments, access keys and hexadecimal
-strings.  The entropy part takes candidate strings (runs of base64 or
+strings.  The entropy part takes candidate strings (runs of 20 or more base64 or
 hexadecimal characters), slides a window over each, keeps the window's counts
 and its sum of n*log2(n) up to date as one character enters and one leaves, and
-reports candidates whose best window reaches the limit of their character
-class.  An allow-list suppresses entropy findings, words and dates among them;
+reports candidates of which a window reaches the limit of the class of the
+window's own characters; the limit is highest where most characters can occur,
+and windows of digits alone have none.  An allow-list suppresses entropy findings, words and dates among them;
 letters in mixed case are no words.  Pattern findings always stay.
 
 Defined cases: null texts count as empty; texts without findings have zero
@@ -63,11 +64,45 @@ def _allow_list(entries: tuple[str, ...]) -> re.Pattern:
     return re.compile("|".join(f"(?:{e})" for e in entries) if entries else r"(?!)")
 
 
-def char_class(text: str) -> str:
-    """The narrowest class that holds all characters: hex, alnum or base64."""
-    if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text):
-        return "hex"
-    return "alnum" if text.isalnum() else "base64"
+_KIND = dict.fromkeys("0123456789", 0) | dict.fromkeys("abcdefABCDEF", 1) | dict.fromkeys("ghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ", 2)
+
+
+def _class(kinds: list[int]) -> str | None:
+    """The narrowest class, from the numbers of digits, letters A to F, other letters and other characters."""
+    if kinds[3]:
+        return "base64"
+    if kinds[2]:
+        return "alnum"
+    return "hex" if kinds[1] else None
+
+
+def hot_class(text: str, rule: EntropyRule) -> str | None:
+    """The class of the first window that reaches its class's limit, null if none does.
+
+    A window's entropy is log2(w) - (1/w) * sum n*log2(n); as one character
+    enters and one leaves, the sum and the counts of kinds change by two terms.
+    """
+    w = min(rule.window, len(text))
+    if not w:
+        return None
+    full, limits = math.log2(w), dict(rule.limits)
+    counts: dict[str, int] = {}
+    kinds = [0] * 4
+    total = 0.0
+    for i, c in enumerate(text):
+        n = counts.get(c, 0)
+        total += _NLOGN[n + 1] - _NLOGN[n]
+        counts[c] = n + 1
+        kinds[_KIND.get(c, 3)] += 1
+        if i >= w:
+            old = text[i - w]
+            n = counts[old]
+            total += _NLOGN[n - 1] - _NLOGN[n]
+            counts[old] = n - 1
+            kinds[_KIND.get(old, 3)] -= 1
+        if i >= w - 1 and (found := _class(kinds)) is not None and full - total / w >= limits[found]:
+            return found
+    return None
 
 
 def window_entropy(text: str, window: int) -> float:
@@ -104,15 +139,13 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def entropy_spans(text: str, rule: EntropyRule) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of candidates over their class's limit; the kind is ``entropy_`` and the class."""
+    """(start, end, kind) of candidates over their class's limit; the kind is ``entropy_`` and the class of the window that reached it."""
     out = []
-    limits = dict(rule.limits)
     for m in _candidate.finditer(text):
         s = m.group()
         if rule.allowed(s):
             continue
-        kind = char_class(s.rstrip("="))
-        if window_entropy(s, rule.window) >= limits[kind]:
+        if (kind := hot_class(s.rstrip("="), rule)) is not None:
             out.append((m.start(), m.end(), f"entropy_{kind}"))
     return out
 
