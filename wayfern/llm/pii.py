@@ -36,7 +36,7 @@ ALNUM = DIGITS | frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ
 LOCAL = ALNUM | frozenset("._%+-")
 LABEL = ALNUM | frozenset("-")
 PHONE = DIGITS | frozenset(" ().-")
-# Cues before an identifier, matched as written, in lower and in upper case and capitalised.
+# Cues before an identifier, matched as written, in upper case and with one or all words capitalised.
 CUES = ("account", "acct", "iban", "passport", "ssn", "social security", "konto", "compte", "cuenta")
 SCHEMES = ("http://", "https://", "ftp://", "ssh://", "postgres://", "mysql://", "redis://", "amqp://", "mongodb://")
 
@@ -51,7 +51,7 @@ def anchors() -> ahocorasick.Automaton:
     for s in SCHEMES:
         found.add_word(s, ("scheme", len(s)))
     for c in CUES:
-        for form in (c, c.upper(), c.capitalize()):
+        for form in (c, c.upper(), c.capitalize(), c.title()):
             found.add_word(form, ("cue", len(form)))
     found.make_automaton()
     return found
@@ -127,8 +127,30 @@ def iban(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
 
 
+def iban_at(text: str, at: int) -> tuple[int, int] | None:
+    """The longest valid number from ``at`` on, whose characters may be parted by single spaces or dashes.
+
+    A number has 34 characters at most, so that what is looked at is bounded.
+    """
+    if not (text[at : at + 2].isalpha() and text[at : at + 2].isascii() and run_end(text, at + 2, DIGITS) >= at + 4):
+        return None
+    value, end, best = "", at, None
+    while end < len(text) and len(value) < 34:
+        if text[end] in ALNUM:
+            value += text[end]
+            end += 1
+            # it ends where no letter or digit follows
+            if (end == len(text) or text[end] not in ALNUM) and iban(value.upper()):
+                best = end
+        elif text[end] in " -" and end + 1 < len(text) and text[end + 1] in ALNUM:
+            end += 1
+        else:
+            break
+    return None if best is None else (at, best)
+
+
 def account_after(text: str, at: int) -> tuple[int, int] | None:
-    """The identifier within a few characters behind a cue that ends at ``at``."""
+    """The identifier within a few characters behind a cue that ends at ``at``: an IBAN, or 6 to 34 digits parted by spaces or dashes."""
     i, n = at, len(text)
     for word in ("number", "no.", "no", "nr.", "id"):
         j = i + 1 if i < n and text[i] == " " else i
@@ -137,15 +159,14 @@ def account_after(text: str, at: int) -> tuple[int, int] | None:
             break
     while i < n and i < at + 16 and text[i] in " :#=.":
         i += 1
+    if i < n and text[i] not in DIGITS:
+        return iban_at(text, i)
     end = i
-    while end < n and (text[end] in ALNUM or text[end] in " -" and end + 1 < n and text[end + 1] in DIGITS) and end - i <= 42:
+    while end < n and (text[end] in DIGITS or text[end] in " -" and end + 1 < n and text[end + 1] in DIGITS):
         end += 1
     if end < n and text[end] in ALNUM:
         return None
-    value = text[i:end].replace(" ", "").replace("-", "")
-    if value[:2].isalpha() and value.isascii():
-        return (i, end) if iban(value.upper()) else None
-    return (i, end) if 6 <= len(value) <= 34 and value.isdigit() and value.isascii() else None
+    return (i, end) if 6 <= sum(c in DIGITS for c in text[i:end]) <= 34 else None
 
 
 def login_after(text: str, at: int) -> tuple[int, int] | None:
