@@ -37,9 +37,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches
+from .common import cut, free_name, map_batches
 
-SEED_WORDS, BLOCK_WORDS = 4, 8
+#: Words of the shortest run and of the shortest block.
+BLOCK_WORDS = 8
 #: Letters that count as a word in scripts without spaces.
 LETTERS_A_WORD = 2
 # Thai to Myanmar, Khmer, kana, Han
@@ -192,11 +193,15 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with the text shortened, and ``gone``, the positions of its deleted lines (null: none)."""
-    found = cut(deletions(docs, id_col, text_col), "deletions").select(F.col("d").alias("__d"), F.col("t").alias("__t"), F.col("gone").alias("__gone"))
+    """All columns of ``docs`` with the text shortened, and ``gone``, the positions of its deleted lines (null: none).
+
+    A column ``gone`` that ``docs`` has is replaced.
+    """
+    docs = docs.drop("gone")
+    d, t = free_name(docs, "later_id"), free_name(docs, "later_text")
+    found = cut(deletions(docs, id_col, text_col), "deletions").select(F.col("d").alias(d), F.col("t").alias(t), "gone")
     text = F.col(f"`{text_col}`")
-    joined = docs.join(found, (F.col(f"`{id_col}`").cast("long") == F.col("__d")) & (F.xxhash64(text) == F.col("__t")), "left")
+    joined = docs.join(found, (F.col(f"`{id_col}`").cast("long") == F.col(d)) & (F.xxhash64(text) == F.col(t)), "left")
     lines = F.split(text, "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    shortened = joined.withColumn(text_col, F.when(F.col("__gone").isNull(), text).otherwise(kept))
-    return shortened.drop("__d", "__t").withColumnRenamed("__gone", "gone")
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
+    return joined.withColumn(text_col, F.when(F.col("gone").isNull(), text).otherwise(kept)).drop(d, t)
