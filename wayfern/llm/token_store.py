@@ -14,10 +14,12 @@ document index, the chunk index and a footer.
 * Footer: u64 place of the document index, u64 of the chunk index, u64 chunks,
   u64 documents, ``WFTP``.
 
-Documents are range-partitioned and sorted by id, so that the files, in order
-of their number, hold all ids in ascending document order.  A file is written
-under a temporary name and renamed, hence a task that is run again replaces it
-by the same bytes.
+Documents are range-partitioned and sorted by id; a partition goes on to a new
+file after ``FILE_IDS`` ids or ``FILE_DOCS`` documents, so that files and their
+indexes stay of a bounded size however much a partition holds.  The files, in
+order of their partition and number, hold all ids in ascending document order.
+A file is written under a temporary name and renamed, hence a task that is run
+again replaces it by the same bytes.
 
 Defined cases: a null text counts as empty and gives just the end id; documents
 with equal ids keep an order by their text; a null id sorts first; an empty
@@ -45,6 +47,8 @@ from .common import Packed, cut, scratch, split_words
 MAGIC, VERSION = b"WFTP", 1
 BLOCK_IDS = 4096
 CHUNK_IDS = 1 << 18
+#: Ids and documents after which a partition goes on to a new file.
+FILE_IDS, FILE_DOCS = 1 << 28, 1 << 20
 #: Byte planes of a 32-bit id.
 PLANES = 4
 LEVEL = 3
@@ -259,7 +263,7 @@ def word_encoder(path: str) -> WordEncoder:
 # -- writing and reading tables -------------------------------------------
 
 
-def write(docs: DataFrame, out_dir: str, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", n_files: int | None = None) -> DataFrame:
+def write(docs: DataFrame, out_dir: str, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", n_parts: int | None = None, file_ids: int = FILE_IDS, file_docs: int = FILE_DOCS) -> DataFrame:
     """Write the ids of all documents; returns the written list of files.
 
     Columns: ``file_no``, ``uri``, ``n_docs``, ``n_ids`` and ``base``, the
@@ -268,29 +272,36 @@ def write(docs: DataFrame, out_dir: str, path: str, end_id: int = 1, id_col: str
     """
     spark = docs.sparkSession
     pairs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    n_files = n_files or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = pairs.repartitionByRange(n_files, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    n_parts = n_parts or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = pairs.repartitionByRange(n_parts, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId()
-        uri = f"{out_dir}/part-{number:06d}.wftp"
+        partition = TaskContext.get().partitionId()
         encoder, end = word_encoder(path), np.array([end_id], "<u4")
-        first = next(batches, None)
-        if first is None:
-            return
-        with storage.write_atomic(uri) as sink:
-            writer = Writer(sink)
-            batch: pa.RecordBatch | None = first
-            while batch is not None:
+
+        def encoded() -> Iterator[tuple[int | None, np.ndarray]]:
+            for batch in batches:
                 for at in range(0, batch.num_rows, 1024):
                     part = batch.slice(at, 1024)
                     for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode_batch(part.column(1)), strict=True):
-                        writer.add(doc_id, np.concatenate([ids, end]))
-                batch = next(batches, None)
-            writer.close()
-        yield pa.RecordBatch.from_pydict({"file_no": pa.array([number], pa.int64()), "uri": [uri], "n_docs": pa.array([len(writer.docs)], pa.int64()), "n_ids": pa.array([writer.n_ids], pa.int64())})
+                        yield doc_id, np.concatenate([ids, end])
+
+        waiting, number = encoded(), 0
+        doc = next(waiting, None)
+        while doc is not None:
+            uri = f"{out_dir}/part-{partition:06d}-{number:06d}.wftp"
+            with storage.write_atomic(uri) as sink:
+                writer, n_ids = Writer(sink), 0
+                while doc is not None and n_ids < file_ids and len(writer.docs) < file_docs:
+                    writer.add(*doc)
+                    n_ids += len(doc[1])
+                    doc = next(waiting, None)
+                writer.close()
+            file_no = (partition << 32) + number
+            yield pa.RecordBatch.from_pydict({"file_no": pa.array([file_no], pa.int64()), "uri": [uri], "n_docs": pa.array([len(writer.docs)], pa.int64()), "n_ids": pa.array([writer.n_ids], pa.int64())})
+            number += 1
 
     files = cut(dealt.mapInArrow(run, "file_no long, uri string, n_docs long, n_ids long"), "token-files")
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
