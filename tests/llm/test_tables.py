@@ -103,25 +103,6 @@ def test_near_duplicates(docs, empty, monkeypatch):
     assert near_dup.near_duplicates(empty).count() == 0
 
 
-def near_brute(rows):
-    sets = {i: near_dup.shingle_set(t) for i, t in rows}
-    root = {i: i for i in sets}
-    for i in sorted(sets):
-        for j in sorted(sets):
-            if i < j and len(sets[i]) and len(sets[j]) and near_dup.linked(sets[i], sets[j]):
-                a, b = sorted((root[i], root[j]))
-                root = {k: a if r == b else r for k, r in root.items()}
-    return root
-
-
-def test_near_duplicates_equal_brute_force(spark, sf_dir, monkeypatch):
-    monkeypatch.setattr(near_dup, "SHORT", 2)
-    monkeypatch.setattr(near_dup, "BLOCK", 3)
-    real = queries.table(spark, sf_dir, "documents")
-    want = near_brute([(r.doc_id, r.text) for r in real.collect()])
-    assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(real).collect()} == want
-
-
 def test_line_dedup(docs, empty):
     rows = line_dedup.dedup_lines(docs).collect()
     assert len(rows) == len(ROWS)
@@ -131,29 +112,6 @@ def test_line_dedup(docs, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
-def line_brute(rows):
-    """Every later document against the earliest holder of each of its seed lines."""
-    parsed = {i: line_dedup.line_hashes(t) for i, t in rows}
-    first = {}
-    for i in sorted(parsed):
-        for h, n in zip(*parsed[i], strict=True):
-            if n >= line_dedup.SEED_WORDS:
-                first.setdefault(h, i)
-    out = {}
-    for i, (hs, ws) in parsed.items():
-        partners = {first[h] for h, n in zip(hs, ws, strict=True) if n >= line_dedup.SEED_WORDS} - {i}
-        gone = {p for j in partners for p in line_dedup.common_blocks(parsed[j][0], hs, ws)}
-        if gone:
-            out[i] = sorted(gone)
-    return out
-
-
-def test_line_dedup_equals_brute_force(spark, sf_dir):
-    real = queries.table(spark, sf_dir, "documents")
-    want = line_brute([(r.doc_id, r.text) for r in real.collect()])
-    assert {r.d: r.gone for r in line_dedup.deletions(real).collect()} == want
-
-
 def test_decontamination(spark, docs, empty):
     item = "If a train travels from Paris at 60 km per hour for 3 hours then how far from Paris will the train be"
     bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "short words only here now")], "item_id long, text string")
@@ -165,7 +123,7 @@ def test_decontamination(spark, docs, empty):
 
 
 def test_token_files(docs, empty):
-    rows = token_store.store(docs, P.path(queries.WORD_BPE), n_files=3).collect()
+    rows = token_store.store(docs, P.path(queries.WORD_BPE), n_parts=3, file_ids=400).collect()
     assert len(rows) == len(ROWS)
     ordered = sorted(rows, key=lambda r: r.start)
     assert [r.doc_id for r in ordered] == [None, 1, 2, 2, 3, 4, 5, 6, 7, 8]
