@@ -35,7 +35,7 @@ def main(args: list[str] | None = None) -> int:
             print(json.dumps({"errors": errors}))
             return 1
         basis = pages.agg(F.max("basisDate")).first()[0]
-        source = {"basis_date": basis, "downloaded_at_ms": asked.downloaded_at_ms, "snapshot_id": "snapshot_" + digest([basis, asked.fixture])[:24]}
+        source = {"basis_date": basis, "downloaded_at_ms": asked.downloaded_at_ms, "snapshot_id": "snapshot_" + digest([basis, ledger.pages_digest(pages)])[:24]}
         checked = ledger.check(ledger.rows(decoded), source["snapshot_id"])
         good = ledger.normalise(checked.where(F.col("reason_code").isNull()), source["snapshot_id"])
         entry = versions.publish({"ledger": checked, "candidates": good}, source)

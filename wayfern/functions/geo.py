@@ -14,10 +14,11 @@ BOX = (37.4, 37.75, 126.7, 127.3)
 
 
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Metres between points in 1e-7 degrees."""
+    """Metres between points in 1e-7 degrees, null if either is unknown."""
     a1, a2 = F.radians(lat1 / E7), F.radians(lat2 / E7)
     h = F.pow(F.sin((a2 - a1) / 2), 2) + F.cos(a1) * F.cos(a2) * F.pow(F.sin(F.radians((lon2 - lon1) / E7) / 2), 2)
-    h = F.least(F.lit(1.0), F.greatest(F.lit(0.0), h))
+    # least and greatest pass over nulls
+    h = F.when(h.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), h)))
     return 2 * EARTH_M * F.atan2(F.sqrt(h), F.sqrt(1 - h))
 
 
@@ -26,8 +27,8 @@ def rounded_m(metres: Column) -> Column:
 
 
 def distance_bucket(metres: Column) -> Column:
-    """The upper bound that is shown: a multiple of 250 m, 250 at least."""
-    return F.greatest(F.lit(250), F.ceil(metres / 250) * 250).cast("long")
+    """The upper bound that is shown: a multiple of 250 m, 250 at least; null if unknown."""
+    return F.when(metres.isNotNull(), F.greatest(F.lit(250), F.ceil(metres / 250) * 250)).cast("long")
 
 
 # The transverse Mercator grid EPSG:5174 (Bessel 1841) and its shift to WGS 84.

@@ -45,9 +45,9 @@ def decrypt(row: Column, key: Column, aad: Column) -> Column:
     return F.try_aes_decrypt(F.concat(row["nonce"], row["ciphertext"], row["auth_tag"]), key, F.lit("GCM"), F.lit("DEFAULT"), aad).cast("string")
 
 
-def table_digest(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``n`` and ``digest`` of a table regardless of row order: rows are hashed where they lie and only sums travel."""
+def table_digest(df: DataFrame, columns: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
+    """``n`` and ``digest`` of a table, or of each group ``by``, regardless of row order: rows are hashed where they lie and only sums travel."""
     row = F.sha2(F.to_json(F.struct(*(columns or sorted(df.columns))), {"ignoreNullFields": "false"}), 256)
     parts = [F.conv(F.substring(row, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)") for i in range(4)]
     sums = [F.coalesce(F.sum(p), F.lit(0)).cast("string") for p in parts]
-    return df.agg(F.count(F.lit(1)).alias("n"), F.sha2(F.concat_ws(":", *sums), 256).alias("digest"))
+    return df.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.concat_ws(":", *sums), 256).alias("digest"))

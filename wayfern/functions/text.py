@@ -1,35 +1,43 @@
 """Text normalisers as column expressions.
 
-Spark has no Unicode normalisation, so NFKC is one Arrow UDF; everything else
-stays in the JVM.  White space means the Unicode-wide class plus U+FEFF.
+Spark has no Unicode normalisation, so NFKC is one vectorised UDF, which sees
+only texts with a character that it may change; everything else stays in the
+JVM.  White space means the Unicode-wide class plus U+FEFF.
 """
 
 from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPACE = r"[\s\p{Z}\x{FEFF}\x{85}\x{0B}]"
+#: Texts of these characters alone are NFKC already: ASCII, composed Latin letters, Hangul syllables and some signs.
+STABLE = r"^[\x00-\x7F\x{A1}-\x{A7}\x{A9}\x{AB}-\x{AE}\x{B0}\x{B1}\x{B6}\x{B7}\x{BB}\x{BF}-\x{131}\x{134}-\x{13E}\x{141}-\x{148}\x{14A}-\x{17E}\x{2010}\x{2013}\x{2014}\x{2018}-\x{201D}\x{AC00}-\x{D7A3}]*$"
+_latin = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x2000) if len(unicodedata.normalize("NFD", chr(c))) > 1 and "LATIN" in unicodedata.name(unicodedata.normalize("NFD", chr(c))[0], "")]
 
 
-@F.udf(T.StringType(), useArrow=True)
-def nfkc(x):
-    return None if x is None else unicodedata.normalize("NFKC", x)
+@F.pandas_udf(T.StringType())
+def _nfkc(x: pd.Series) -> pd.Series:
+    return x.str.normalize("NFKC")
 
 
-@F.udf(T.StringType(), useArrow=True)
-def fold_diacritics(x):
+def let(x: Column, use) -> Column:
+    """``use(x)`` with ``x`` evaluated once, however often it is used."""
+    return F.transform(F.array(x), use)[0]
+
+
+def nfkc(x: Column) -> Column:
+    stable = x.rlike(STABLE)
+    return F.when(stable, x).otherwise(_nfkc(F.when(~stable, x)))
+
+
+def fold_diacritics(x: Column) -> Column:
     """Latin letters without their marks; other scripts stay composed."""
-    if x is None:
-        return None
-    out = []
-    for c in x:
-        base = unicodedata.normalize("NFD", c)
-        out.append(base[0] if len(base) > 1 and "LATIN" in unicodedata.name(base[0], "") else c)
-    return "".join(out)
+    return F.translate(x, "".join(c for c, _ in _latin), "".join(b for _, b in _latin))
 
 
 def collapse(x: Column) -> Column:
@@ -56,7 +64,8 @@ def review_text(x: Column, normal: bool = False) -> Column:
 
 def address(x: Column) -> Column:
     """struct(display_address, normalized_address, district), null unless within Seoul."""
-    t = collapse(F.regexp_replace(nfkc(F.coalesce(x, F.lit(""))), r"[\x{2010}-\x{2012}\x{2013}\x{2014}\x{2212}\x{FF0D}]", "-"))
+    # fixed values: dashes, and the city's names
+    t = collapse(F.regexp_replace(nfkc(F.coalesce(x, F.lit(""))), r"[\x{2010}\x{2011}\x{2012}\x{2013}\x{2014}\x{2212}\x{FF0D}]", "-"))
     t = F.regexp_replace(t, rf"^서울(?:특별시|시)?(?={SPACE})", "서울특별시")
     t = collapse(F.regexp_replace(t, "[,·]", " "))
     district = F.regexp_extract(t, r"^서울특별시\s+([가-힣]+구)(?:\s|$)", 1)
@@ -64,7 +73,8 @@ def address(x: Column) -> Column:
 
 
 def phone_digits(x: Column) -> Column:
-    """A domestic number of 9 to 11 digits, or null for placeholders and other numbers."""
+    """A domestic number of 9 to 11 digits, or null for placeholders and other numbers; full-width digits count."""
+    x = nfkc(x)
     raw = F.regexp_replace(x, r"[^0-9]", "")
     digits = F.when(F.startswith(F.trim(x), F.lit("+82")) & F.startswith(raw, F.lit("82")), F.concat(F.lit("0"), F.substring(raw, 3, 40))).otherwise(raw)
     good = digits.rlike(r"^0\d{8,10}$") & ~digits.rlike("0{6,}") & ~digits.rlike(r"^(\d)\1+$")
@@ -73,6 +83,7 @@ def phone_digits(x: Column) -> Column:
 
 def store_name(x: Column) -> Column:
     """struct(display_name, normalized_name, normalized_brand_name, branch_name)."""
+    # fixed values: how a company is marked
     mark = r"(?:\(\s*주\s*\)|㈜|주식회사)"
     t = nfkc(F.regexp_replace(F.regexp_replace(collapse(x), "㈜", "(주)"), "^$", ""))
     t = collapse(F.regexp_replace(F.regexp_replace(t, rf"^(?:{mark}\s*)+", ""), rf"\s*{mark}$", ""))
@@ -112,14 +123,22 @@ IDENTIFIERS = (
 
 def deidentify(x: Column, normal: bool = False, patterns: tuple[str, ...] = IDENTIFIERS) -> Column:
     """struct(accepted, text, reason_code): identifiers redacted, sensitive or empty reviews refused."""
-    t = collapse(x if normal else nfkc(x))
-    r = t
-    for p in patterns:
-        r = F.regexp_replace(r, p, "[redacted]")
-    r = collapse(r)
-    rest = F.regexp_replace(F.regexp_replace(r, r"\[redacted\]", ""), r"[\p{P}\p{S}\s]", "")
-    reason = F.when(F.coalesce(t, F.lit("")) == "", "REJECTED_EMPTY").when(t.rlike(NAMED_PERSON) | t.rlike(SENSITIVE), "REJECTED_PII").when(rest == "", "REJECTED_EMPTY")
-    return F.struct(reason.isNull().alias("accepted"), F.when(reason.isNull(), r).alias("text"), reason.alias("reason_code"))
+
+
+    def redacted(t: Column, left: tuple[str, ...] = patterns) -> Column:
+        if not left:
+            return collapse(t)
+        p = left[0]
+        # a pattern is tried only where a character that it needs is there
+        needs = F.contains(t, F.lit("@")) if "@" in p else t.rlike(r"(?i)://|www\.") if "www" in p else t.rlike("[0-9]")
+        return let(F.when(needs, F.regexp_replace(t, p, "[redacted]")).otherwise(t), lambda r: redacted(r, left[1:]))
+
+    def judged(t: Column, r: Column) -> Column:
+        rest = F.regexp_replace(F.regexp_replace(r, r"\[redacted\]", ""), r"[\p{P}\p{S}\s]", "")
+        reason = F.when(F.coalesce(t, F.lit("")) == "", "REJECTED_EMPTY").when(t.rlike(NAMED_PERSON) | t.rlike(SENSITIVE), "REJECTED_PII").when(rest == "", "REJECTED_EMPTY")
+        return let(reason, lambda c: F.struct(c.isNull().alias("accepted"), F.when(c.isNull(), r).alias("text"), c.alias("reason_code")))
+
+    return let(collapse(x if normal else nfkc(x)), lambda t: let(redacted(t), lambda r: judged(t, r)))
 
 
 # Words that mean the same item, in group order.
@@ -152,4 +171,8 @@ def expand_terms(x: str, groups=SYNONYMS) -> list[str]:
 
 
 def truncate(x: Column, n: int) -> Column:
-    return F.substring(x, 1, n)
+    """The first ``n`` UTF-16 units, without half of a pair at the end."""
+    units = F.substring(F.encode(x, "UTF-16BE"), 1, 2 * n)
+    halved = F.hex(F.substring(units, 2 * n - 1, 1)).between("D8", "DB")
+    cut = F.decode(F.when(halved, F.substring(units, 1, 2 * n - 2)).otherwise(units), "UTF-16BE")
+    return F.when(F.length(x) <= n // 2, x).otherwise(cut)

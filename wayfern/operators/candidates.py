@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, timeutil
 from ..functions.text import expand_terms, plain_search_text, truncate
+from .tables import cut
 
 # Codes in their fixed order.
 CATEGORIES = ("FERMENTED_BREAD", "PASTRY", "SALT_BREAD", "BAGUETTE", "LOAF_BREAD", "SWEET_BREAD", "SANDWICH", "DESSERT")
@@ -126,13 +127,16 @@ def completeness(menus: Column, state: Column, phone: Column, reviews: Column) -
     return points(_size(menus) > 0, 3000) + points(state != "UNKNOWN", 2500) + points(phone.isNotNull(), 1500) + points(reviews > 0, 1500) + points(reviews >= ENOUGH_REVIEWS, 1500)
 
 
-def derive(candidates: DataFrame, q: Query) -> DataFrame:
-    """Adds distance, opening state, review status, completeness and adjusted rating."""
+def derive(candidates: DataFrame, q: Query, mean: DataFrame | None = None) -> DataFrame:
+    """Adds distance, opening state, review status, completeness and adjusted rating.
+
+    ``mean``: the global mean, if the caller has it from fewer columns than the candidates'.
+    """
     distance = F.lit(None).cast("long") if q.origin is None else geo.rounded_m(geo.haversine_m(F.lit(q.origin[0]), F.lit(q.origin[1]), F.col("latitude_e7"), F.col("longitude_e7")))
     out = candidates.withColumns({"distance_m": distance, "opening_state": timeutil.opening_state(F.col("hours"), F.lit(q.request_ms)), "review_status": review_status(F.col("review_count"))})
     out = out.withColumn("completeness", completeness(F.col("menus"), F.col("opening_state"), F.col("normalized_phone"), F.col("review_count")))
     # one row
-    return out.crossJoin(F.broadcast(global_mean(candidates))).withColumn("adjusted_rating", adjusted_rating(F.col("rating_sum_bp"), F.col("rated_count"), F.col("mean_bp")))
+    return out.crossJoin(F.broadcast(global_mean(candidates) if mean is None else mean)).withColumn("adjusted_rating", adjusted_rating(F.col("rating_sum_bp"), F.col("rated_count"), F.col("mean_bp")))
 
 
 def either_contains(a: Column, b: Column) -> Column:
@@ -216,8 +220,29 @@ def ranking(q: Query) -> list[Column]:
 
 
 def ranked(marked: DataFrame, q: Query) -> DataFrame:
-    """Kept candidates with ``rank`` from 1.  The rank column numbers the whole result, hence one task; callers that need only the first rows use ``orderBy(*ranking(q)).limit(n)``."""
-    return marked.where(F.col("removal_reason").isNull()).withColumn("rank", F.row_number().over(Window.orderBy(*ranking(q))))
+    """Kept candidates with ``rank`` from 1.
+
+    Rows are numbered within groups that follow each other in the order (its
+    leading keys, distances by the kilometre); a group starts behind the sum of
+    the groups before it.  Only groups are put into one sequence, not rows.
+    Callers that need the first rows only use ``orderBy(*ranking(q)).limit(n)``.
+    """
+    rows = cut(marked.where(F.col("removal_reason").isNull()), "ranked")
+    available = F.col("review_status") == "AVAILABLE"
+    opening = F.when(F.col("opening_state") == "OPEN", 0).when(F.col("opening_state") == "UNKNOWN", 1).otherwise(2)
+    km = F.coalesce(F.floor(F.col("distance_m") / 1000), F.lit(1 << 40))
+    used = lambda f, none: F.coalesce(F.when(F.col("usable_evidence"), F.col(f"evidence.{f}")), F.lit(none))
+    lead = {"g0": ~F.col("menu_match"), "g1": -F.col("included_count"), "g2": ~F.col("usable_evidence"), "g3": used("term_priority", 1 << 30), "g4": used("rank", 1e300)}
+    if not q.terms:
+        lead |= {"g5": -F.when(available, F.col("review_count")).otherwise(0), "g6": -F.coalesce(F.unix_date(F.when(available, F.col("latest_date")).cast("date")), F.lit(-(1 << 30)))}
+        lead |= {"g7": km} if q.sort_mode == "DISTANCE" else {"g7": opening, "g8": km}
+    keys = [F.col(c) for c in lead]
+    named = rows.withColumns(lead)
+    groups = named.groupBy(*keys).agg(F.count(F.lit(1)).alias("g_size"))
+    before = F.coalesce(F.sum("g_size").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = groups.select(*keys, before.alias("g_before"))
+    placed = named.withColumn("g_row", F.row_number().over(Window.partitionBy(*keys).orderBy(*ranking(q)))).join(starts, [*lead])
+    return placed.withColumn("rank", (F.col("g_before") + F.col("g_row")).cast("int")).drop(*lead, "g_row", "g_before")
 
 
 def representative_menus(q: Query, n: int = 3) -> Column:

@@ -22,12 +22,24 @@ def assign(stores: DataFrame, evidence: DataFrame) -> DataFrame:
     return out.withColumn("brand_key", F.coalesce("brand_key", F.concat(F.lit("name:"), "normalized_brand_name"))).withColumn("bakery_id", stable_id("bakery", F.col("brand_key")))
 
 
+def assignment_errors(stores: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``error``, ``key``: numbers that several brands list or no store has, and names that reach several brands.
+
+    ``stores``: ``management_number`` and ``normalized_brand_name``.
+    """
+    listed = evidence.select("brand_key", F.explode("management_numbers").alias("m")).distinct()
+    there = stores.select(F.col("management_number").alias("m"), "normalized_brand_name")
+    missing = listed.join(there, "m", "left_anti").select(F.lit("TARGET_MISSING").alias("error"), F.col("m").alias("key")).distinct()
+    several = there.join(listed, "m").groupBy("normalized_brand_name").agg(F.count_distinct("brand_key").alias("n")).where("n > 1")
+    return overlaps(evidence).select(F.lit("OVERLAP").alias("error"), F.col("m").alias("key")).unionByName(missing).unionByName(several.select(F.lit("MULTIPLE_BRANDS").alias("error"), F.col("normalized_brand_name").alias("key")))
+
+
 def overlaps(evidence: DataFrame) -> DataFrame:
     """Management numbers that several brands list."""
     return evidence.select("brand_key", F.explode("management_numbers").alias("m")).groupBy("m").agg(F.count_distinct("brand_key").alias("n")).where("n > 1")
 
 
-def _coded(x: Column, codes: dict[str, str]) -> Column:
+def coded(x: Column, codes: dict[str, str]) -> Column:
     return F.element_at(F.create_map(*(F.lit(y) for kv in codes.items() for y in kv)), x)
 
 
@@ -69,8 +81,8 @@ def classify(stores: DataFrame, evidence: DataFrame, version: str = "v1") -> Dat
     code = lambda c, name: F.when(c, F.lit(name))
     reasons = F.array(
         F.lit("SEOUL_STORE_COUNT"),
-        _coded(F.col("ftc_status"), FTC),
-        _coded(F.col("admin_status"), ADMIN),
+        coded(F.col("ftc_status"), FTC),
+        coded(F.col("admin_status"), ADMIN),
         evidence_code,
         code(F.col("inactive") > 0, "STORE_NOT_OPERATING"),
         code(large, "CHAIN_LIMIT_EXCEEDED"),

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold_diacritics
+from .tables import cut
 
 K1, B = 1.2, 0.75
 MAX_UNITS = 200
@@ -47,52 +48,96 @@ def index(documents: DataFrame, id_col: str = "review_id", body_col: str = "norm
     return postings, lengths
 
 
-def bm25(documents: DataFrame, terms: list[str], id_col: str = "review_id", body_col: str = "normalized_body", folded: bool = False) -> DataFrame:
-    """``id``, ``rank`` of documents that hold all ``terms``.
+def counts(documents: DataFrame, terms: list[str], id_col: str = "review_id", body_col: str = "normalized_body", folded: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id``, ``keep``, ``dl`` and ``tf`` (uses of each of ``terms``) of every document.
+
+    One scan for all terms: the query's tokens are counted where a document is
+    read, no postings are shuffled, and the narrow rows are written once.
+    """
+    rows = documents.select(F.col(id_col), *keep, tokens(F.col(body_col), folded).alias("t"))
+    wanted = F.array(*map(F.lit, terms))
+    rows = rows.select(id_col, *keep, F.size("t").alias("dl"), F.filter("t", lambda x: F.array_contains(wanted, x)).alias("t"))
+    return cut(rows.select(id_col, *keep, "dl", F.transform(wanted, lambda w: F.size(F.filter("t", lambda x: x == w))).alias("tf")), "counts")
+
+
+def scored(found: DataFrame, terms: list[str], groups: list[list[str]]) -> DataFrame:
+    """Rows of ``found`` (see ``counts``) for each group of terms of which they hold all: ``group`` and ``rank``.
 
-    Only the query's tokens are counted, in the scan itself: no postings are
-    shuffled.  Statistics are one row, broadcast.
+    Statistics are one row, broadcast.
     """
+    stats = found.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"), F.array(*(F.count_if(F.col("tf")[i] > 0) for i in range(len(terms)))).alias("df"))
+    parts = []
+    for number, group in enumerate(groups):
+        score = F.lit(0.0)
+        hit = F.lit(True)
+        for i in map(terms.index, group):
+            tf, df = F.col("tf")[i], F.col("df")[i]
+            idf = F.greatest(F.log((F.col("n_docs") - df + 0.5) / (df + 0.5)), F.lit(1e-6))
+            score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
+            hit = hit & (tf > 0)
+        parts.append(F.when(hit, F.struct(F.lit(number).alias("group"), (-score).alias("rank"))))
+    every = found.crossJoin(F.broadcast(stats)).withColumn("hit", F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())))
+    return every.select(*[c for c in found.columns if c not in ("dl", "tf")], "hit.group", "hit.rank")
+
+
+def bm25(documents: DataFrame, terms: list[str], id_col: str = "review_id", body_col: str = "normalized_body", folded: bool = False) -> DataFrame:
+    """``id``, ``rank`` of documents that hold all ``terms``."""
     if not terms:
         raise ValueError("no token")
-    rows = documents.select(F.col(id_col), tokens(F.col(body_col), folded).alias("t"))
-    uses = lambda term: F.size(F.filter("t", lambda x: x == term))
-    rows = rows.select(id_col, F.size("t").alias("dl"), *(uses(t).alias(f"tf{i}") for i, t in enumerate(terms)))
-    stats = rows.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
-    score = F.lit(0.0)
-    hit = F.lit(True)
-    for i in range(len(terms)):
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        idf = F.greatest(F.log((F.col("n_docs") - df + 0.5) / (df + 0.5)), F.lit(1e-6))
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-        hit = hit & (tf > 0)
-    return rows.where(hit).crossJoin(F.broadcast(stats)).select(id_col, (-score).alias("rank"))
+    return scored(counts(documents, terms, id_col, body_col, folded), terms, [terms]).select(id_col, "rank")
+
+
+def bm25_indexed(postings: DataFrame, lengths: DataFrame, terms: list[str], id_col: str = "review_id") -> DataFrame:
+    """As ``bm25`` from a stored ``index``: only the terms' postings are read."""
+    stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
+    mine = postings.where(F.col("token").isin(*terms))
+    df = mine.groupBy("token").agg(F.count(F.lit(1)).alias("df"))  # a row a term
+    rows = mine.join(F.broadcast(df), "token").crossJoin(F.broadcast(stats))
+    idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
+    return rows.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"), (-F.sum(part)).alias("rank")).where(F.col("n") == len(terms)).select(id_col, "rank")
 
 
 def search(documents: DataFrame, text: str, limit: int = 20, store_ids: list[str] | None = None, folded: bool = False) -> DataFrame:
-    """Best ``limit`` (1 to 100) reviews: by rank, newest, id."""
+    """Best ``limit`` (1 to 100) reviews: by rank, newest, id; of these stores, if any are named (up to 100)."""
     if not 1 <= limit <= 100:
         raise ValueError("limit")
-    hits = bm25(documents, query_tokens(text), folded=folded).join(documents, "review_id")
+    terms = query_tokens(text)
+    if not terms:
+        raise ValueError("no token")
+    hits = scored(counts(documents, terms, folded=folded, keep=("store_id", "published_date")), terms, [terms]).drop("group")
     if store_ids is not None:
-        hits = hits.where(F.col("store_id").isin(*sorted({s.strip() for s in store_ids})))
-    return hits.orderBy("rank", F.desc("published_date"), "review_id").limit(limit)
+        hits = hits.where(F.col("store_id").isin(*scope(store_ids)))
+    best = hits.orderBy("rank", F.desc("published_date"), "review_id").limit(limit)
+    return best.join(documents.select("review_id", "normalized_body"), "review_id").orderBy("rank", F.desc("published_date"), "review_id")
+
+
+def scope(store_ids: list[str]) -> list[str]:
+    """Up to 100 different ids without white space around them; control characters are refused."""
+    out = sorted({s.strip() for s in store_ids})
+    if not 1 <= len(out) <= 100 or any(not s or any(unicodedata.category(c) == "Cc" for c in s) for s in out):
+        raise ValueError("store ids")
+    return out
 
 
 def best_evidence(documents: DataFrame, terms: list[str], folded: bool = False) -> DataFrame:
-    """``store_id``, ``evidence``: each store's first hit by term priority, rank, newest, id."""
-    parts = []
-    for priority, term in enumerate(terms):
-        found = query_tokens(term)
-        if found:
-            parts.append(bm25(documents, found, folded=folded).withColumn("term_priority", F.lit(priority)).withColumn("tokens", F.array(*map(F.lit, found))))
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
-    hits = hits.join(documents.select("review_id", "store_id", "published_date", "normalized_body"), "review_id")
-    order = Window.partitionBy("store_id").orderBy("term_priority", "rank", F.desc("published_date"), "review_id")
-    best = hits.withColumn("r", F.row_number().over(order)).where("r = 1")
-    return best.select("store_id", F.struct("term_priority", "rank", "published_date", "review_id", snippet(F.col("normalized_body"), F.col("tokens")).alias("snippet")).alias("evidence"))
+    """``store_id``, ``evidence``: each store's first hit by term priority (1 to 20 terms), rank, newest, id.
+
+    Documents are read once for the counts of all terms, and once for the
+    bodies of the best hits.
+    """
+    if not 1 <= len(terms) <= 20:
+        raise ValueError("1 to 20 terms")
+    groups = {i: t for i, t in enumerate(map(query_tokens, terms)) if t}
+    every = list(dict.fromkeys(t for g in groups.values() for t in g))
+    found = counts(documents, every, folded=folded, keep=("store_id", "published_date"))
+    hits = scored(found, every, [*groups.values()])
+    first = F.min_by(F.struct("group", "rank", "published_date", "review_id"), F.struct("group", "rank", (-F.unix_date(F.col("published_date").cast("date"))).alias("d"), "review_id"))
+    best = hits.groupBy("store_id").agg(first.alias("b")).select("store_id", "b.*")
+    rows = best.join(documents.select("review_id", "normalized_body"), "review_id")
+    facts = F.array(*(F.struct(F.lit(i).alias("priority"), F.array(*map(F.lit, t)).alias("tokens")) for i, t in groups.items()))
+    fact = facts[F.col("group")]
+    return rows.select("store_id", F.struct(fact["priority"].alias("term_priority"), "rank", "published_date", "review_id", snippet(F.col("normalized_body"), fact["tokens"]).alias("snippet")).alias("evidence"))
 
 
 def snippet(body: Column, terms: Column, width: int = 16) -> Column:

@@ -9,14 +9,13 @@ allows.  Pairs from all blocks are made distinct, then tested exactly.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.ids import stable_id
 from ..functions.text import bigrams
+from .tables import cut
 
 NEAR_M, MATCH_M = 100, 50
 SIMILAR, MERGE, REVIEW = 7500, 9200, 7500
@@ -99,32 +98,33 @@ def evaluate_pairs(pairs: DataFrame, candidates: DataFrame, version: str = "v1")
     return rows.withColumn("status", status).withColumn("match_id", stable_id("match", F.concat_ws(":", F.lit(version), "a", "b")))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Write to the folder that the session shares and read back, which cuts lineage."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/wayfern-shared"
-    path = f"{base.rstrip('/')}/resolve-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """One step over edges (hi, lo), hi > lo: neighbours (``large``: larger ones, else smaller) move to the smallest one."""
+    seen = edges.unionByName(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo"))) if large else edges
+    centre = seen.groupBy("hi").agg(F.min("lo").alias("c")).select("hi", F.least("hi", "c").alias("c"))
+    moved = seen.join(centre, "hi")
+    moved = moved.where(F.col("lo") > F.col("hi")) if large else moved
+    out = moved.select(F.col("lo").alias("hi"), F.col("c").alias("lo")).unionByName(centre.select("hi", F.col("c").alias("lo")))
+    return out.where(F.col("hi") != F.col("lo")).distinct()
 
 
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``candidate_id``, ``root``: the smallest id reachable over edges (a, b).
 
-    Smallest labels travel along edges and then to the label's own label, so
-    that paths shorten by half a round.
+    Large and small stars alternate until nothing changes, a number of rounds
+    that grows with the logarithm of the longest path; no node's neighbours
+    meet in one task's memory.
     """
-    both = _cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = both.select(F.col("a").alias("id")).distinct().withColumn("root", F.col("id"))
+    now = cut(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
+    state = None
     while True:
-        heard = both.join(labels.select(F.col("id").alias("b"), F.col("root").alias("heard")), "b").groupBy("a").agg(F.min("heard").alias("heard"))
-        new = labels.join(heard.withColumnRenamed("a", "id"), "id", "left").select("id", F.least("root", F.coalesce("heard", "root")).alias("root"), F.col("root").alias("old"))
-        jump = new.select(F.col("id").alias("root"), F.col("root").alias("far"))
-        new = _cut(new.join(jump, "root", "left").select("id", F.least("root", F.coalesce("far", "root")).alias("root"), "old"))
-        labels = new.select("id", "root")
-        if new.where(F.col("root") != F.col("old")).isEmpty():
+        found = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
+        if state == tuple(found):
             break
-    return nodes.select("candidate_id").join(labels.withColumnRenamed("id", "candidate_id"), "candidate_id", "left").select("candidate_id", F.coalesce("root", "candidate_id").alias("root"))
+        state = tuple(found)
+        now = cut(_star(_star(now, True), False), "edges")
+    roots = now.select(F.col("hi").alias("candidate_id"), F.col("lo").alias("root"))
+    return nodes.select("candidate_id").join(roots, "candidate_id", "left").select("candidate_id", F.coalesce("root", "candidate_id").alias("root"))
 
 
 def canonical_stores(candidates: DataFrame, matches: DataFrame, version: str = "v1") -> DataFrame:

@@ -2,25 +2,33 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
 from .tables import upsert
 
 
-def fingerprint(store_id: Column, nickname: Column, date: Column, body: Column, key: bytes) -> Column:
-    """Keyed digest (hex) of a review's identity."""
-    name = F.lower(text.collapse(nickname))
-    return ids.hmac_sha256(F.to_json(F.array(store_id, name, date, body)), key)
+def nickname(x: Column) -> Column:
+    """NFKC, collapsed, lower case."""
+    return F.lower(text.collapse(text.nfkc(x)))
 
 
-def review_id(store_id: Column, print_hex: Column) -> Column:
-    return F.concat(F.lit("review_"), F.substring(F.sha2(F.concat(store_id.cast("binary"), F.unhex(print_hex)), 256), 1, 24))
+def fingerprint(provider: Column, store_id: Column, name: Column, date: Column, body: Column, key: bytes) -> Column:
+    """Keyed digest (hex) of a review's identity, null if a part is missing, blank or not an ISO date.
 
+    ``name`` and ``body`` are normalised already (``nickname``, ``text.review_text``); the key has 32 bytes.
+    """
+    if len(key) != 32:
+        raise ValueError("key")
+    good = date.rlike(r"^\d{4}-\d{2}-\d{2}$")
+    for p in (provider, store_id, name, body):
+        good = good & (F.coalesce(F.trim(p), F.lit("")) != "")
+    return F.when(good, ids.hmac_sha256(F.to_json(F.array(provider, store_id, name, date, body)), key))
 
-SYNC = "store_id string, mode string, n_seen long, n_new long, stopped_at long, anchor string"
+
+def review_id(store_id: Column, print_hex: Column) -> Column:
+    return F.concat(F.lit("review_"), F.substring(F.sha2(F.concat(store_id.cast("binary"), F.unhex(print_hex)), 256), 1, 24))
 
 
 def incremental_sync(pages: DataFrame, seen: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -30,26 +38,26 @@ def incremental_sync(pages: DataFrame, seen: DataFrame, anchors: DataFrame) -> D
     ``anchors``: store_id, anchor (the newest fingerprint of the last run).
     Without an anchor the mode is INITIAL_BACKFILL.  INCREMENTAL stops at the
     anchor.  If the anchor never comes, or an unseen review stands behind it,
-    the whole listing is read: BACKFILL_FALLBACK.  A listing is bounded by the
-    reviews of one store; stores are independent groups.
+    the whole listing is read: BACKFILL_FALLBACK.
     """
     known = seen.select("store_id", "fingerprint").distinct().withColumn("known", F.lit(True))
     rows = pages.join(known, ["store_id", "fingerprint"], "left").join(anchors, "store_id", "left")
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values("position")
-        unseen = g["known"].isna().to_numpy()
-        anchor = g["anchor"].iloc[0]
-        prints = g["fingerprint"].tolist()
-        if anchor is None or pd.isna(anchor):
-            mode, stop = "INITIAL_BACKFILL", len(prints)
-        elif anchor in prints and not unseen[prints.index(anchor) :].any():
-            mode, stop = "INCREMENTAL", prints.index(anchor)
-        else:
-            mode, stop = "BACKFILL_FALLBACK", len(prints)
-        return pd.DataFrame([{"store_id": g["store_id"].iloc[0], "mode": mode, "n_seen": stop - int(unseen[:stop].sum()), "n_new": int(unseen[:stop].sum()), "stopped_at": stop, "anchor": prints[0]}])
-
-    return rows.groupBy("store_id").applyInPandas(one, SYNC)
+    at = F.min(F.when(F.col("fingerprint") == F.col("anchor"), F.col("position"))).over(Window.partitionBy("store_id"))
+    rows = rows.withColumns({"at": at, "unseen": F.col("known").isNull()})
+    before = F.col("at").isNotNull() & (F.col("position") < F.col("at"))
+    x = rows.groupBy("store_id").agg(
+        F.first("anchor").alias("known_anchor"),
+        F.first("at").alias("at"),
+        F.count(F.lit(1)).alias("n"),
+        F.count_if("unseen").alias("n_unseen"),
+        F.count_if(before).alias("n_before"),
+        F.count_if(before & F.col("unseen")).alias("unseen_before"),
+        F.min_by("fingerprint", "position").alias("anchor"),
+    )
+    stops = F.col("at").isNotNull() & (F.col("n_unseen") == F.col("unseen_before"))
+    mode = F.when(F.col("known_anchor").isNull(), "INITIAL_BACKFILL").when(stops, "INCREMENTAL").otherwise("BACKFILL_FALLBACK")
+    stopped, new = F.when(stops, F.col("n_before")).otherwise(F.col("n")), F.when(stops, F.col("unseen_before")).otherwise(F.col("n_unseen"))
+    return x.select("store_id", mode.alias("mode"), (stopped - new).alias("n_seen"), new.alias("n_new"), stopped.alias("stopped_at"), "anchor")
 
 
 def publish(old: DataFrame, new: DataFrame, public: DataFrame, cutoff: str, version: str) -> tuple[DataFrame, DataFrame]:

@@ -2,11 +2,38 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+_own_folders: set[str] = set()
+
+
+def cut(df: DataFrame, what: str) -> DataFrame:
+    """Write to the folder that the session shares and read back: it is computed once and its lineage ends."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = f"{(base or '/tmp/wayfern-shared').rstrip('/')}/wayfern-{spark.sparkContext.applicationId}"
+    if folder not in _own_folders:
+        _own_folders.add(folder)
+        atexit.register(_remove, spark, folder)
+    path = f"{folder}/{what}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001  the session or its JVM has ended: what is left is only disk space
+        pass
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``new`` replace those of ``old`` with the same keys."""
@@ -49,6 +76,21 @@ def purge(df: DataFrame, expires: str, now_ms: int) -> tuple[DataFrame, DataFram
     return df.where(~gone), df.where(gone)
 
 
+def purge_estimate(expiring: dict[str, tuple[DataFrame, str]], now_ms: int, guarded: tuple[DataFrame, str, str, dict[str, tuple[DataFrame, str]]] | None = None) -> DataFrame:
+    """``table``, ``n``: rows that a purge would take, and their sum as ``total``.
+
+    ``expiring``: table and the column of its expiry.  ``guarded``: parents,
+    their expiry and key, and the children that keep a parent while they live.
+    """
+    parts = [df.agg(F.lit(name).alias("table"), F.count_if(F.col(at) <= now_ms).alias("n")) for name, (df, at) in expiring.items()]
+    if guarded is not None:
+        parents, at, key, children = guarded
+        live = [df.where(F.col(c) > now_ms) for df, c in children.values()]
+        parts.append(without_children(parents.where(F.col(at) <= now_ms), key, live).agg(F.lit("guarded").alias("table"), F.count(F.lit(1)).alias("n")))
+    every = reduce(DataFrame.unionByName, parts)
+    return every.unionByName(every.agg(F.lit("total").alias("table"), F.sum("n").alias("n")))
+
+
 def identity_mismatches(indexed: DataFrame, documents: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Index rows whose document is missing or differs."""
     d = documents.select(key, F.struct(*columns).alias("__d"))

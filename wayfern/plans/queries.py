@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,42 +9,32 @@ from ..functions import geo, ids, text, timeutil
 from ..operators import candidates as C
 from ..operators import eligibility, fulltext, places, resolve, reviews, tables
 from ..sources import html
-from . import proxy
+from . import evaluate, proxy
 from .proxy import ctes
+from .registry import QUERIES, SQL, query  # noqa: F401
+from .registry import read as _read
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 #: A Thursday noon in Seoul, and a place within the box.
 NOON_MS, ORIGIN = 1_785_380_400_000, (375_600_000, 1_269_800_000)
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
 def _public(spark: SparkSession, d: str) -> DataFrame:
     v = lambda n: proxy.view(spark, d, n)
     return C.public_stores(v("stores"), v("bakeries"), v("links"))
 
 
-def _candidates(spark: SparkSession, d: str, menus: bool = True) -> DataFrame:
+def _candidates(spark: SparkSession, d: str, aliases: DataFrame | None = None) -> DataFrame:
     v = lambda n: proxy.view(spark, d, n)
     m = v("menus").withColumn("evidence_id", F.lit("e"))
-    if not menus:
-        m = m.limit(0)
     none = spark.createDataFrame([], "menu_id string, normalized_alias string")
     alias = v("stores").select("store_id", F.lit("REGION").alias("alias_type"), F.lower(F.substring_index("normalized_address", " ", 1)).alias("normalized_alias"))
-    return C.nest(_public(spark, d), m, none, alias, v("hours"), C.review_aggregates(v("reviews")))
+    return C.nest(_public(spark, d), m, none if aliases is None else aliases, alias, v("hours"), C.review_aggregates(v("reviews")))
+
+
+def _mean(spark: SparkSession, d: str) -> DataFrame:
+    """The global mean, from the public stores' review aggregates alone."""
+    rated = C.review_aggregates(proxy.view(spark, d, "reviews")).select("store_id", "rated_count", "rating_sum_bp")
+    return C.global_mean(_public(spark, d).select("store_id").join(rated, "store_id"))
 
 
 PUBLIC = """
@@ -111,7 +99,7 @@ marked AS (
 
 def _marked(spark, d, **more) -> tuple[DataFrame, C.Query]:
     q = _asked(**more)
-    return C.mark(C.derive(_candidates(spark, d), q), q), q
+    return C.mark(C.derive(_candidates(spark, d), q, _mean(spark, d)), q), q
 
 
 ORDER = "included_count DESC, CASE WHEN review_status = 'AVAILABLE' THEN review_count ELSE 0 END DESC, CASE WHEN review_status = 'AVAILABLE' THEN latest_date END DESC NULLS LAST, {}, completeness DESC, adjusted_rating DESC, store_id"
@@ -135,24 +123,49 @@ def ranked_search_distance(spark, d):
     return C.ranked(rows, q).select(F.col("rank").cast("long").alias("rank"), *SHOWN).withColumn("included_count", F.col("included_count").cast("long")).withColumn("completeness", F.col("completeness").cast("long"))
 
 
-@query(f"{MARKED.replace('@region', 'TRUE')}, codes AS (SELECT unnest(['REGION_MISMATCH', 'STORE_NAME_MISMATCH', 'EXCLUDED_CATEGORY', 'INCLUDED_CATEGORY_MISSING', 'NOT_OPEN', 'DISTANCE_EXCEEDED', 'REVIEW_STATUS_MISMATCH', 'MENU_MISMATCH']) AS reason) SELECT reason, count(removal_reason) AS n FROM codes LEFT JOIN marked ON removal_reason = reason GROUP BY reason")
+@query(f"""{FACTS}, cats AS (SELECT store_id, max(CASE WHEN category IN ('Brand#13', 'Brand#22') THEN 1 ELSE 0 END) AS included, max(CASE WHEN category = 'Brand#45' THEN 1 ELSE 0 END) AS excluded, max(CASE WHEN contains(normalized_name, 'almond') THEN 1 ELSE 0 END) AS menu FROM menus GROUP BY store_id),
+marked AS (SELECT CASE WHEN NOT (contains(lower(split_part(normalized_address, ' ', 1)), 'a')) THEN 'REGION_MISMATCH' WHEN NOT contains(normalized_name, '1') THEN 'STORE_NAME_MISMATCH' WHEN coalesce(excluded, 0) = 1 THEN 'EXCLUDED_CATEGORY' WHEN coalesce(included, 0) = 0 THEN 'INCLUDED_CATEGORY_MISSING'
+  WHEN opening_state <> 'OPEN' THEN 'NOT_OPEN' WHEN distance_m > 15000 THEN 'DISTANCE_EXCEEDED' WHEN review_status <> 'AVAILABLE' THEN 'REVIEW_STATUS_MISMATCH' WHEN coalesce(menu, 0) = 0 THEN 'MENU_MISMATCH' END AS removal_reason FROM facts LEFT JOIN cats USING (store_id)),
+codes AS (SELECT unnest(['REGION_MISMATCH', 'STORE_NAME_MISMATCH', 'EXCLUDED_CATEGORY', 'INCLUDED_CATEGORY_MISSING', 'NOT_OPEN', 'DISTANCE_EXCEEDED', 'REVIEW_STATUS_MISMATCH', 'MENU_MISMATCH']) AS reason)
+SELECT reason, count(removal_reason) AS n FROM codes LEFT JOIN marked ON removal_reason = reason GROUP BY reason""")
 def filter_reason_counts(spark, d):
-    candidates = _candidates(spark, d)
-    q = _asked(region="asia")
-    # proxy districts are in capitals, which region keys are not; the alias carries the match
-    return C.reason_counts(C.mark(C.derive(candidates, q), q))
+    """All eight filters at once; the proxy's districts are in capitals, so that a region matches by its alias."""
+    q = C.Query.make(region="a", store_name="1", menu_name="almond", categories=(("Brand#13", "INCLUDE"), ("Brand#22", "INCLUDE"), ("Brand#45", "EXCLUDE")), open_now=True, origin=ORIGIN, max_distance_m=15_000, review_status="AVAILABLE", request_ms=NOON_MS, known=BRANDS)
+    return C.reason_counts(C.mark(C.derive(_candidates(spark, d), q, _mean(spark, d)), q))
+
+
+@query(f"{FACTS} SELECT store_id, CASE WHEN normalized_phone IS NULL OR distance_m > 20000 THEN 'DISTANCE_EXCEEDED' END AS removal_reason FROM facts")
+def unknown_distance(spark, d):
+    """Stores without a place fail a distance filter; here those without a phone have no place."""
+    c = _candidates(spark, d).withColumn("latitude_e7", F.when(F.col("normalized_phone").isNotNull(), F.col("latitude_e7")))
+    q = C.Query.make(origin=ORIGIN, max_distance_m=20_000, request_ms=NOON_MS)
+    return C.mark(C.derive(c, q, _mean(spark, d)), q).select("store_id", "removal_reason")
+
+
+@query(f"""{ctes('menus')}, a AS (SELECT DISTINCT 'menu_' || CAST(o_custkey AS STRING) || '_' || CAST(p_partkey AS STRING) AS menu_id, lower(replace(t, ' ', '')) AS alias FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey, (SELECT unnest([1, 2]) AS i), (SELECT 1), LATERAL (SELECT CASE WHEN i = 1 THEN p_type ELSE p_brand END AS t))
+SELECT store_id, count(DISTINCT menu_id) AS n_menus, count(alias) AS n_aliases, sha256(string_agg(menu_id || ':' || alias, ',' ORDER BY menu_id, alias)) AS aliases_sha FROM menus JOIN a USING (menu_id) GROUP BY store_id""")
+def menu_aliases(spark, d):
+    items = spark.sql("SELECT DISTINCT 'menu_' || CAST(o_custkey AS STRING) || '_' || CAST(p_partkey AS STRING) AS menu_id, p_type, p_brand FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part} ON l_partkey = p_partkey", lineitem=_read(spark, d, "lineitem"), orders=_read(spark, d, "orders"), part=_read(spark, d, "part"))
+    aliases = items.select("menu_id", F.explode(F.array("p_type", "p_brand")).alias("t")).select("menu_id", F.lower(F.replace("t", F.lit(" "), F.lit(""))).alias("normalized_alias"))
+    stores = proxy.view(spark, d, "menus").select("store_id").distinct()
+    v = lambda n: proxy.view(spark, d, n)
+    region = v("stores").select("store_id", F.lit("REGION").alias("alias_type"), F.col("district").alias("normalized_alias"))
+    rows = C.nest(stores, v("menus").withColumn("evidence_id", F.lit("e")), aliases, region, v("hours"), C.review_aggregates(v("reviews")))
+    pairs = F.flatten(F.transform("menus", lambda m: F.transform(m["aliases"], lambda a: F.struct(m["menu_id"].alias("m"), a.alias("a")))))
+    listed = F.array_join(F.transform(F.array_sort(pairs), lambda p: F.concat(p["m"], F.lit(":"), p["a"])), ",")
+    return rows.select("store_id", F.size("menus").cast("long").alias("n_menus"), F.size(pairs).cast("long").alias("n_aliases"), F.sha2(listed, 256).alias("aliases_sha"))
 
 
 @query(f"{FACTS} SELECT store_id, opening_state, review_status, completeness, adjusted_rating FROM facts")
 def derived_facts(spark, d):
     q = C.Query.make(request_ms=NOON_MS)
-    return C.derive(_candidates(spark, d), q).select("store_id", "opening_state", "review_status", F.col("completeness").cast("long").alias("completeness"), "adjusted_rating")
+    return C.derive(_candidates(spark, d), q, _mean(spark, d)).select("store_id", "opening_state", "review_status", F.col("completeness").cast("long").alias("completeness"), "adjusted_rating")
 
 
 @query(f"{FACTS} SELECT store_id, distance_m, CAST(greatest(250, ceil(distance_m / 250.0) * 250) AS BIGINT) AS distance_upper_bound_m FROM facts")
 def haversine_bucket(spark, d):
     q = C.Query.make(origin=ORIGIN, request_ms=NOON_MS)
-    return C.derive(_candidates(spark, d, menus=False), q).select("store_id", "distance_m", geo.distance_bucket(F.col("distance_m")).alias("distance_upper_bound_m"))
+    return C.derive(_candidates(spark, d), q, _mean(spark, d)).select("store_id", "distance_m", geo.distance_bucket(F.col("distance_m")).alias("distance_upper_bound_m"))
 
 
 @query(f"""{ctes('menus')}, r AS (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY CASE WHEN category = 'Brand#13' THEN 0 ELSE 1 END, normalized_name, menu_id) AS i FROM menus)
@@ -183,7 +196,7 @@ def hours_overlap_violations(spark, d):
 
 # -- reviews and text ------------------------------------------------------
 
-TOKENS = "regexp_extract_all(normalized_body, '[\\p{L}\\p{N}]+')"
+TOKENS = "regexp_extract_all(strip_accents(normalized_body), '[\\p{L}\\p{N}]+')"
 
 
 def _bm25_sql(terms: list[str]) -> str:
@@ -197,18 +210,39 @@ def _bm25_sql(terms: list[str]) -> str:
 
 @query(f"{ctes('texts')}, {_bm25_sql(['the', 'than'])} SELECT review_id, rank FROM hits")
 def bm25_match(spark, d):
-    return fulltext.bm25(proxy.view(spark, d, "texts"), ["the", "than"], folded=True).select("review_id", F.round("rank", 6).alias("rank"))
+    return fulltext.bm25(proxy.view(spark, d, "texts"), ["the", "than"]).select("review_id", F.round("rank", 6).alias("rank"))
+
+
+@query(f"{ctes('texts')}, {_bm25_sql(['the', 'licensed'])} SELECT review_id, rank FROM hits")
+def bm25_from_index(spark, d):
+    """By stored postings, of which only the terms' own are read."""
+    postings, lengths = (tables.cut(x, "index") for x in fulltext.index(proxy.view(spark, d, "texts")))
+    return fulltext.bm25_indexed(postings, lengths, ["the", "licensed"]).select("review_id", F.round("rank", 6).alias("rank"))
 
 
-@query(f"{ctes('texts')}, {_bm25_sql(['the', 'licensed'])} SELECT review_id, store_id FROM hits ORDER BY rank, published_date DESC, review_id LIMIT 20")
+SCOPE = ("src0", "src1", "src2", "src3", "src4", "src5")
+
+
+@query(f"{ctes('texts')}, {_bm25_sql(['the', 'licensed'])} SELECT review_id, store_id FROM hits WHERE store_id IN {SCOPE} ORDER BY rank, published_date DESC, review_id LIMIT 20")
 def review_topk(spark, d):
     docs = proxy.view(spark, d, "texts")
-    return fulltext.search(docs, "The licensed", 20, folded=True).select("review_id", "store_id")
+    return fulltext.search(docs, "The licensed", 20, [f" {s} " for s in SCOPE]).select("review_id", "store_id")
 
 
-@query(f"{ctes('texts')}, {_bm25_sql(['licensed'])}, r AS (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY rank, published_date DESC, review_id) AS i FROM hits) SELECT store_id, review_id FROM r WHERE i = 1")
+@query(f"""{ctes('texts')}, {_bm25_sql(['licensed', 'the', 'than']).split(', hits AS')[0]}, one AS (
+  {' UNION ALL '.join(f"SELECT store_id, {p} AS p, round(-({f}), 9) AS rank, published_date, review_id FROM c, s WHERE {w}" for p, (f, w) in enumerate((("greatest(ln((n_docs - df0 + 0.5) / (df0 + 0.5)), 1e-6) * tf0 * 2.2 / (tf0 + 1.2 * (0.25 + 0.75 * dl / avg_dl))", "tf0 > 0"), (" + ".join(f"greatest(ln((n_docs - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avg_dl))" for i in (1, 2)), "tf1 > 0 AND tf2 > 0"))))}),
+r AS (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY p, rank, published_date DESC, review_id) AS i FROM one) SELECT store_id, p AS term_priority, review_id FROM r WHERE i = 1""")
 def best_evidence_per_store(spark, d):
-    return fulltext.best_evidence(proxy.view(spark, d, "texts"), ["licensed"], folded=True).select("store_id", F.col("evidence.review_id").alias("review_id"))
+    return fulltext.best_evidence(proxy.view(spark, d, "texts"), ["licensed", "the than"]).select("store_id", F.col("evidence.term_priority").alias("term_priority"), F.col("evidence.review_id").alias("review_id"))
+
+
+@query(f"""{ctes('stores', 'bakeries', 'links', 'reviews')}, {PUBLIC}, ix AS (SELECT review_id, CASE WHEN rating_bp = 1300 THEN 'store_x' ELSE store_id END AS store_id FROM reviews WHERE rating_bp IS NOT NULL)
+SELECT (SELECT count(*) FROM reviews) AS documents, (SELECT count(*) FROM ix) AS indexed, (SELECT count(*) FROM ix JOIN reviews r USING (review_id) WHERE r.store_id <> ix.store_id) AS mismatches, (SELECT count(*) FROM reviews r WHERE NOT EXISTS (SELECT 1 FROM public_stores p WHERE p.store_id = r.store_id)) AS non_public, FALSE AS available""")
+def index_consistency(spark, d):
+    r = proxy.view(spark, d, "reviews")
+    index = r.where(F.col("rating_bp").isNotNull()).withColumn("store_id", F.when(F.col("rating_bp") == 1300, "store_x").otherwise(F.col("store_id")))
+    found = fulltext.availability(r, index, _public(spark, d), {"status": "ACTIVE", "version": "v", "index_version": "v"})
+    return spark.createDataFrame([tuple(found[k] for k in ("documents", "indexed", "mismatches", "non_public", "available"))], "documents long, indexed long, mismatches long, non_public long, available boolean")
 
 
 @query()
@@ -238,17 +272,31 @@ def identity_mismatch(spark, d):
 PHONE, EMAIL = r"(\+?82[-\s]?)?(0?1[016789]|0?2|0?[3-6][1-5])[-\s]?\d{3,4}[-\s]?\d{4}", r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
 
 
-@query(r"""SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '(https?://|www\.)\S+', '[redacted]', 'gi'), '[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}', '[redacted]', 'gi'), '(\+?82[-\s]?)?(0?1[016789]|0?2|0?[3-6][1-5])[-\s]?\d{3,4}[-\s]?\d{4}', '[redacted]', 'g'), '\+\d[\d\s().-]{7,}\d', '[redacted]', 'g'))) AS text_sha FROM documents""")
+LONG_SQL = r"regexp_replace({}, '(^|[^A-Za-z0-9_])\d([\s-]?\d){{11,}}($|[^A-Za-z0-9_])', '\1[redacted]\3', 'g')"
+REDACTED = r"regexp_replace(regexp_replace(t, '(https?://|www\.)\S+', '[redacted]', 'gi'), '[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}', '[redacted]', 'gi')"
+REDACTED = rf"""trim(regexp_replace(regexp_replace(regexp_replace({LONG_SQL.format(LONG_SQL.format(REDACTED))}, '(\+?82[-\s]?)?(0?1[016789]|0?2|0?[3-6][1-5])[-\s]?\d{{3,4}}[-\s]?\d{{4}}', '[redacted]', 'g'), '\+\d[\d\s().-]{{7,}}\d', '[redacted]', 'g'), '(^|[^\p{{L}}\p{{N}}])@[A-Za-z0-9._]{{2,}}', '\1[redacted]', 'g'))"""
+
+
+@query(rf"""WITH x AS (SELECT doc_id, trim(regexp_replace(CASE WHEN source = 'src1' THEN '병원에서 ' || text WHEN source = 'src2' THEN ' https://a.example @abc ' WHEN source = 'src3' THEN 'no 12-3456-789 01234 ' || text ELSE text END, '\s+', ' ', 'g')) AS t FROM documents), r AS (SELECT doc_id, t, {REDACTED} AS r FROM x),
+c AS (SELECT doc_id, r, CASE WHEN coalesce(t, '') = '' THEN 'REJECTED_EMPTY' WHEN regexp_matches(t, '(사장|직원|알바|손님)\s*[가-힣]{{2,4}}(씨|님)|{text.SENSITIVE}') THEN 'REJECTED_PII' WHEN regexp_replace(replace(r, '[redacted]', ''), '[\p{{P}}\p{{S}}\s]', '', 'g') = '' THEN 'REJECTED_EMPTY' END AS reason_code FROM r)
+SELECT doc_id, reason_code, CASE WHEN reason_code IS NULL THEN sha256(r) END AS text_sha FROM c""")
 def deidentified(spark, d):
-    """The rules that every regular expression engine has: addresses, mail, domestic and foreign phones."""
-    p = text.IDENTIFIERS
-    x = text.deidentify(F.col("text"), normal=True, patterns=(p[0], p[1], p[3], p[4]))
-    return _read(spark, d, "documents").select("doc_id", F.sha2(F.coalesce(x["text"], F.lit("")), 256).alias("text_sha"))
+    """All six rules and all refusals; some sources get words that are refused, nothing but identifiers, or a long number."""
+    source = lambda s: F.col("source") == s
+    raw = F.when(source("src1"), F.concat(F.lit("병원에서 "), "text")).when(source("src2"), " https://a.example @abc ").when(source("src3"), F.concat(F.lit("no 12-3456-789 01234 "), "text")).otherwise(F.col("text"))
+    x = _read(spark, d, "documents").select("doc_id", text.deidentify(raw).alias("x"))
+    return x.select("doc_id", F.col("x.reason_code").alias("reason_code"), F.sha2("x.text", 256).alias("text_sha"))
+
+
+@query("SELECT review_id, sha256(trim(regexp_replace(regexp_replace(normalized_body, '[\\x00-\\x1F\\x7F]+', ' ', 'g'), '\\s+', ' ', 'g'))) AS review_sha, sha256(regexp_replace(trim(normalized_body), '[^\\p{L}\\p{N}]+', '', 'g')) AS compact_sha FROM (" + proxy.VIEWS["texts"] + ")")
+def review_texts(spark, d):
+    t = proxy.view(spark, d, "texts")
+    return t.select("review_id", F.sha2(text.review_text(F.col("normalized_body")), 256).alias("review_sha"), F.sha2(text.compact_key(F.col("normalized_body")), 256).alias("compact_sha"))
 
 
 @query(r"SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(lower(text), '[\p{Cc}\p{Cf}\p{P}\p{S}]+', ' ', 'g'), '\s+', ' ', 'g'))) AS text_sha FROM documents")
 def search_text_normalized(spark, d):
-    return _read(spark, d, "documents").select("doc_id", F.sha2(text.search_text(F.col("text"), normal=True), 256).alias("text_sha"))
+    return _read(spark, d, "documents").select("doc_id", F.sha2(text.search_text(F.col("text")), 256).alias("text_sha"))
 
 
 @query("SELECT c_custkey, CASE WHEN regexp_full_match(x, '0[0-9]{8,10}') AND NOT regexp_matches(x, '0{6,}') THEN x END AS phone FROM (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '02' || CAST(c_custkey * 7654321 % 100000000 AS VARCHAR) ELSE '010' || CAST(c_custkey * 7654321 % 100000000 AS VARCHAR) END AS x FROM customer)")
@@ -338,17 +386,24 @@ def stable_ids(spark, d):
     return _read(spark, d, "customer").select("c_custkey", ids.stable_id("candidate", F.concat_ws(":", F.lit("v1"), F.lit("snap"), "c_name")).alias("candidate_id"))
 
 
-@query("SELECT doc_id % 50 AS bucket, sha256(string_agg(CAST(doc_id AS VARCHAR) || ':' || sha256(text), '|' ORDER BY doc_id)) AS checksum FROM documents GROUP BY 1")
+DIGEST_SQL = "sha256(" + " || ':' || ".join(f"CAST(sum(CAST(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR)" for i in range(4)) + ")"
+
+
+@query(f"""SELECT lang, count(*) AS n, {DIGEST_SQL} AS checksum FROM (SELECT coalesce(lang, '') AS lang, sha256('{{"doc_id":' || CAST(doc_id AS VARCHAR) || ',"text_sha":"' || sha256(text) || '"}}') AS h FROM documents) GROUP BY lang""")
 def content_checksum(spark, d):
-    part = F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2("text", 256))
-    rows = _read(spark, d, "documents").select((F.col("doc_id") % 50).alias("bucket"), F.struct("doc_id", part.alias("part")).alias("x"))
-    return rows.groupBy("bucket").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["part"]), "|"), 256).alias("checksum"))
+    """A digest of each language's documents: rows are hashed where they lie, only sums travel."""
+    rows = _read(spark, d, "documents").select(F.coalesce("lang", F.lit("")).alias("lang"), "doc_id", F.sha2("text", 256).alias("text_sha"))
+    return ids.table_digest(rows, ["doc_id", "text_sha"], by=["lang"]).withColumnRenamed("digest", "checksum")
 
 
-@query()
+HMAC_KEY = b"k" * 32
+
+
+@query("SELECT doc_id, CASE WHEN trim(coalesce(text, '')) <> '' THEN sha256(unhex(repeat('37', 32) || repeat('5C', 32)) || unhex(sha256(unhex(repeat('5D', 32) || repeat('36', 32)) || encode(CAST(json_array('PLACES', source, 'name ' || source, '2026-07-01', sha256(text)) AS VARCHAR))))) END AS fingerprint FROM documents")
 def hmac_fingerprints(spark, d):
-    e = _read(spark, d, "documents")
-    return e.select("doc_id", reviews.fingerprint(F.col("source"), F.col("lang"), F.col("doc_id").cast("string"), F.col("text"), b"k" * 32).alias("fingerprint"))
+    e = _read(spark, d, "documents").withColumn("body", F.when(F.trim("text") != "", F.sha2("text", 256)))
+    name = reviews.nickname(F.concat(F.lit("  Ｎame  "), F.upper("source"), F.lit(" ")))
+    return e.select("doc_id", reviews.fingerprint(F.lit("PLACES"), F.col("source"), name, F.lit("2026-07-01"), F.col("body"), HMAC_KEY).alias("fingerprint"))
 
 
 @query("SELECT doc_id, sha256(text) AS text_sha, octet_length(encode(text)) AS n_bytes FROM documents")
@@ -381,11 +436,10 @@ s AS (SELECT a, b, am, coalesce(pm, FALSE) AS pm, NOT am OR coalesce(pc, FALSE)
 matches AS (SELECT a, b, score_bp, CASE WHEN score_bp >= 9200 AND NOT conflict THEN 'auto_merge' WHEN score_bp >= 7500 OR (conflict AND (am OR nm OR pm)) THEN 'admin_review' ELSE 'separate' END AS status FROM s)"""
 
 
-@query(f"{PAIRS} SELECT status, count(*) AS n, CAST(sum(score_bp) AS BIGINT) AS total_bp, min(a) AS least_a, max(b) AS most_b FROM matches GROUP BY status")
+@query(f"{PAIRS} SELECT a, b, score_bp, status FROM matches")
 def dedupe_pairs(spark, d):
     c = _resolvable(spark, d)
-    m = resolve.evaluate_pairs(resolve.candidate_pairs(c), c)
-    return m.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("score_bp").alias("total_bp"), F.min("a").alias("least_a"), F.max("b").alias("most_b"))
+    return resolve.evaluate_pairs(resolve.candidate_pairs(c), c).select("a", "b", F.col("score_bp").cast("long").alias("score_bp"), "status")
 
 
 @query("SELECT p_partkey, CAST(CASE WHEN x = y THEN 10000 ELSE floor(20000.0 * len(list_intersect(gx, gy)) / (len(gx) + len(gy)) + 0.5) END AS BIGINT) AS similarity_bp FROM (SELECT p_partkey, p_name AS x, p_type AS y, list_distinct(list_transform(range(1, length(p_name)), lambda i: substr(p_name, i, 2))) AS gx, list_distinct(list_transform(range(1, length(p_type)), lambda i: substr(p_type, i, 2))) AS gy FROM part)")
@@ -394,31 +448,48 @@ def bigram_similarity(spark, d):
     return _read(spark, d, "part").select("p_partkey", resolve.similarity(n, t, n, t).cast("long").alias("similarity_bp"))
 
 
-EDGES = "SELECT DISTINCT 'c' || CAST(o_custkey % 400 AS STRING) AS a, 'c' || CAST(l_suppkey % 7 * 400 + o_custkey % 13 AS STRING) AS b FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE l_quantity >= 50 AND o_orderpriority = '1-URGENT'"
-
-
-@query(f"""WITH RECURSIVE e AS ({EDGES.format(lineitem='lineitem', orders='orders')}), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r(candidate_id, root) AS (SELECT a, a FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.candidate_id AND r.root < u.b)
-SELECT candidate_id, min(root) AS root FROM (SELECT candidate_id, root FROM r UNION ALL SELECT a, a FROM u) GROUP BY candidate_id""")
+@query("SELECT event_id, min(event_id) OVER (PARTITION BY user_id) AS root FROM events")
 def components(spark, d):
-    e = spark.sql(EDGES, lineitem=_read(spark, d, "lineitem"), orders=_read(spark, d, "orders"))
-    nodes = e.select(F.col("a").alias("candidate_id")).union(e.select("b")).distinct()
-    return resolve.connected(nodes, e)
+    """Every event is linked with its user's one before, which makes a path of each user's events; paths are what takes most rounds."""
+    e = _read(spark, d, "events").select("event_id", "user_id", "ts")
+    before = F.lag("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    edges = e.select(F.col("event_id").alias("a"), before.alias("b")).where(F.col("b").isNotNull())
+    return resolve.connected(e.select(F.col("event_id").alias("candidate_id")), edges).withColumnRenamed("candidate_id", "event_id")
+
+
+BRANDED = "SELECT *, CAST(floor(3 * sqrt(k)) AS BIGINT) AS brand FROM stores"
+EVIDENCE = "SELECT brand, CASE brand % 4 WHEN 0 THEN 'confirmed_franchise' WHEN 1 THEN 'not_found' WHEN 2 THEN 'not_found' ELSE 'stale' END AS ftc, CASE WHEN brand % 5 = 3 THEN 'rejected' WHEN brand % 7 = 3 THEN 'pending' ELSE 'approved' END AS adm, brand % 3 <> 0 AS complete FROM (SELECT DISTINCT brand FROM s)"
+DECISIONS = f"""s AS ({BRANDED}), ev AS ({EVIDENCE}),
+b AS (SELECT brand, count(*) AS n, count(*) FILTER (business_status = 'inactive' AND catalog_status = 'hidden') AS inactive, count(*) FILTER (normalized_phone IS NULL AND catalog_status = 'hidden') AS unplaced FROM s GROUP BY brand),
+o AS (SELECT *, CASE WHEN inactive > 0 OR adm = 'rejected' THEN 'UNCERTAIN_REVIEW_REQUIRED/excluded' WHEN ftc = 'confirmed_franchise' THEN 'FRANCHISE/excluded' WHEN n > 5 THEN 'CHAIN_TOO_LARGE/excluded'
+  WHEN unplaced > 0 OR NOT complete OR ftc = 'stale' OR adm <> 'approved' THEN 'UNCERTAIN_REVIEW_REQUIRED/admin_review' WHEN n = 1 THEN 'INDEPENDENT_SINGLE/eligible' ELSE 'DIRECT_ONLY_SMALL_CHAIN/eligible' END AS outcome FROM b JOIN ev USING (brand))"""
+
+
+def _branded(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(stores in brands of 1 to some dozen, the brands' evidence)."""
+    s = proxy.view(spark, d, "stores").withColumn("brand", F.floor(3 * F.sqrt("k")))
+    s = s.withColumns({"brand_key": F.col("brand").cast("string"), "bakery_id": F.col("brand").cast("string"), "merge_status": F.lit("distinct"), "management_numbers": F.array(F.col("k").cast("string"))})
+    hidden = F.col("catalog_status") == "hidden"
+    s = s.withColumns({"business_status": F.when((F.col("business_status") == "inactive") & hidden, "inactive").otherwise("active"), "latitude_e7": F.when(~(F.col("normalized_phone").isNull() & hidden), F.col("latitude_e7"))})
+    b = s.groupBy("brand", "brand_key").agg(F.flatten(F.collect_list("management_numbers")).alias("all"))
+    ftc = F.when(F.col("brand") % 4 == 0, "confirmed_franchise").when(F.col("brand") % 4 == 3, "stale").otherwise("not_found")
+    admin = F.when(F.col("brand") % 5 == 3, "rejected").when(F.col("brand") % 7 == 3, "pending").otherwise("approved")
+    listed = F.when(F.col("brand") % 3 != 0, F.col("all")).otherwise(F.array().cast("array<string>"))
+    return s, b.select("brand_key", listed.alias("management_numbers"), ftc.alias("ftc_status"), admin.alias("admin_status"), F.lit(1).alias("n_operator_refs"), F.lit(1).alias("n_independence_refs"))
+
+
+@query(f"""{ctes('stores')}, {DECISIONS}, r AS (SELECT *, split_part(outcome, '/', 2) AS status, NOT (inactive > 0 OR adm = 'rejected' OR ftc = 'confirmed_franchise' OR n > 5) AS open FROM o)
+SELECT CAST(brand AS VARCHAR) AS bakery_id, n AS n_stores, split_part(outcome, '/', 1) AS classification, status, array_to_string(list_sort(list_filter([
+  'SEOUL_STORE_COUNT', CASE ftc WHEN 'confirmed_franchise' THEN 'FTC_FRANCHISE_CONFIRMED' WHEN 'not_found' THEN 'FTC_NO_MATCH' ELSE 'FTC_STALE' END, CASE adm WHEN 'approved' THEN 'ADMIN_APPROVED' WHEN 'pending' THEN 'ADMIN_PENDING' ELSE 'ADMIN_REJECTED' END,
+  CASE WHEN n = 1 THEN 'INDEPENDENCE_EVIDENCE_PRESENT' ELSE 'OPERATOR_EVIDENCE_PRESENT' END, CASE WHEN inactive > 0 THEN 'STORE_NOT_OPERATING' END, CASE WHEN outcome = 'CHAIN_TOO_LARGE/excluded' THEN 'CHAIN_LIMIT_EXCEEDED' END,
+  CASE WHEN open AND unplaced > 0 THEN 'STORE_COORDINATE_UNRESOLVED' END, CASE WHEN open AND NOT complete THEN 'BRAND_MEMBERSHIP_EVIDENCE_INCOMPLETE' END], lambda x: x IS NOT NULL)), ',') AS reasons FROM r""")
+def eligibility_decisions(spark, d):
+    return eligibility.classify(*_branded(spark, d)).select("bakery_id", "n_stores", "classification", "status", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query(f"""{ctes('stores')}, brand AS (SELECT bakery_id, count(*) AS n, count(*) FILTER (business_status = 'inactive' AND catalog_status = 'hidden') AS inactive, count(*) FILTER (normalized_phone IS NULL AND k % 2 = 0) AS unplaced FROM stores WHERE catalog_status = 'hidden' OR k % 11 = 0 GROUP BY bakery_id),
-ev AS (SELECT bakery_id, CASE CAST(substr(bakery_id, 8) AS INTEGER) % 4 WHEN 0 THEN 'confirmed_franchise' WHEN 1 THEN 'not_found' WHEN 2 THEN 'unavailable' ELSE 'stale' END AS ftc, CASE CAST(substr(bakery_id, 8) AS INTEGER) % 3 WHEN 0 THEN 'approved' WHEN 1 THEN 'pending' ELSE 'rejected' END AS adm FROM bakeries)
-SELECT brand.bakery_id, n AS n_stores, CASE WHEN inactive > 0 OR adm = 'rejected' THEN 'UNCERTAIN_REVIEW_REQUIRED' WHEN ftc = 'confirmed_franchise' THEN 'FRANCHISE' WHEN n > 5 THEN 'CHAIN_TOO_LARGE' ELSE 'UNCERTAIN_REVIEW_REQUIRED' END AS classification,
-CASE WHEN inactive > 0 OR adm = 'rejected' OR ftc = 'confirmed_franchise' OR n > 5 THEN 'excluded' ELSE 'admin_review' END AS status FROM brand JOIN ev USING (bakery_id)""".replace("FROM bakeries)", f"FROM ({proxy.VIEWS['bakeries']}) AS bakeries)"))
-def eligibility_decisions(spark, d):
-    s = proxy.view(spark, d, "stores").where((F.col("catalog_status") == "hidden") | (F.col("k") % 11 == 0))
-    s = s.withColumns({"brand_key": F.col("bakery_id"), "merge_status": F.lit("distinct"), "management_numbers": F.array(F.col("k").cast("string"))})
-    s = s.withColumn("business_status", F.when((F.col("business_status") == "inactive") & (F.col("catalog_status") == "hidden"), "inactive").otherwise("active"))
-    n = F.substring("bakery_id", 8, 4).cast("int")
-    ftc = F.element_at(F.array(*map(F.lit, ("confirmed_franchise", "not_found", "unavailable", "stale"))), n % 4 + 1)
-    admin = F.element_at(F.array(*map(F.lit, ("approved", "pending", "rejected"))), n % 3 + 1)
-    e = proxy.view(spark, d, "bakeries").select(F.col("bakery_id").alias("brand_key"), F.array().cast("array<string>").alias("management_numbers"), ftc.alias("ftc_status"), admin.alias("admin_status"), F.lit(1).alias("n_operator_refs"), F.lit(1).alias("n_independence_refs"))
-    return eligibility.classify(s, e).select("bakery_id", "n_stores", "classification", "status")
+@query(f"{ctes('stores')}, {DECISIONS} SELECT split_part(outcome, '/', 2) AS status, CAST(sum(n) AS BIGINT) AS n_stores FROM o GROUP BY 1")
+def decision_counts(spark, d):
+    return eligibility.decision_counts(eligibility.classify(*_branded(spark, d)))
 
 
 @query(f"""{ctes('stores')}, o AS (SELECT k AS observation_id, normalized_address, normalized_name, CASE WHEN k % 4 = 0 THEN '0299999999' ELSE normalized_phone END AS phone, CASE WHEN k % 5 = 0 THEN latitude_e7 + 100000 ELSE latitude_e7 END AS lat FROM stores)
@@ -464,27 +535,72 @@ def year_cutoff(spark, d):
     return _read(spark, d, "orders").select("o_orderkey", timeutil.year_before(F.to_date("o_orderdate")).cast("string").alias("cutoff"))
 
 
-@query(r"SELECT page_id, CAST(len(regexp_extract_all(html, '(?s)<p\b[^>]*>.*?</p>')) AS BIGINT) AS n_blocks, sha256(html) AS signature FROM pages")
+@query(r"""SELECT page_id, CAST(len(regexp_extract_all(html, '(?s)<p\b[^>]*>.*?</p>')) AS BIGINT) AS n_blocks, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script\b.*?</script>', ' ', 'gis'), '<style\b.*?</style>', ' ', 'gis'), '<[^>]*>', ' ', 'gs'), '\s+', ' ', 'g'))) AS text_sha FROM pages""")
 def html_extract(spark, d):
     pages = _read(spark, d, "pages")
     counts = html.tags(pages.select("page_id", "html"), "html", "p").groupBy("page_id").agg(F.count(F.lit(1)).alias("n_blocks"))
-    return pages.select("page_id", F.sha2("html", 256).alias("signature")).join(counts, "page_id", "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(0)))
+    return pages.select("page_id", F.sha2(html.visible_text(F.col("html")), 256).alias("text_sha")).join(counts, "page_id", "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(0)))
 
 
-@query()
-def incremental_sync(spark, d):
-    e = _read(spark, d, "events").select(F.col("user_id").cast("string").alias("store_id"), "ts", "event_id", F.sha2(F.concat_ws("|", "event_type", "event_id"), 256).alias("fingerprint"))
-    pages = e.withColumn("position", F.row_number().over(Window.partitionBy("store_id").orderBy(F.desc("ts"), F.desc("event_id"))))
-    old = e.where(F.col("ts") < "2024-01-20")
-    anchors = old.groupBy("store_id").agg(F.max_by("fingerprint", F.struct("ts", "event_id")).alias("anchor"))
-    return reviews.incremental_sync(pages, old, anchors)
+@query("SELECT page_id FROM (SELECT page_id, row_number() OVER (PARTITION BY split_part(url, '/', 3), sha256(html) ORDER BY page_id) AS r FROM pages) WHERE r > 1")
+def repeated_pages(spark, d):
+    pages = _read(spark, d, "pages").withColumn("host", F.split_part("url", F.lit("/"), F.lit(3)))
+    return html.repeated_pages(pages, "host", "page_id").select("page_id")
+
+
+ARTICLES = "SELECT o_custkey AS page_key, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) - 1 AS INT) AS position, CAST(CAST(o_orderdate AS DATE) AS STRING) AS date, o_orderpriority AS name, o_orderkey * 13 % 51 * 100 AS bp, 'clerk ' || CAST(o_custkey * 7 + o_orderkey AS STRING) AS body FROM {orders}"
+
+
+@query(f"SELECT page_key, count(*) AS n, CAST(sum(CASE WHEN name = '5-LOW' THEN 0 ELSE bp END) AS BIGINT) AS total_bp, CASE WHEN count(*) FILTER (name = '5-LOW') > 0 THEN 'STOP' WHEN count(*) FILTER (date < '1995-01-01') > 0 THEN 'CUTOFF' ELSE 'MORE' END AS state, sha256(string_agg(date || body, '|' ORDER BY position) FILTER (name <> '5-LOW')) AS sha FROM ({ARTICLES.format(orders='orders')}) GROUP BY page_key")
+def html_reviews(spark, d):
+    """Review pages made of orders: undated blocks stop a page, dates before the cutoff end it."""
+    a = spark.sql(ARTICLES, orders=_read(spark, d, "orders"))
+    dated = F.when(F.col("name") != "5-LOW", F.date_format(F.to_date("date"), "yyyy. M. d.")).otherwise("soon")
+    rating = F.when(F.col("name") != "5-LOW", F.format_string("%d.%03d", F.floor(F.col("bp") / 1000), F.col("bp") % 1000)).otherwise("x")
+    block = F.format_string('<article class="r" data-date="%s" data-nickname="%s" data-rating="%s"><p>%s <b> </b></p><script>var x;</script></article>', dated, "name", rating, "body")
+    pages = a.groupBy("page_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", block.alias("b")))), lambda x: x["b"]), "\n").alias("html"))
+    r = tables.cut(html.reviews(pages, ["page_key"]), "articles")
+    dated_rows = r.where(F.col("published_date").isNotNull())
+    sha = dated_rows.groupBy("page_key").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", F.concat("published_date", "body").alias("x")))), lambda x: x["x"]), "|"), 256).alias("sha"))
+    totals = r.groupBy("page_key").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("rating_bp"), F.lit(0)).cast("long").alias("total_bp"))
+    return totals.join(html.boundary(r, "page_key", ["position"], "1995-01-01"), "page_key").join(sha, "page_key", "left")
 
 
-@query(f"{FACTS}, p AS (SELECT CAST(quantile_disc(distance_m, 0.95) AS BIGINT) AS p95_m, count(*) FILTER (review_status = 'AVAILABLE') * 10000 // count(*) AS available_bp FROM facts) SELECT * FROM p")
-def hit_rate_p95(spark, d):
+SYNC_ROWS = "SELECT CAST(user_id AS STRING) AS store_id, ts, event_id, event_type, event_type || '|' || CAST(event_id AS STRING) AS fp, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS position FROM {events}"
+#: What a run knows: older events of users but for one kind, which makes some runs fall back.
+SYNC_KNOWN = "(ts < TIMESTAMP '2024-01-20 00:00:00' AND (event_type <> 'purchase' OR ts >= TIMESTAMP '2024-01-05 00:00:00'))"
+
+
+@query(f"""WITH p AS ({SYNC_ROWS.format(events='events')}), x AS (SELECT *, {SYNC_KNOWN} AS known FROM p),
+a AS (SELECT store_id, arg_min(fp, position) FILTER (known) AS anchor FROM x GROUP BY store_id),
+y AS (SELECT x.*, anchor, min(CASE WHEN fp = anchor THEN position END) OVER (PARTITION BY store_id) AS stop FROM x JOIN a USING (store_id)),
+z AS (SELECT store_id, max(anchor) AS known_anchor, count(*) AS n, count(*) FILTER (NOT known) AS unseen, count(*) FILTER (position < stop) AS before, count(*) FILTER (position < stop AND NOT known) AS unseen_before, arg_min(fp, position) AS first FROM y GROUP BY store_id)
+SELECT store_id, CASE WHEN known_anchor IS NULL THEN 'INITIAL_BACKFILL' WHEN unseen = unseen_before THEN 'INCREMENTAL' ELSE 'BACKFILL_FALLBACK' END AS mode,
+  CASE WHEN known_anchor IS NOT NULL AND unseen = unseen_before THEN before - unseen_before ELSE n - unseen END AS n_seen, CASE WHEN known_anchor IS NOT NULL AND unseen = unseen_before THEN unseen_before ELSE unseen END AS n_new,
+  CASE WHEN known_anchor IS NOT NULL AND unseen = unseen_before THEN before ELSE n END AS stopped_at, first AS anchor FROM z""")
+def incremental_sync(spark, d):
+    p = spark.sql(SYNC_ROWS, events=_read(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type"))
+    x = p.withColumnRenamed("fp", "fingerprint")
+    seen = x.where(F.expr(SYNC_KNOWN)).select("store_id", "fingerprint", "position")
+    anchors = seen.groupBy("store_id").agg(F.min_by("fingerprint", "position").alias("anchor"))
+    return reviews.incremental_sync(x.select("store_id", "position", "fingerprint"), seen, anchors)
+
+
+@query(f"""{FACTS}, r AS (SELECT district, store_id, row_number() OVER (PARTITION BY district ORDER BY distance_m, store_id) AS rank FROM facts), e AS (SELECT district, arg_max(store_id, (review_count, store_id)) AS store_id FROM facts GROUP BY district),
+h AS (SELECT e.district, coalesce(max(CASE WHEN r.store_id = e.store_id AND rank <= 5 THEN 1 ELSE 0 END), 0) AS hit FROM e LEFT JOIN r USING (district) GROUP BY e.district)
+SELECT count(*) AS counted, CAST(sum(hit) AS BIGINT) AS hits, CAST(sum(hit) * 10000 // count(*) AS BIGINT) AS hit_bp FROM h""")
+def hit_rate(spark, d):
+    """Whether the store of most reviews is among the five nearest, district by district."""
     q = C.Query.make(origin=ORIGIN, request_ms=NOON_MS)
-    rows = C.derive(_candidates(spark, d, menus=False), q)
-    return rows.agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY distance_m)").cast("long").alias("p95_m"), F.floor(F.count_if(F.col("review_status") == "AVAILABLE") * 10000 / F.count(F.lit(1))).cast("long").alias("available_bp"))
+    rows = tables.cut(C.derive(_candidates(spark, d), q, _mean(spark, d)).select("district", "store_id", "distance_m", "review_count"), "facts")
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("district").orderBy("distance_m", "store_id")))
+    expected = rows.groupBy("district").agg(F.max_by("store_id", F.struct("review_count", "store_id")).alias("store_id"))
+    return evaluate.hit_rate(ranked, expected, "district")
+
+
+@query("SELECT event_type, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type")
+def latency_p95(spark, d):
+    return evaluate.nearest_rank(_read(spark, d, "events"), "event_type", "value", 0.95).withColumnRenamed("value", "p95")
 
 
 @query("""SELECT user_id, event_id, area, CAST(greatest(250, ceil(d / 250.0) * 250) AS BIGINT) AS distance_m FROM (SELECT user_id, event_id, event_type || '동' AS area, CAST(floor(abs(value)) AS BIGINT) AS d, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS r FROM events) WHERE r <= 20""")

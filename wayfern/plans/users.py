@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from ..operators.tables import insert_absent
 
 
@@ -19,6 +20,40 @@ def add_favorites(rows: DataFrame, new: DataFrame, public: DataFrame, users: Dat
     return rows.unionByName(insert_absent(rows, good.select(*rows.columns), ["user_id", "store_id"])[0])
 
 
+def remove_favorites(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Favourites without these (user_id, store_id)."""
+    return rows.join(gone.select("user_id", "store_id"), ["user_id", "store_id"], "left_anti").select(*rows.columns)
+
+
+def add_history(rows: DataFrame, new: DataFrame, users: DataFrame) -> DataFrame:
+    """Histories of active users with filters made coarse: areas that name a district, quarter or station, distances in 250 m steps; other areas are left out."""
+    area = F.when(F.col("area").rlike("(구|동|역)$"), F.col("area"))
+    distance = F.when(F.col("distance_m").isNotNull(), geo.distance_bucket(F.col("distance_m")))
+    good = new.withColumn("filters", F.to_json(F.struct(area.alias("area"), distance.alias("distance_m")))).join(users.where(F.col("status") == "active").select("user_id"), "user_id", "left_semi")
+    return rows.unionByName(insert_absent(rows, good.select(*rows.columns), ["history_id"])[0])
+
+
+def delete_history(rows: DataFrame, user_id: str, history_ids: list[str] | None = None) -> DataFrame:
+    """Without some of a user's entries, or all of them."""
+    mine = F.col("user_id") == user_id
+    return rows.where(~(mine if history_ids is None else mine & F.col("history_id").isin(*history_ids)))
+
+
+def token_hash(token: Column) -> Column:
+    """What is kept of a session's token."""
+    return F.sha2(token, 256)
+
+
+def revoke(sessions: DataFrame, now_ms: int, user_id: str | None = None, session_id: str | None = None) -> DataFrame:
+    """Sessions with those of a user, or one of them, revoked; earlier revocations stay."""
+    hit = F.lit(True)
+    if user_id is not None:
+        hit = hit & (F.col("user_id") == user_id)
+    if session_id is not None:
+        hit = hit & (F.col("session_id") == session_id)
+    return sessions.withColumn("revoked_at_ms", F.when(hit, F.coalesce("revoked_at_ms", F.lit(now_ms))).otherwise(F.col("revoked_at_ms")))
+
+
 def history(rows: DataFrame, user_id: str, limit: int = 20) -> DataFrame:
     """Newest entries with their filters as text."""
     if not 1 <= limit <= 100:

@@ -2,12 +2,42 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timeutil import dotted_date
 
 
+# Keys of a selector contract, and what no selector may hold.
+CONTRACT_KEYS = ("version", "paginationMode", "reviewItem", "body", "rating", "publishedDate", "nickname", "nextButton", "loginWall", "captcha", "accessDenial")
+CONTRACT_VERSION, PAGINATION_MODES = "kakao-review-dom-v2", ("append", "replace")
+UNSAFE = re.compile(r"script|iframe|https?://|data:|javascript:", re.IGNORECASE)
+
+
+class ContractInvalid(ValueError):
+    """The selector contract breaks its rules."""
+
+
+def selector_contract(source: str) -> dict[str, str]:
+    """A contract from its JSON text: exactly the known keys, selectors of 1 to 256 characters that load nothing."""
+    try:
+        found = json.loads(source)
+    except ValueError:
+        raise ContractInvalid("no JSON") from None
+    if not isinstance(found, dict) or sorted(found) != sorted(CONTRACT_KEYS) or not all(isinstance(v, str) for v in found.values()):
+        raise ContractInvalid("keys")
+    out = {k: v.strip() if k not in ("version", "paginationMode") else v for k, v in found.items()}
+    if out["version"] != CONTRACT_VERSION or out["paginationMode"] not in PAGINATION_MODES:
+        raise ContractInvalid("version or mode")
+    for key in CONTRACT_KEYS[2:]:
+        if not 1 <= len(out[key]) <= 256 or UNSAFE.search(out[key]):
+            raise ContractInvalid(key)
+    return out
+
+
 def attribute(block: Column, name: str) -> Column:
     """A quoted attribute's value, null if absent."""
     found = F.regexp_extract(block, rf'{name}="([^"]*)"', 1)

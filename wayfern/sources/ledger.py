@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import timeutil
-from ..functions.ids import stable_id
+from ..functions.ids import stable_id, table_digest
 
 # Provider fields and the engine's columns.
 FIELDS = {
@@ -41,12 +41,18 @@ def read_fixture(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("basisDate", F.explode("pages").alias("json"))
 
 
+def pages_digest(pages: DataFrame, json_col: str = "json") -> str:
+    """A digest of all pages' texts, whatever their order in the table."""
+    return table_digest(pages.select(json_col)).first()["digest"]
+
+
 def page_errors(decoded: DataFrame) -> DataFrame:
     """``error``, ``n``: undecodable, over-full or refused pages, changing totals, and totals that the pages do not reach."""
     bad = decoded.agg(
         F.count_if(F.col("items").isNull() | F.col("total").isNull()).alias("SCHEMA_MISMATCH"),
         F.count_if(F.size("items") > F.col("rows_asked")).alias("OVERFULL_PAGE"),
-        (F.count(F.lit(1)) - F.count_distinct("page_no")).alias("PAGE_MISMATCH"),
+        # repeated pages, and numbers from 1 to the last that are not there
+        (F.count(F.lit(1)) - F.count_distinct("page_no") + F.coalesce(F.max("page_no"), F.lit(0)) - F.count_distinct("page_no")).alias("PAGE_MISMATCH"),
         F.coalesce(F.max("total") - F.min("total"), F.lit(0)).alias("TOTAL_CHANGED"),
         F.coalesce(F.abs(F.max("total") - F.sum(F.size("items"))), F.lit(0)).alias("TOTAL_MISMATCH"),
     )

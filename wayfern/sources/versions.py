@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +17,17 @@ class StaleSource(RuntimeError):
     """A newer source is active already."""
 
 
+class Conflict(RuntimeError):
+    """Another publisher was first."""
+
+
 class Versions:
     """Tables at ``root/version/table``; the manifest is replaced by rename.
 
+    Each state has a generation.  Who follows it makes that generation's file
+    exclusively, so that of two publishers that read the same state one wins
+    and the other one is refused.
+
     ``manifest_dir`` is a folder of the driver; tables may be in any store that
     Spark reads and writes.
     """
@@ -33,8 +42,8 @@ class Versions:
     def source_order(self, source: dict) -> tuple:
         return (source["basis_date"], str(source["downloaded_at_ms"]).rjust(16, "0"), source["snapshot_id"])
 
-    def guard(self, source: dict) -> None:
-        active = self.state()["active"]
+    def guard(self, source: dict, state: dict | None = None) -> None:
+        active = (state or self.state())["active"]
         if active and self.source_order(active["source"]) > self.source_order(source):
             raise StaleSource(active["version"])
 
@@ -59,13 +68,19 @@ class Versions:
             df.write.mode("overwrite").parquet(path)
             row = table_digest(df.sparkSession.read.parquet(path)).first()
             entry["tables"][name] = {"rows": row["n"], "digest": row["digest"]}
-        self.guard(source)
         state = self.state()
-        self._swap({"active": entry, "history": [*state["history"], entry]})
+        self.guard(source, state)
+        self._swap({"active": entry, "history": [*state["history"], entry]}, state.get("generation", 0))
         return entry
 
-    def _swap(self, state: dict) -> None:
+    def _swap(self, state: dict, seen: int) -> None:
+        """Replace the state of generation ``seen``."""
         self.manifest.parent.mkdir(parents=True, exist_ok=True)
+        state = state | {"generation": seen + 1}
+        try:
+            self.manifest.with_suffix(f".{seen + 1}").open("x").close()
+        except FileExistsError:
+            raise Conflict(f"generation {seen + 1}") from None
         part = self.manifest.with_suffix(f".{uuid.uuid4().hex}")
         part.write_text(json.dumps(state, sort_keys=True, ensure_ascii=False))
         os.replace(part, self.manifest)
@@ -85,7 +100,23 @@ class Versions:
         copy = Versions(target)
         for name in active["tables"]:
             self.read(spark, name).write.parquet(f"{copy.root}/{active['version']}/{name}")
-        copy._swap({"active": active, "history": [active]})
+        copy._swap({"active": active, "history": [active]}, 0)
         if not all(copy.verify(spark).values()):
             raise ValueError("the copy differs")
         return copy
+
+    def restore(self, spark: SparkSession, target: str, checks: dict[str, Callable[[Versions], bool]] | None = None) -> Versions:
+        """A backup's active version as a new root, which must not exist; digests and further ``checks`` must hold.
+
+        A target whose check fails is left without a manifest, so that nothing reads it.
+        """
+        if Versions(target).manifest.exists():
+            raise FileExistsError(target)
+        if not all(self.verify(spark).values()):
+            raise ValueError("the backup is damaged")
+        copy = self.backup(spark, target)
+        failed = [name for name, check in (checks or {}).items() if not check(copy)]
+        if failed:
+            copy.manifest.unlink()
+            raise ValueError(f"checks failed: {failed}")
+        return copy
