@@ -3,7 +3,8 @@
 import duckdb
 import pytest
 
-from wayfern.plans import queries as plans
+from wayfern.plans import intake, queries  # noqa: F401  both register
+from wayfern.plans import registry as plans
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
 

@@ -116,19 +116,25 @@ def search(snapshot: Snapshot, q: C.Query, version: str | None = None) -> Result
     return result
 
 
+def detail_rows(candidates: DataFrame, request_ms: int, review_limit: int, mean: DataFrame | None = None) -> DataFrame:
+    """Every store's head of its page: state, average rating and pages of reviews."""
+    rows = C.derive(candidates, C.Query.make(request_ms=request_ms), mean)
+    average = F.when(F.col("rated_count") > 0, F.floor(F.col("rating_sum_bp") / F.col("rated_count") + 0.5).cast("long"))
+    return rows.withColumns({"average_rating_bp": average, "total_pages": F.ceil(F.col("review_count") / review_limit).cast("long")})
+
+
 def detail(snapshot: Snapshot, store_id: str, version: str, request_ms: int, review_page: int = 1, review_limit: int = 10) -> dict[str, DataFrame | int]:
     """A store that the unfiltered search holds: row, menus, hours, average rating and a page of reviews."""
     if version != snapshot.version:
         raise VersionMismatch(version)
     freshness = fresh(snapshot, request_ms)
-    store = C.derive(snapshot.candidates, C.Query.make(request_ms=request_ms), snapshot.mean).where(F.col("store_id") == store_id)
+    store = detail_rows(snapshot.candidates, request_ms, review_limit, snapshot.mean).where(F.col("store_id") == store_id)
     if store.isEmpty():
         raise StoreNotFound(store_id)
     mine = snapshot.documents.where(F.col("store_id") == store_id)
     n = mine.count()
-    average = F.when(F.col("rated_count") > 0, F.floor(F.col("rating_sum_bp") / F.col("rated_count") + 0.5).cast("long"))
     return {
-        "store": store.select("store_id", "display_name", "district", "opening_state", "review_status", "review_count", average.alias("average_rating_bp"), F.lit(freshness).alias("freshness")),
+        "store": store.select("store_id", "display_name", "district", "opening_state", "review_status", "review_count", "average_rating_bp", F.lit(freshness).alias("freshness")),
         "menus": store.select(F.inline("menus")),
         "hours": store.select(F.inline("hours")),
         "reviews": page(mine, [F.desc("published_date"), F.col("review_id")], review_page, review_limit),

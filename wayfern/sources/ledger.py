@@ -92,9 +92,9 @@ def check(ledger: DataFrame, snapshot: str) -> DataFrame:
     return x.withColumns({"reason_code": reason, "source_record_id": record, "source_row_id": stable_id("row", F.concat_ws(":", F.lit(snapshot), record))})
 
 
-def summary(checked: DataFrame) -> DataFrame:
-    """``n_read``, ``n_accepted``, ``n_rejected``."""
-    return checked.agg(F.count(F.lit(1)).alias("n_read"), F.count_if(F.col("reason_code").isNull()).alias("n_accepted"), F.count_if(F.col("reason_code").isNotNull()).alias("n_rejected"))
+def summary(checked: DataFrame, *by: str) -> DataFrame:
+    """``n_read``, ``n_accepted``, ``n_rejected``, of all rows or of each group."""
+    return checked.groupBy(*by).agg(F.count(F.lit(1)).alias("n_read"), F.count_if(F.col("reason_code").isNull()).alias("n_accepted"), F.count_if(F.col("reason_code").isNotNull()).alias("n_rejected"))
 
 
 def normalise(accepted: DataFrame, snapshot: str, version: str = "v1") -> DataFrame:
