@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 SPACE = r"[\s\p{Z}\x{FEFF}\x{85}\x{0B}]"
 #: Texts of these characters alone are NFKC already: ASCII, composed Latin letters, Hangul syllables and some signs.
 STABLE = r"^[\x00-\x7F\x{A1}-\x{A7}\x{A9}\x{AB}-\x{AE}\x{B0}\x{B1}\x{B6}\x{B7}\x{BB}\x{BF}-\x{131}\x{134}-\x{13E}\x{141}-\x{148}\x{14A}-\x{17E}\x{2010}\x{2013}\x{2014}\x{2018}-\x{201D}\x{AC00}-\x{D7A3}]*$"
-_latin = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x2000) if len(unicodedata.normalize("NFD", chr(c))) > 1 and "LATIN" in unicodedata.name(unicodedata.normalize("NFD", chr(c))[0], "")]
+_latin = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x10000) if len(unicodedata.normalize("NFD", chr(c))) > 1 and "LATIN" in unicodedata.name(unicodedata.normalize("NFD", chr(c))[0], "")]
 
 
 @F.pandas_udf(T.StringType())

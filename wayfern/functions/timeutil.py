@@ -38,9 +38,9 @@ def local_date(ms: Column) -> Column:
 
 
 def freshness(basis_date: Column, request_ms: Column) -> Column:
-    """FRESH up to 7 days, WARNING up to 30, else STALE; dates ahead are STALE."""
-    age = F.datediff(local_date(request_ms), F.to_date(basis_date))
-    return F.when((age < 0) | (age > 30), "STALE").when(age > 7, "WARNING").otherwise("FRESH")
+    """FRESH up to 7 days, WARNING up to 30, else STALE; dates ahead and what is no date are STALE."""
+    age = F.datediff(local_date(request_ms), F.try_to_date(basis_date.cast("string"), "yyyy-MM-dd"))
+    return F.when(age.isNull() | (age < 0) | (age > 30), "STALE").when(age > 7, "WARNING").otherwise("FRESH")
 
 
 def year_before(date: Column) -> Column:

@@ -81,7 +81,7 @@ def publish_catalog(versions: Versions, candidates: DataFrame, evidence: DataFra
 def superseded(evidence: dict[str, DataFrame], public: DataFrame, same_publish: bool) -> bool:
     """Whether active evidence no longer fits: made for another catalog, or of a store that is not public."""
     stores = None
-    for df in evidence.values():
+    for df in (df for df in evidence.values() if "store_id" in df.columns):
         stores = df.select("store_id") if stores is None else stores.union(df.select("store_id"))
     return not same_publish or not stores.distinct().join(public.select("store_id"), "store_id", "left_anti").isEmpty()
 
