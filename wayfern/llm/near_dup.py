@@ -45,6 +45,10 @@ from .components import components
 K, WORDS, HUNDREDTHS = 40, 5, 75
 #: Members of the longest list whose pairs are listed; members and values of a block of longer ones.
 SHORT, BLOCK, BLOCK_VALUES = 48, 1536, 1 << 20
+#: Values of a piece of a set.
+PIECE = 128
+#: Values of several components up to which they are sent to the tasks.
+FOREIGN = 2_000_000
 #: Common values of the union's sketch, in hundredths, below which a pair is not looked at further.
 ESTIMATE = 30
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -173,15 +177,60 @@ def whole_sets(texts: DataFrame) -> DataFrame:
     return map_batches(texts, ["rep", "text"], make, "rep long, hashes binary", 256)
 
 
-def shingle_rows(texts: DataFrame) -> DataFrame:
-    """``rep``, ``comp``, ``h``: a row for each value of each set."""
+def component_values(sets: DataFrame) -> DataFrame:
+    """``comp``, ``h``: the values of each component's sets; what repeats among the rows of one call is given once.
 
-    def make(keys: list, comps: list, found: list) -> dict:
-        sets = [shingle_set(t) for t in found]
-        sizes = [len(s) for s in sets]
-        return {"rep": np.repeat(np.array(keys, np.int64), sizes), "comp": np.repeat(np.array(comps, np.int64), sizes), "h": np.concatenate(sets).view(np.int64)}
+    Sets are dealt out in pieces, so that a very long text is no longer task.
+    """
+
+    def cut_up(keys: list, comps: list, packed: list) -> dict:
+        size = 8 * PIECE
+        rows = [(rep, comp, at, x[at : at + size]) for rep, comp, x in zip(keys, comps, packed, strict=True) for at in range(0, len(x), size)]
+        return dict(zip(("rep", "comp", "at", "hashes"), map(list, zip(*rows, strict=True)) if rows else ([], [], [], []), strict=True))
+
+    def make(comps: list, packed: list) -> dict:
+        values = [np.frombuffer(x, np.int64) for x in packed]
+        comp, h = np.repeat(np.array(comps, np.int64), [len(v) for v in values]), np.concatenate(values)
+        order = np.lexsort((h, comp))
+        comp, h = comp[order], h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (comp[1:] != comp[:-1])
+        return {"comp": comp[new], "h": h[new]}
+
+    pieces = map_batches(sets, ["rep", "comp", "hashes"], cut_up, "rep long, comp long, at long, hashes binary", 4096)
+    return map_batches(pieces.repartition("rep", "at"), ["comp", "hashes"], make, "comp long, h long", 8192)
+
+
+def set_values(sets: DataFrame) -> DataFrame:
+    """``rep``, ``h``: a row for each value of each set."""
+
+    def make(keys: list, packed: list) -> dict:
+        values = [np.frombuffer(x, np.int64) for x in packed]
+        return {"rep": np.repeat(np.array(keys, np.int64), [len(v) for v in values]), "h": np.concatenate(values)}
+
+    return map_batches(sets, ["rep", "hashes"], make, "rep long, h long", 256)
+
+
+def shared_counts(sets: DataFrame, foreign: DataFrame) -> DataFrame:
+    """``rep``, ``s``: how many of the set's values are among ``foreign`` (``h``, distinct).
+
+    Up to ``FOREIGN`` values go to the tasks; more of them are joined.
+    """
+    spark = sets.sparkSession
+    if foreign.count() > FOREIGN:
+        return set_values(sets).join(foreign, "h", "left_semi").groupBy("rep").agg(F.count(F.lit(1)).alias("s"))
+    shared = spark.sparkContext.broadcast(np.sort(foreign.toPandas()["h"].to_numpy(np.int64)))
+
+    def make(keys: list, packed: list) -> dict:
+        found = shared.value
+        out = []
+        for x in packed:
+            v = np.frombuffer(x, np.int64)
+            at = np.minimum(np.searchsorted(found, v), max(0, len(found) - 1))
+            out.append(int((found[at] == v).sum()) if len(found) else 0)
+        return {"rep": keys, "s": out}
 
-    return map_batches(texts, ["rep", "comp", "text"], make, "rep long, comp long, h long", 256)
+    return map_batches(sets, ["rep", "hashes"], make, "rep long, s long", 4096)
 
 
 def common_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -245,8 +294,8 @@ def _cell_links(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"]).astype(np.int64)
 
 
-def _undecided(long: DataFrame, first: DataFrame, texts: DataFrame) -> DataFrame:
-    """``key``, ``rep``, ``comp``, ``n`` of members of long lists that may be linked with another component's.
+def _undecided(long: DataFrame, first: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``key``, ``rep``, ``comp``, ``n``; ``rep``, ``hashes``) of members of long lists that may be linked with another component's.
 
     Of a set, only values that another component has too can be common with
     it.  With s such values in the smaller count, the similarity of two sets is
@@ -257,15 +306,15 @@ def _undecided(long: DataFrame, first: DataFrame, texts: DataFrame) -> DataFrame
     placed = by_rep.join(first.withColumnRenamed("node", "rep"), "rep", "left")
     members = cut(placed.select("rep", "n", F.coalesce("component", "rep").alias("comp"), F.explode("keys").alias("key")), "members")
     apart = F.min("comp") < F.max("comp")
-    mixed = members.join(members.groupBy("key").agg(apart.alias("apart")).where("apart"), "key", "left_semi")
-    held = cut(shingle_rows(texts.join(mixed.select("rep", "comp").distinct(), "rep")), "values")
-    foreign = held.groupBy("h").agg(apart.alias("apart")).where("apart")
-    shared = held.join(foreign, "h", "left_semi").groupBy("rep").agg(F.count(F.lit(1)).alias("s"))
+    mixed = cut(members.join(members.groupBy("key").agg(apart.alias("apart")).where("apart"), "key", "left_semi"), "mixed")
+    sets = cut(whole_sets(texts.join(mixed.select("rep").distinct(), "rep", "left_semi")), "sets")
+    held = component_values(sets.join(mixed.select("rep", "comp").distinct(), "rep"))
+    foreign = cut(held.groupBy("h").agg(apart.alias("apart")).where("apart").select("h"), "foreign")
     # the largest set that this one can be linked with, from 100 * s >= HUNDREDTHS * (n1 + n2 - s)
     partner = F.floor(F.col("s") * (100 + HUNDREDTHS) / HUNDREDTHS) - F.col("n")
-    able = cut(mixed.join(shared, "rep").where(100 * F.col("s") >= HUNDREDTHS * F.col("n")).select("key", "rep", "comp", "n", partner.alias("partner")), "able")
+    able = cut(mixed.join(shared_counts(sets, foreign), "rep").where(100 * F.col("s") >= HUNDREDTHS * F.col("n")).select("key", "rep", "comp", "n", partner.alias("partner")), "able")
     lists = able.groupBy("key").agg(apart.alias("apart"), F.min("n").alias("least")).where("apart")
-    return able.join(lists.drop("apart"), "key").where(F.col("partner") >= F.col("least")).select("key", "rep", "comp", "n")
+    return able.join(lists.drop("apart"), "key").where(F.col("partner") >= F.col("least")).select("key", "rep", "comp", "n"), sets
 
 
 def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
@@ -288,9 +337,9 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     texts = cut(docs.withColumnRenamed("doc_id", "rep").join(involved, "rep", "left_semi"), "texts")
     found = cut(_confirmed(pairs, texts), "links")
     first = cut(components(found), "components")
-    members = cut(_undecided(long, first, texts), "undecided")
+    undecided, sets = _undecided(long, first, texts)
+    members = cut(undecided, "undecided")
     lists = members.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("values"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where(F.col("c0") < F.col("c1"))
-    sets = cut(whole_sets(texts.join(members.select("rep").distinct(), "rep", "left_semi")), "sets")
     blocks = F.greatest(F.ceil(F.col("members") / F.lit(BLOCK)), F.ceil(F.col("values") / F.lit(BLOCK_VALUES))).cast("int")
     cells = (
         members.join(lists.select("key", blocks.alias("blocks")), "key")
