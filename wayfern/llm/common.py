@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Folder for written tables of runs within one machine that name no shared one.
 LOCAL_SHARED = "/tmp/wayfern-shared"
+#: Rows of an Arrow batch while a table is written.
+ARROW_ROWS = 1024
 _own_folders: set[str] = set()
 
 
@@ -58,9 +60,20 @@ def cut(df: DataFrame, what: str) -> DataFrame:
 
 
 def cut_to(df: DataFrame, path: str) -> DataFrame:
-    """``cut`` with a path of the caller's, who may discard it later."""
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``cut`` with a path of the caller's, who may discard it later.
+
+    While it is written, Python gets batches of ``ARROW_ROWS`` rows at most:
+    those of some thousand pairs of texts would take a good part of an
+    executor's memory outside the heap.
+    """
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(ARROW_ROWS, int(before)) if int(before) > 0 else ARROW_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def free_name(df: DataFrame, base: str) -> str:
