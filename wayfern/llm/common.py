@@ -76,6 +76,13 @@ def cut_to(df: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def finite_vectors(vectors: DataFrame, id_col: str, vec_col: str, *more) -> DataFrame:
+    """``vec_id`` (long), ``v`` (doubles) and ``more`` columns, for rows with an id and a vector of finite components."""
+    v = F.col(f"`{vec_col}`").cast("array<double>")
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    return vectors.where(F.col(f"`{id_col}`").isNotNull() & v.isNotNull() & finite).select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), v.alias("v"), *more)
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

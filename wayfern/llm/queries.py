@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, lang_id, length_stats, line_dedup, near_dup, pii, secret_scan, token_store, topk
+from . import bpe, decontam, hard_negatives, lang_id, length_stats, line_dedup, near_dup, pii, secret_scan, suffix_dedup, token_store, topk, whiten
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -70,6 +70,20 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some labels are moved on by one, so that neighbours of other labels occur."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -116,4 +130,30 @@ def oracle_sql() -> dict[str, str]:
             left_over AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS kept FROM l ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
             SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(removed, '') AS removed_lines, CASE WHEN n IS NULL THEN text ELSE coalesce(kept, '') END AS text
             FROM documents d LEFT JOIN lost USING (doc_id) LEFT JOIN left_over USING (doc_id)""",
+        "op11_suffix_dedup": """
+            WITH x AS (SELECT doc_id, coalesce(strlen(text), 0) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+            c AS (SELECT doc_id, n, lo, substr(h, 2 * lo + 1, 2 * (256 + 49)) AS piece FROM (SELECT *, unnest(range(0, n, 256)) AS lo FROM x)),
+            w AS (SELECT doc_id, lo + i AS p, substr(piece, 2 * i + 1, 2) AS byte, CASE WHEN n >= lo + i + 50 THEN substr(piece, 2 * i + 1, 100) END AS g FROM (SELECT *, unnest(range(least(256, n - lo))) AS i FROM c)),
+            f AS (SELECT g, min(doc_id) AS first FROM w WHERE g IS NOT NULL GROUP BY g HAVING min(doc_id) < max(doc_id)),
+            m AS (SELECT w.doc_id, p, byte, max(CASE WHEN first < w.doc_id THEN 1 ELSE 0 END) OVER (PARTITION BY w.doc_id ORDER BY p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM w LEFT JOIN f ON w.g = f.g),
+            s AS (SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), 0) = 0 AS begins FROM m),
+            r AS (SELECT doc_id, sum(gone) AS n_removed, count(*) FILTER (begins) AS n_spans, string_agg(byte, '' ORDER BY p) FILTER (gone = 0) AS kept FROM s GROUP BY doc_id)
+            SELECT x.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+            FROM x LEFT JOIN r USING (doc_id)""",
+        "op13_hard_negatives": """
+            WITH v AS (
+                SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+                FROM embeddings
+                WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
+            ), s AS (
+                SELECT a.vec_id AS anchor_id, e.vec_id, a.label = e.label AS same, CAST(list_inner_product(a.v, e.v) AS BIGINT) AS score
+                FROM v a JOIN v e ON a.vec_id <> e.vec_id WHERE a.vec_id % 100 = 0
+            ), p AS (
+                SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+                QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+            )
+            SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank,
+                n.vec_id AS negative_id, p.positive_score, n.score AS negative_score
+            FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80 * p.positive_score <= 100 * n.score AND 100 * n.score <= 100 * p.positive_score
+            QUALIFY rank <= 5""",
     }

@@ -44,14 +44,14 @@ EXACT = 1 << 52
 LONG = np.iinfo(np.int64)
 
 
-def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """``vec_id``, ``v``: floor(scale * x) of every component, as doubles, for rows that take part."""
+def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int, *more: str) -> DataFrame:
+    """``vec_id``, ``v`` and ``more`` columns: floor(scale * x) of every component, as doubles, for rows that take part."""
     raw = F.col(f"`{vec_col}`").cast("array<double>")
     finite = F.forall(raw, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     v = F.transform(raw, lambda x: x * F.lit(float(scale)))
     # floor() of a double gives a long, which large values would overflow
     v = F.transform(v, lambda x: F.when(F.abs(x) < F.lit(float(EXACT)), F.floor(x).cast("double")).otherwise(x))
-    return vectors.where(F.col(f"`{id_col}`").isNotNull() & raw.isNotNull() & finite).select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), v.alias("v"))
+    return vectors.where(F.col(f"`{id_col}`").isNotNull() & raw.isNotNull() & finite).select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), v.alias("v"), *more)
 
 
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
