@@ -148,7 +148,7 @@ def test_backup_and_restore(spark, tmp_path):
         copy.restore(spark, str(tmp_path / "back"))
     with pytest.raises(ValueError, match="rows"):
         copy.restore(spark, str(tmp_path / "other"), {"rows": lambda x: False})
-    assert not Versions(str(tmp_path / "other")).manifest.exists()
+    assert not Versions(str(tmp_path / "other")).state()["active"]
 
 
 def test_one_run_at_a_time(tmp_path):

@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 _own_folders: set[str] = set()
 
 
-def cut(df: DataFrame, what: str) -> DataFrame:
-    """Write to the folder that the session shares and read back: it is computed once and its lineage ends."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the application's own part of the folder that the session shares; it goes when the driver ends."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
@@ -22,9 +21,14 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     if folder not in _own_folders:
         _own_folders.add(folder)
         atexit.register(_remove, spark, folder)
-    path = f"{folder}/{what}-{uuid.uuid4().hex[:12]}"
+    return f"{folder}/{what}-{uuid.uuid4().hex[:12]}"
+
+
+def cut(df: DataFrame, what: str) -> DataFrame:
+    """Write to the shared folder and read back: it is computed once and its lineage ends."""
+    path = scratch(df.sparkSession, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..functions import ids, labels, text, timeutil
 from ..operators import candidates as C
 from ..operators import eligibility, resolve, reviews, tables
 from ..sources import keyword, ledger
-from ..streaming import seen
+from ..streaming import ingest, seen
 from . import proxy, publish, runs, users
 from .proxy import ctes
 from .queries import AGG, BRANDED, FACTS, NOON_MS, PAIRS, PUBLIC, _branded, _candidates, _mean, _public, _resolvable
@@ -58,6 +60,24 @@ def ledger_page_counts(spark, d):
     return ledger.summary(x, "page_no")
 
 
+@query(f"""SELECT code || ':' || number AS key, 'staged' AS kind, name AS content, CAST(k // 100 + 1 AS BIGINT) AS page_no FROM (SELECT *, {REASON} AS r FROM ({ROWS.format(customer='customer')})) WHERE r IS NULL
+UNION ALL SELECT CASE WHEN trim(number) = '' THEN 'place:' || CAST(k // 100 + 1 AS VARCHAR) || ':' || CAST(k % 100 AS VARCHAR) ELSE code || ':' || number END, 'refused', r, CAST(k // 100 + 1 AS BIGINT) FROM (SELECT *, {REASON} AS r FROM ({ROWS.format(customer='customer')})) WHERE r IS NOT NULL
+UNION ALL SELECT CAST(k // 100 + 1 AS VARCHAR), 'page', CAST(count(*) AS VARCHAR) || '/' || CAST(count(*) FILTER (r IS NULL) AS VARCHAR) || '/0/' || CAST(count(*) FILTER (r IS NOT NULL) AS VARCHAR), CAST(k // 100 + 1 AS BIGINT) FROM (SELECT *, {REASON} AS r FROM ({ROWS.format(customer='customer')})) GROUP BY k // 100""")
+def pages_ingested(spark, d):
+    """The landed pages go through the ingestion stream; its tables after the run: staged and refused rows, and a row for each page."""
+    pages = tables.cut(_pages(spark, d).withColumnRenamed("page", "page_no"), "pages")
+    root = tables.scratch(spark, "ingestion")
+    ingest.land(pages, f"{root}/landed")
+    log = tempfile.mkdtemp(prefix="ingestion-log-")  # the driver's own, as it names commits only
+    run = ingest.Ingestion(spark, root, ingest.snapshot("2026-07-24", pages)["snapshot_id"], log)
+    run.run(f"{root}/landed", pages_a_trigger=64)
+    rows = run.read("source_rows").select("source_row_id", "source_row_key", "page_no")
+    staged = rows.join(run.read("staged").select("source_row_id", F.col("business_name").alias("content")), "source_row_id").select(F.col("source_row_key").alias("key"), F.lit("staged").alias("kind"), "content", "page_no")
+    refused = rows.join(run.read("issues").select("source_row_id", F.col("rule_code").alias("content")), "source_row_id").select(F.col("source_row_key").alias("key"), F.lit("refused").alias("kind"), "content", "page_no")
+    counts = run.read("checkpoints").select(F.col("page_no").cast("string").alias("key"), F.lit("page").alias("kind"), F.concat_ws("/", *ingest.COUNTS).alias("content"), "page_no")
+    return tables.cut(staged.unionByName(refused).unionByName(counts), "ingested")
+
+
 @query("SELECT e.error, CAST(e.n AS BIGINT) AS n FROM (SELECT count(*) AS c FROM customer), LATERAL (SELECT unnest([{'error': 'PAGE_MISMATCH', 'n': 2}, {'error': 'TOTAL_MISMATCH', 'n': 0}]) AS e) WHERE e.n > 0")
 def ledger_page_errors(spark, d):
     """One page comes twice under another number, which leaves a gap and a repeat; rows still add up to the total."""

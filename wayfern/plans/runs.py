@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.tables import change_types, latest_by
+from ..sources.lease import Held, Lease
 
 # How a run reads a store, and how a store ends.
 MODES = ("INITIAL_BACKFILL", "INCREMENTAL", "BACKFILL_FALLBACK")
@@ -23,19 +24,17 @@ class RunActive(RuntimeError):
 
 
 @contextmanager
-def single_run(folder: str, run_id: str):
-    """Hold the one slot for active runs; its file is made exclusively, so that of two runs one gets it."""
-    slot = Path(folder) / "active-run"
-    slot.parent.mkdir(parents=True, exist_ok=True)
+def single_run(folder: str, run_id: str, ttl_ms: int = 15 * 60_000, clock=None):
+    """Hold the one slot for active runs, and yield its lease to renew and check; a holder that died is followed when its lease ends."""
+    lease = Lease(folder, "active-run", ttl_ms, **({"clock": clock} if clock else {}))
     try:
-        with slot.open("x") as f:
-            f.write(run_id)
-    except FileExistsError:
-        raise RunActive(slot.read_text()) from None
+        lease.acquire(run_id)
+    except Held as e:
+        raise RunActive(str(e)) from None
     try:
-        yield
+        yield lease
     finally:
-        slot.unlink(missing_ok=True)
+        lease.release()
 
 
 def write_report(path: str, report: dict) -> None:

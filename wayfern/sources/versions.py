@@ -1,16 +1,15 @@
-"""Immutable table versions below a root folder and one manifest that names the active one."""
+"""Immutable table versions below a root folder and a manifest that names the active one."""
 
 from __future__ import annotations
 
 import json
-import os
-import uuid
 from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.ids import digest, table_digest
+from .lease import Lease, create_whole, numbered
 
 
 class StaleSource(RuntimeError):
@@ -22,22 +21,26 @@ class Conflict(RuntimeError):
 
 
 class Versions:
-    """Tables at ``root/version/table``; the manifest is replaced by rename.
+    """Tables at ``root/version/table``; the manifest's highest generation holds the state.
 
-    Each state has a generation.  Who follows it makes that generation's file
-    exclusively, so that of two publishers that read the same state one wins
-    and the other one is refused.
+    Who follows a generation makes the next one's file, whole and exclusively,
+    so that of two publishers that read the same state one wins and the other
+    one is refused, and a publisher that dies leaves nothing to clear.  With a
+    ``lease``, one that has been taken over is refused as well.
 
     ``manifest_dir`` is a folder of the driver; tables may be in any store that
     Spark reads and writes.
     """
 
-    def __init__(self, root: str, manifest_dir: str | None = None):
-        self.root = root.rstrip("/")
+    def __init__(self, root: str, manifest_dir: str | None = None, lease: Lease | None = None):
+        self.root, self.lease = root.rstrip("/"), lease
         self.manifest = Path(manifest_dir or root.removeprefix("file://")) / "manifest.json"
 
     def state(self) -> dict:
-        return json.loads(self.manifest.read_text()) if self.manifest.exists() else {"active": None, "history": []}
+        """The state of the highest generation."""
+        generations = numbered(self.manifest.parent, f"{self.manifest.stem}.*.json")
+        at = self.manifest.with_suffix(f".{generations[-1]}.json") if generations else self.manifest
+        return json.loads(at.read_text()) if at.exists() else {"active": None, "history": []}
 
     def source_order(self, source: dict) -> tuple:
         return (source["basis_date"], str(source["downloaded_at_ms"]).rjust(16, "0"), source["snapshot_id"])
@@ -55,8 +58,11 @@ class Versions:
         """
         self.guard(source)
         version = "v_" + digest(source)[:24]
-        for past in self.state()["history"]:
+        state = self.state()
+        for past in state["history"]:
             if past["version"] == version:
+                if past != state["active"]:  # back to earlier tables of this source
+                    self._swap({"active": past, "history": state["history"]}, state.get("generation", 0))
                 return past
         if checks is not None:
             broken = {r["check"]: r["n"] for r in checks.where("n > 0").collect()}  # a row a check
@@ -74,16 +80,12 @@ class Versions:
         return entry
 
     def _swap(self, state: dict, seen: int) -> None:
-        """Replace the state of generation ``seen``."""
-        self.manifest.parent.mkdir(parents=True, exist_ok=True)
+        """Follow the state of generation ``seen``: one file, made whole, is the whole step, so that a crash leaves the one or the other state."""
+        if self.lease is not None:
+            self.lease.check()
         state = state | {"generation": seen + 1}
-        try:
-            self.manifest.with_suffix(f".{seen + 1}").open("x").close()
-        except FileExistsError:
-            raise Conflict(f"generation {seen + 1}") from None
-        part = self.manifest.with_suffix(f".{uuid.uuid4().hex}")
-        part.write_text(json.dumps(state, sort_keys=True, ensure_ascii=False))
-        os.replace(part, self.manifest)
+        if not create_whole(self.manifest.with_suffix(f".{seen + 1}.json"), json.dumps(state, sort_keys=True, ensure_ascii=False)):
+            raise Conflict(f"generation {seen + 1}")
 
     def read(self, spark: SparkSession, table: str, version: str | None = None) -> DataFrame:
         version = version or self.state()["active"]["version"]
@@ -110,13 +112,19 @@ class Versions:
 
         A target whose check fails is left without a manifest, so that nothing reads it.
         """
-        if Versions(target).manifest.exists():
+        if Versions(target).state()["active"]:
             raise FileExistsError(target)
         if not all(self.verify(spark).values()):
             raise ValueError("the backup is damaged")
         copy = self.backup(spark, target)
         failed = [name for name, check in (checks or {}).items() if not check(copy)]
         if failed:
-            copy.manifest.unlink()
+            copy.clear()
             raise ValueError(f"checks failed: {failed}")
         return copy
+
+    def clear(self) -> None:
+        """Take the manifest away, so that nothing reads these tables."""
+        for n in numbered(self.manifest.parent, f"{self.manifest.stem}.*.json"):
+            self.manifest.with_suffix(f".{n}.json").unlink()
+        self.manifest.unlink(missing_ok=True)
