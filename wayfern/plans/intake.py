@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import ids, labels, text, timeutil
 from ..operators import candidates as C
 from ..operators import eligibility, resolve, reviews, tables
-from ..sources import keyword, ledger
+from ..sources import frontier, keyword, ledger
 from ..streaming import ingest, seen
 from . import proxy, publish, runs, users
 from .proxy import ctes
@@ -94,6 +94,69 @@ def ledger_normalised(spark, d):
     return out.select(F.col("management_number").cast("long").alias("row_key"), "display_name", "normalized_name", "normalized_brand_name", "branch_name", "normalized_address", "district", "business_status")
 
 
+# -- the area scan ------------------------------------------------------------
+
+#: The box of the stores, a page's rows and pages that may be asked for: 60 rows saturate a tile.
+AREA, TILE_SIZE, TILE_PAGES, TILE_DEPTH = (126.7, 37.4, 127.3, 37.75), 15, 4, 4
+
+
+def _provider(spark, d):
+    """An endpoint over the stores: the asked page of the places in each rectangle, by id."""
+    s = proxy.view(spark, d, "stores").select("store_id", (F.col("longitude_e7") / 1e7).alias("x"), (F.col("latitude_e7") / 1e7).alias("y"))
+
+    def ask(requests: DataFrame) -> DataFrame:
+        # a store lies in one tile of a depth, so that requests meet stores by the tile's key
+        depths = [r.depth for r in requests.select("depth").distinct().collect()]  # one a round
+        if not depths:
+            return requests.withColumns({"status": F.lit(200), "json": F.lit("")})
+        n = 1 << depths[0]
+        col, row = (F.least(F.floor((F.col(c) - low) / (high - low) * n), F.lit(n - 1)) for c, low, high in (("x", AREA[0], AREA[2]), ("y", AREA[1], AREA[3])))
+        east, north = (F.greatest(x, F.lit(0)).cast("long") for x in (col, row))
+        bit = lambda v, k: F.shiftright(v, depths[0] - 1 - k).bitwiseAND(F.lit(1))
+        key = F.concat_ws(".", F.lit("0"), *((bit(north, k) * 2 + bit(east, k)).cast("string") for k in range(depths[0])))
+        order = Window.partitionBy("tile").orderBy("store_id")
+        placed = s.withColumn("tile", key).withColumn("page", (F.floor((F.row_number().over(order) - 1) / TILE_SIZE) + 1).cast("int"))
+        doc = F.struct(F.col("store_id").alias("id"), F.col("x").cast("string").alias("x"), F.col("y").cast("string").alias("y"))
+        held = placed.groupBy("tile", "page").agg(F.sort_array(F.collect_list(doc)).alias("documents"))
+        totals = placed.groupBy("tile").agg(F.count(F.lit(1)).alias("total"))
+        x = requests.join(held, ["tile", "page"], "left").join(totals, "tile", "left").withColumn("total", F.coalesce("total", F.lit(0)))
+        pageable = F.least("total", F.lit(TILE_SIZE * TILE_PAGES))
+        meta = F.struct(F.col("total").alias("total_count"), pageable.alias("pageable_count"), ((F.col("page") * TILE_SIZE >= pageable) & (F.col("total") <= TILE_SIZE * TILE_PAGES)).alias("is_end"))
+        body = F.to_json(F.struct(meta.alias("meta"), F.coalesce("documents", F.array().cast(held.schema["documents"].dataType)).alias("documents")))
+        return x.select(*frontier.REQUEST_COLUMNS, F.lit(200).alias("status"), body.alias("json"))
+
+    return ask
+
+
+#: Tiles of stores at each depth, as another engine counts them.
+QUADS = f"""q AS (SELECT store_id, (longitude_e7 / 1e7 - {AREA[0]}) / ({AREA[2]} - {AREA[0]}) AS x, (latitude_e7 / 1e7 - {AREA[1]}) / ({AREA[3]} - {AREA[1]}) AS y FROM stores),
+t AS (SELECT store_id, dep, '0' || string_agg('.' || CAST((r >> (dep - 1 - k) & 1) * 2 + (c >> (dep - 1 - k) & 1) AS VARCHAR), '' ORDER BY k) AS tile FROM (
+  SELECT store_id, dep, unnest(range(dep)) AS k, greatest(least(CAST(floor(y * (1 << dep)) AS BIGINT), (1 << dep) - 1), 0) AS r, greatest(least(CAST(floor(x * (1 << dep)) AS BIGINT), (1 << dep) - 1), 0) AS c FROM (SELECT *, unnest(range(1, {TILE_DEPTH} + 1)) AS dep FROM q)) GROUP BY ALL
+  UNION ALL SELECT store_id, 0, '0' FROM q),
+n AS (SELECT tile, dep, count(*) AS n FROM t GROUP BY ALL),
+f AS (SELECT tile, dep, n FROM n WHERE n > {TILE_SIZE * TILE_PAGES})"""
+
+
+@query(f"""{ctes('stores')}, {QUADS}
+SELECT tile, dep AS depth, CASE WHEN n <= {TILE_SIZE * TILE_PAGES} THEN 'DONE' WHEN dep < {TILE_DEPTH} THEN 'SATURATED' ELSE 'PARTIAL' END AS state,
+  CASE WHEN n > {TILE_SIZE * TILE_PAGES} THEN 1 ELSE greatest(1, CAST(ceil(n / {TILE_SIZE}.0) AS BIGINT)) END AS n_pages
+FROM n WHERE dep = 0 OR tile[:-3] IN (SELECT tile FROM f)
+UNION ALL SELECT f.tile || '.' || q, f.dep + 1, 'DONE', 1 FROM f, (SELECT unnest(['0', '1', '2', '3']) AS q) WHERE f.dep < {TILE_DEPTH} AND f.tile || '.' || q NOT IN (SELECT tile FROM n)""")
+def frontier_tiles(spark, d):
+    """Saturated tiles are split and asked again; every asked tile with its state and pages."""
+    _, tiles_, _ = frontier.scan(spark, _provider(spark, d), AREA, TILE_DEPTH, TILE_SIZE, TILE_PAGES)
+    return tiles_.select("tile", "depth", "state", "n_pages")
+
+
+@query(f"""{ctes('stores')}, {QUADS}, leaf AS (SELECT tile, dep FROM n WHERE (n <= {TILE_SIZE * TILE_PAGES} OR dep = {TILE_DEPTH}) AND (dep = 0 OR tile[:-3] IN (SELECT tile FROM f)) AND (n <= {TILE_SIZE * TILE_PAGES}))
+SELECT store_id, tile FROM t JOIN leaf USING (tile, dep)
+UNION ALL SELECT store_id, tile FROM (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY store_id) AS i FROM t JOIN f USING (tile, dep) WHERE dep = {TILE_DEPTH}) WHERE i <= {TILE_SIZE}""")
+def frontier_coverage(spark, d):
+    """Each place that the scan saw with the tile that showed it; of a tile that stays saturated, its first page."""
+    _, tiles_, pages = frontier.scan(spark, _provider(spark, d), AREA, TILE_DEPTH, TILE_SIZE, TILE_PAGES)
+    return frontier.observations(pages, tiles_).select(F.col("id").alias("store_id"), "tile")
+
+
 # -- dates, texts, labels -----------------------------------------------------
 
 

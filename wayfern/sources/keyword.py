@@ -15,19 +15,19 @@ def valid_rect(west: Column, south: Column, east: Column, north: Column) -> Colu
     return (west < east) & (south < north) & (west >= -180) & (east <= 180) & (south >= -90) & (north <= 90)
 
 
-def checked(pages: DataFrame, json_col: str = "json") -> DataFrame:
+def checked(pages: DataFrame, json_col: str = "json", size: int = SIZE, last_page: int = LAST_PAGE) -> DataFrame:
     """Pages (``tile``, ``page``, ``status``, the rectangle and the text) with ``body`` and ``error``: the first rule that they break."""
     x = pages.withColumn("body", F.from_json(json_col, PAGE))
     total, pageable, end, n = F.col("body.meta.total_count"), F.col("body.meta.pageable_count"), F.col("body.meta.is_end"), F.size("body.documents")
-    expected = F.least(F.lit(SIZE), F.greatest(F.lit(0), pageable - (F.col("page") - 1) * SIZE))
+    expected = F.least(F.lit(size), F.greatest(F.lit(0), pageable - (F.col("page") - 1) * size))
     error = (
-        F.when(~(F.col("page").between(1, LAST_PAGE) & valid_rect(*map(F.col, ("west", "south", "east", "north")))), "REQUEST_INVALID")
+        F.when(~(F.col("page").between(1, last_page) & valid_rect(*map(F.col, ("west", "south", "east", "north")))), "REQUEST_INVALID")
         .when(F.col("status").isNull(), "NETWORK_ERROR")
         .when(F.col("status").isin(401, 403, 429), "ACCESS_DENIED")
         .when(~F.col("status").between(200, 299), "HTTP_ERROR")
         .when(total.isNull() | pageable.isNull() | end.isNull() | F.col("body.documents").isNull(), "RESPONSE_INVALID")
-        .when((pageable > total) | (n > SIZE), "PAGINATION_INVALID")
-        .when((n != expected) | (end != (F.col("page") * SIZE >= pageable)), "PAGE_MISMATCH")
+        .when((pageable > total) | (n > size), "PAGINATION_INVALID")
+        .when((n != expected) | (end != (F.col("page") * size >= pageable)), "PAGE_MISMATCH")
     )
     return x.withColumn("error", error)
 
