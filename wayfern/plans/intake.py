@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import ids, labels, text, timeutil
 from ..operators import candidates as C
 from ..operators import eligibility, resolve, reviews, tables
-from ..sources import frontier, keyword, ledger
+from ..sources import dom, frontier, keyword, ledger
 from ..streaming import ingest, seen
 from . import proxy, publish, runs, users
 from .proxy import ctes
-from .queries import AGG, BRANDED, FACTS, NOON_MS, PAIRS, PUBLIC, _branded, _candidates, _mean, _public, _resolvable
+from .queries import AGG, ARTICLES, BRANDED, FACTS, NOON_MS, PAIRS, PUBLIC, _branded, _candidates, _mean, _public, _resolvable
 from .registry import query, read
 
 # -- the ledger ---------------------------------------------------------------
@@ -157,6 +157,40 @@ def frontier_coverage(spark, d):
     return frontier.observations(pages, tiles_).select(F.col("id").alias("store_id"), "tile")
 
 
+# -- pages by selectors ---------------------------------------------------------
+
+CONTRACT = {"paginationMode": "replace", "reviewItem": "main > article.review", "body": ".text > p", "rating": "[data-rating]", "publishedDate": "time", "nickname": "header b", "nextButton": "a.next", "loginWall": "#login", "captcha": ".captcha", "accessDenial": "[data-denied]"}
+AS_OF, PER_PAGE = "1998-06-30", 5
+
+
+@query(f"""WITH a AS (SELECT *, position // {PER_PAGE} + 1 AS page_no, name = '5-LOW' OR date > '{AS_OF}' AS wrong FROM ({ARTICLES.format(orders='orders')})),
+e AS (SELECT page_key, min(position) AS pos, arg_min(wrong, position) AS wrong FROM (SELECT * FROM a WHERE wrong OR date < '1997-06-30') GROUP BY page_key),
+p AS (SELECT page_key, page_no, count(*) AS n_items, max(page_no) OVER (PARTITION BY page_key) AS last FROM a GROUP BY page_key, page_no),
+x AS (SELECT p.*, e.pos, e.pos // {PER_PAGE} + 1 = page_no AS here, page_no = e.pos // {PER_PAGE} + 1 AND e.wrong AS bad FROM p LEFT JOIN e USING (page_key) WHERE e.pos IS NULL OR page_no <= e.pos // {PER_PAGE} + 1)
+SELECT page_key, CAST(page_no AS INT) AS page_no, CASE WHEN bad THEN 'DOM_CONTRACT_CHANGED' END AS reason, CASE WHEN bad THEN NULL WHEN here THEN 'CUTOFF' WHEN page_no = last THEN 'DOM_END' ELSE 'MORE' END AS boundary, CAST(n_items AS INT) AS n_items,
+  CASE WHEN bad THEN 0 ELSE (SELECT count(*) FROM a WHERE a.page_key = x.page_key AND a.page_no = x.page_no AND (x.pos IS NULL OR a.position < x.pos)) END AS n_reviews FROM x""")
+def reviews_by_contract(spark, d):
+    """Pages of five reviews made of orders, each review with another article within, read by a selector contract page after page."""
+    a = spark.sql(ARTICLES, orders=read(spark, d, "orders"))
+    rating = F.when(F.col("name") != "5-LOW", F.format_string("%d.%03d", F.floor(F.col("bp") / 1000), F.col("bp") % 1000)).otherwise("x")
+    block = F.format_string('<article class="box review"><header><b>%s</b> <time>%s</time></header><article class="quote"><p>quoted</p></article><div class="text"><p>%s <i>!</i></p></div><span data-rating="">%s</span></article>', "name", F.date_format(F.to_date("date"), "yyyy. M. d."), "body", rating)
+    page_no = (F.floor(F.col("position") / PER_PAGE) + 1).cast("int")
+    rows = a.select("page_key", page_no.alias("page_no"), F.struct("position", block.alias("b")).alias("x")).groupBy("page_key", "page_no").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    more = F.lead("page_no").over(Window.partitionBy("page_key").orderBy("page_no")).isNotNull()
+    page = F.concat(F.lit("<body><main>"), F.array_join(F.transform("x", lambda v: v["b"]), "\n"), F.lit("</main>"), F.when(more, '<a class="next" href="#">more</a>').otherwise(""), F.lit("</body>"))
+    found, _ = dom.extract(rows.select("page_key", "page_no", page.alias("html")), CONTRACT, AS_OF, "page_key")
+    return found.select("page_key", "page_no", "reason", "boundary", "n_items", "n_reviews")
+
+
+@query(r"""SELECT page_id, count(*) AS n, sha256(string_agg(regexp_extract(a, '"([^"]*)"', 1) || ' ' || regexp_replace(a, '<[^>]*>', '', 'g'), '|' ORDER BY i)) AS sha
+FROM (SELECT page_id, unnest(l) AS a, generate_subscripts(l, 1) AS i FROM (SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<nav>.*?</nav>'), '<a href="[^"]*">[^<]*</a>') AS l FROM pages)) GROUP BY page_id""")
+def page_links(spark, d):
+    """Links in the navigation of raw, untidy pages by a selector."""
+    found = dom.elements(read(spark, d, "pages").select("page_id", "html"), "nav > ul > li > a[href]")
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("position", F.concat_ws(" ", F.col("attributes.href"), "element_text").alias("x")))), lambda v: v["x"])
+    return found.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(texts, "|"), 256).alias("sha"))
+
+
 # -- dates, texts, labels -----------------------------------------------------
 
 
