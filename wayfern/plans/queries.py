@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, ids, text, timeutil
 from ..operators import candidates as C
-from ..operators import eligibility, fulltext, places, resolve, reviews, tables
+from ..operators import eligibility, fulltext, places, postings, resolve, reviews, tables
 from ..sources import html
 from . import evaluate, proxy
 from .proxy import ctes
@@ -229,6 +229,38 @@ def review_topk(spark, d):
     return fulltext.search(docs, "The licensed", 20, [f" {s} " for s in SCOPE]).select("review_id", "store_id")
 
 
+_indexes: dict[tuple[str, str], postings.TextIndex] = {}
+
+
+def _text_index(spark, d) -> postings.TextIndex:
+    """The stored index of the texts of these tables, written once a session: all of them, and a version without every seventh."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _indexes:
+        _indexes[key] = postings.TextIndex(spark, tables.scratch(spark, "text-index"))
+    docs = proxy.view(spark, d, "texts")
+    _indexes[key].build(docs, "v1")
+    return _indexes[key]
+
+
+@query(f"{ctes('texts')}, {_bm25_sql(['the', 'licensed'])} SELECT review_id, store_id FROM hits WHERE store_id IN {SCOPE} ORDER BY rank, published_date DESC, review_id LIMIT 20")
+def review_topk_stored(spark, d):
+    """From the stored index: only the terms' folders are listed, only blocks that reach the k-th score unpacked."""
+    found, _ = _text_index(spark, d).search("v1", "The licensed", 20, [f" {s} " for s in SCOPE])
+    return found.select("review_id", "store_id")
+
+
+@query(f"""{ctes('texts')}, changed AS (SELECT * REPLACE (CASE WHEN right(review_id, 1) = '3' THEN 'licensed ' || normalized_body ELSE normalized_body END AS normalized_body) FROM texts WHERE right(review_id, 1) <> '7'),
+{_bm25_sql(['the', 'licensed']).replace('FROM texts', 'FROM changed')} SELECT review_id, store_id, rank FROM hits ORDER BY rank, published_date DESC, review_id LIMIT 50""")
+def review_topk_merged(spark, d):
+    """A later version: some documents go, some get another word; older postings stay as they are."""
+    index, docs = _text_index(spark, d), proxy.view(spark, d, "texts")
+    last = F.right("review_id", F.lit(1))
+    changed = docs.where(last == "3")
+    index.extend("v1", "v2", changed.withColumn("normalized_body", F.concat(F.lit("licensed "), "normalized_body")), docs.where(last == "7").unionByName(changed))
+    found, _ = index.search("v2", "The licensed", 50)
+    return found.select("review_id", "store_id", F.round("rank", 6).alias("rank"))
+
+
 @query(f"""{ctes('texts')}, {_bm25_sql(['licensed', 'the', 'than']).split(', hits AS')[0]}, one AS (
   {' UNION ALL '.join(f"SELECT store_id, {p} AS p, round(-({f}), 9) AS rank, published_date, review_id FROM c, s WHERE {w}" for p, (f, w) in enumerate((("greatest(ln((n_docs - df0 + 0.5) / (df0 + 0.5)), 1e-6) * tf0 * 2.2 / (tf0 + 1.2 * (0.25 + 0.75 * dl / avg_dl))", "tf0 > 0"), (" + ".join(f"greatest(ln((n_docs - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avg_dl))" for i in (1, 2)), "tf1 > 0 AND tf2 > 0"))))}),
 r AS (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY p, rank, published_date DESC, review_id) AS i FROM one) SELECT store_id, p AS term_priority, review_id FROM r WHERE i = 1""")
