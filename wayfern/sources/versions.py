@@ -20,6 +20,10 @@ class Conflict(RuntimeError):
     """Another publisher was first."""
 
 
+class SchemaUnknown(RuntimeError):
+    """Tables of a later schema than this code knows."""
+
+
 class Versions:
     """Tables at ``root/version/table``; the manifest's highest generation holds the state.
 
@@ -70,10 +74,7 @@ class Versions:
                 raise ValueError(f"checks failed: {broken}")
         entry = {"version": version, "source": source, "tables": {}}
         for name, df in tables.items():
-            path = f"{self.root}/{version}/{name}"
-            df.write.mode("overwrite").parquet(path)
-            row = table_digest(df.sparkSession.read.parquet(path)).first()
-            entry["tables"][name] = {"rows": row["n"], "digest": row["digest"]}
+            entry["tables"][name] = self._written(df, version, name)
         state = self.state()
         self.guard(source, state)
         self._swap({"active": entry, "history": [*state["history"], entry]}, state.get("generation", 0))
@@ -87,9 +88,42 @@ class Versions:
         if not create_whole(self.manifest.with_suffix(f".{seen + 1}.json"), json.dumps(state, sort_keys=True, ensure_ascii=False)):
             raise Conflict(f"generation {seen + 1}")
 
+    def derive(self, step: str, tables: dict[str, DataFrame | None], **facts) -> dict:
+        """Follow the active version by one with these tables in place of its own (None: without it); the others are shared, not written again."""
+        state = self.state()
+        old = state["active"]
+        entry = old | {"version": "v_" + digest([old["version"], state.get("generation", 0), step])[:24]} | facts
+        shared = {name: {"at": old["version"]} | f for name, f in old["tables"].items() if name not in tables}
+        entry["tables"] = shared | {name: self._written(df, entry["version"], name) for name, df in tables.items() if df is not None}
+        self._swap({"active": entry, "history": [*state["history"], entry]}, state.get("generation", 0))
+        return entry
+
+    def _written(self, df: DataFrame, version: str, name: str) -> dict:
+        path = f"{self.root}/{version}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        row = table_digest(df.sparkSession.read.parquet(path)).first()
+        return {"rows": row["n"], "digest": row["digest"], "at": version}
+
+    def migrate(self, spark: SparkSession, steps: list[Callable[[dict[str, DataFrame]], dict[str, DataFrame | None]]]) -> dict:
+        """Bring the active version's tables to the schema after all ``steps``, each a swap of its own.
+
+        A step gets the tables and gives those that it changes (None: dropped).
+        Steps that were done are not done again; a version of a schema that
+        these steps do not reach is refused.
+        """
+        active = self.state()["active"]
+        if active.get("schema", 0) > len(steps):
+            raise SchemaUnknown(active["schema"])
+        for number in range(active.get("schema", 0), len(steps)):
+            tables = {name: self.read(spark, name) for name in active["tables"]}
+            active = self.derive(f"schema {number + 1}", steps[number](tables), schema=number + 1)
+        return active
+
     def read(self, spark: SparkSession, table: str, version: str | None = None) -> DataFrame:
-        version = version or self.state()["active"]["version"]
-        return spark.read.parquet(f"{self.root}/{version}/{table}")
+        state = self.state()
+        entry = next((e for e in [state["active"], *state["history"]] if e and e["version"] == version), None) if version else state["active"]
+        folder = entry["tables"][table].get("at", entry["version"]) if entry and table in entry["tables"] else version
+        return spark.read.parquet(f"{self.root}/{folder}/{table}")
 
     def verify(self, spark: SparkSession) -> dict[str, bool]:
         """Whether each table of the active version still has its digest."""
@@ -102,6 +136,7 @@ class Versions:
         copy = Versions(target)
         for name in active["tables"]:
             self.read(spark, name).write.parquet(f"{copy.root}/{active['version']}/{name}")
+        active = active | {"tables": {name: f | {"at": active["version"]} for name, f in active["tables"].items()}}
         copy._swap({"active": active, "history": [active]}, 0)
         if not all(copy.verify(spark).values()):
             raise ValueError("the copy differs")
