@@ -130,8 +130,12 @@ def test_fulltext(spark):
 def test_saturated_tiles(spark):
     box = (0, 1000, 0, 1000)
     points = spark.createDataFrame([(10, 10)] * 5 + [(900, 900)], "latitude_e7 long, longitude_e7 long")
-    got = sorted((r.tile, r.depth, r.n, r.status) for df in places.saturated_tiles(points, box, 3, 2) for r in df.collect())
+    got = sorted((r.tile, r.depth, r.n, r.status) for r in places.saturated_tiles(points, box, 3, 2).collect())
     assert got == [("0.0.0", 2, 5, "PARTIAL"), ("0.3", 1, 1, "COMPLETE")]
+    assert [tuple(r) for r in places.saturated_tiles(points, box, 7, 2).select("tile", "n").collect()] == [("0", 6)]
+    # points are read once at any depth
+    deep = places.saturated_tiles(points, box, 3, 8)._jdf.queryExecution().optimizedPlan().toString()
+    assert deep.count("LogicalRDD") + deep.count("LocalRelation") <= 3
 
 
 def test_users(spark):

@@ -46,19 +46,17 @@ def first_seen(observations: DataFrame, keys: list[str], order: list[str]) -> Da
     return observations.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
-def saturated_tiles(points: DataFrame, box: tuple[int, int, int, int], most: int, max_depth: int = 8) -> list[DataFrame]:
-    """Leaf tiles by depth: a tile with ``most`` points or more is split, down to ``max_depth`` where it stays PARTIAL.
+def saturated_tiles(points: DataFrame, box: tuple[int, int, int, int], most: int, max_depth: int = 8) -> DataFrame:
+    """``tile``, ``depth``, ``n``, ``status`` of leaf tiles: a tile with ``most`` points or more is split, down to ``max_depth`` where it stays PARTIAL.
 
-    The loop is over depths, not tiles; each depth is one aggregation over the
-    points whose tiles were all full above.
+    Points are read once, for the counts of the finest tiles; those are rolled
+    up to all depths, and a tile is a leaf if its parent is full and it is not.
     """
-    out, left = [], points
-    for depth in range(max_depth + 1):
-        tiled = left.withColumn("tile", geo.tile_key(F.col("latitude_e7"), F.col("longitude_e7"), depth, box))
-        counts = tiled.groupBy("tile").agg(F.count(F.lit(1)).alias("n"))
-        full = F.col("n") >= most
-        leaf = counts if depth == max_depth else counts.where(~full)
-        out.append(leaf.select("tile", F.lit(depth).alias("depth"), "n", F.when(full, "PARTIAL").otherwise("COMPLETE").alias("status")))
-        if depth < max_depth:
-            left = tiled.join(counts.where(full).select("tile"), "tile", "left_semi").drop("tile")
-    return out
+    finest = points.groupBy(geo.tile_key(F.col("latitude_e7"), F.col("longitude_e7"), max_depth, box).alias("t")).agg(F.count(F.lit(1)).alias("c"))
+    every = finest.select("c", F.split("t", r"\.").alias("t")).withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(max_depth))))
+    every = every.groupBy(F.array_join(F.slice("t", F.lit(1), F.col("depth") + 1), ".").alias("tile"), "depth").agg(F.sum("c").alias("n"))
+    full = F.col("n") >= most
+    parents = every.where(full).select(F.col("tile").alias("parent"))
+    leaves = every.where(~full | (F.col("depth") == max_depth)).withColumn("parent", F.regexp_replace("tile", r"\.?\d$", ""))
+    inner = leaves.where("depth > 0").join(parents, "parent", "left_semi")
+    return inner.unionByName(leaves.where("depth = 0").select(*inner.columns)).select("tile", "depth", "n", F.when(full, "PARTIAL").otherwise("COMPLETE").alias("status"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, labels, text, timeutil
 from ..operators import candidates as C
-from ..operators import eligibility, resolve, reviews, tables
+from ..operators import eligibility, places, resolve, reviews, tables
 from ..sources import dom, frontier, keyword, ledger
 from ..streaming import ingest, seen
 from . import proxy, publish, runs, users
@@ -157,6 +157,15 @@ def frontier_coverage(spark, d):
     return frontier.observations(pages, tiles_).select(F.col("id").alias("store_id"), "tile")
 
 
+@query(f"""{ctes('stores')}, {QUADS}, g AS (SELECT tile, dep, n FROM n WHERE n >= 40)
+SELECT tile, dep AS depth, n, CASE WHEN n >= 40 THEN 'PARTIAL' ELSE 'COMPLETE' END AS status FROM n WHERE (n < 40 OR dep = {TILE_DEPTH}) AND (dep = 0 OR tile[:-3] IN (SELECT tile FROM g))""")
+def saturated_tiles(spark, d):
+    """Leaf tiles of all stores, from one scan of them."""
+    box = tuple(int(round(v * 1e7)) for v in (AREA[1], AREA[3], AREA[0], AREA[2]))
+    s = proxy.view(spark, d, "stores").select(F.col("latitude_e7").cast("long"), F.col("longitude_e7").cast("long"))
+    return places.saturated_tiles(s, box, 40, TILE_DEPTH)
+
+
 # -- pages by selectors ---------------------------------------------------------
 
 CONTRACT = {"paginationMode": "replace", "reviewItem": "main > article.review", "body": ".text > p", "rating": "[data-rating]", "publishedDate": "time", "nickname": "header b", "nextButton": "a.next", "loginWall": "#login", "captcha": ".captcha", "accessDenial": "[data-denied]"}
@@ -220,7 +229,7 @@ def texts_truncated(spark, d):
     x = F.concat(F.repeat(F.lit("😀"), (F.col("c_nationkey") % 8).cast("int")), "c_name")
     cut = text.truncate(x, 11)
     units = (F.octet_length(F.encode(cut, "UTF-16BE")) / 2).cast("long")
-    return read(spark, d, "customer").select("c_custkey", cut.alias("cut"), (units + F.when(F.col("c_nationkey") % 8 > 5, 0).otherwise(0)).alias("units"))
+    return read(spark, d, "customer").select("c_custkey", cut.alias("cut"), units.alias("units"))
 
 
 @query(f"""{FACTS} SELECT store_id, CASE WHEN normalized_phone IS NULL THEN '거리 정보 없음' WHEN b < 1000 THEN CAST(b AS VARCHAR) || 'm 이내' ELSE regexp_replace(regexp_replace(printf('%.2f', b / 1000.0), '0+$', ''), '\\.$', '') || 'km 이내' END AS distance_label,

@@ -338,11 +338,16 @@ def phones_normalized(spark, d):
     return _read(spark, d, "customer").select("c_custkey", text.phone_digits(raw).alias("phone"))
 
 
-@query("SELECT s AS term, 'sourdough' AS asked FROM (SELECT unnest(['사워도우', 'sourdough', '천연발효빵']) AS s) UNION ALL SELECT lower(n_name), lower(n_name) FROM nation WHERE regexp_full_match(n_name, '[A-Z]+')")
+#: Words that stand for each other in part names.
+PART_GROUPS = (("Hot Plate", "warm plate", "hot  plate"), ("blue ring", "azure ring", "ring, navy"))
+
+
+@query("""SELECT p_partkey, unnest(CASE WHEN p_name = 'hot plate' THEN ['hotplate', 'warmplate'] WHEN p_name = 'blue ring' THEN ['bluering', 'azurering', 'ringnavy'] ELSE [replace(p_name, ' ', '')] END) AS term FROM part""")
 def synonyms_expanded(spark, d):
-    asked = _read(spark, d, "nation").where(F.col("n_name").rlike("^[A-Z]+$")).select(F.lower("n_name").alias("asked")).unionByName(spark.createDataFrame([("sourdough",)], "asked string"))
-    groups = spark.createDataFrame([(text.plain_search_text(w)[1], text.expand_terms(w)) for g in text.SYNONYMS for w in g], "asked string, terms array<string>")
-    return asked.join(F.broadcast(groups), "asked", "left").select(F.explode(F.coalesce("terms", F.array("asked"))).alias("term"), "asked")
+    """Every part's name as the terms of its group; groups are a small table, which is broadcast."""
+    groups = spark.createDataFrame([(text.plain_search_text(w)[1], text.expand_terms(w, PART_GROUPS)) for g in PART_GROUPS for w in g], "asked string, terms array<string>").dropDuplicates(["asked"])
+    asked = _read(spark, d, "part").select("p_partkey", text.compact_key(F.lower("p_name")).alias("asked"))
+    return asked.join(F.broadcast(groups), "asked", "left").select("p_partkey", F.explode(F.coalesce("terms", F.array("asked"))).alias("term"))
 
 
 # -- set-based maintenance -------------------------------------------------
