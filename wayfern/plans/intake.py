@@ -11,8 +11,9 @@ from ..functions import ids, labels, text, timeutil
 from ..operators import candidates as C
 from ..operators import eligibility, places, resolve, reviews, tables
 from ..sources import dom, frontier, keyword, ledger
+from ..sources.versions import Versions
 from ..streaming import ingest, seen
-from . import proxy, publish, runs, users
+from . import batches, proxy, publish, runs, users
 from .proxy import ctes
 from .queries import AGG, ARTICLES, BRANDED, FACTS, NOON_MS, PAIRS, PUBLIC, _branded, _candidates, _mean, _public, _resolvable
 from .registry import query, read
@@ -481,6 +482,44 @@ def batch_status(spark, d):
     return runs.batch_status(x).select("run_id", "n_stores", "n_done", "n_failed", "status")
 
 
+#: Customers as stores of a batch that the provider stops half way, and that is then resumed.
+BATCH_STATE = "CASE WHEN n_orders = 0 THEN 'NO_REVIEWS' ELSE 'COMPLETE' END"
+
+
+@query(f"""WITH o AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), c AS (SELECT *, coalesce(n, 0) AS n_orders, row_number() OVER (ORDER BY lpad(CAST(c_custkey AS VARCHAR), 12, '0')) AS r, (count(*) OVER () + 3) // 4 AS wave FROM customer LEFT JOIN o ON o_custkey = c_custkey)
+SELECT lpad(CAST(c_custkey AS VARCHAR), 12, '0') AS store_id, CASE WHEN r > 2 * wave THEN 'PENDING' WHEN r = wave + 1 THEN 'STOPPED_PROVIDER' WHEN c_nationkey = 4 THEN 'FAILED_STORE' ELSE {BATCH_STATE} END AS stopped_state,
+  CASE WHEN c_nationkey = 4 AND c_acctbal < 0 THEN 'FAILED_STORE' ELSE {BATCH_STATE} END AS state, CASE WHEN c_mktsegment <> 'BUILDING' THEN 'INITIAL_BACKFILL' WHEN c_acctbal > 5000 AND NOT (c_nationkey = 4 AND c_acctbal < 0) THEN 'BACKFILL_FALLBACK' ELSE 'INCREMENTAL' END AS mode,
+  CASE WHEN c_nationkey = 4 AND c_acctbal < 0 THEN 0 ELSE n_orders END AS collected_count, 'STOPPED_ACCESS' AS stopped_run, CASE WHEN (SELECT count(*) FROM customer WHERE c_nationkey = 4 AND c_acctbal < 0) > 0 THEN 'PARTIAL' ELSE 'SUCCEEDED' END AS run FROM c""")
+def batch_controlled(spark, d):
+    """A batch in four waves: the first store of the second one meets a stop; resumed, failed stores are tried again."""
+    facts = read(spark, d, "customer").select(F.lpad(F.col("c_custkey").cast("string"), 12, "0").alias("store_id"), "c_nationkey", "c_acctbal", "c_mktsegment")
+    orders = read(spark, d, "orders").select(F.lpad(F.col("o_custkey").cast("string"), 12, "0").alias("store_id"), F.col("o_orderkey").alias("review"))
+    targets = facts.select("store_id", F.concat(F.lit("o"), "store_id").alias("observation_id"), F.concat(F.lit("at/"), "store_id").alias("locator"))
+    sync = facts.where("c_mktsegment = 'BUILDING'").select("store_id", F.lit("k").alias("key_version"))
+    wave = -(-facts.count() // 4)
+
+    def collect(stop: bool):
+        def f(todo):
+            rows = orders.join(todo.select("store_id"), "store_id", "left_semi")
+            x = todo.join(facts, "store_id").join(rows.groupBy("store_id").agg(F.count(F.lit(1)).alias("n_orders")), "store_id", "left").withColumn("n_orders", F.coalesce("n_orders", F.lit(0)))
+            state = F.when(F.col("c_nationkey").eqNullSafe(4) & (F.lit(stop) | (F.col("c_acctbal") < 0)), batches.FAILED_STORE).otherwise(F.expr(BATCH_STATE))
+            if stop and batch.rows() is not None:  # the second wave
+                state = F.when(F.col("store_id") == todo.agg(F.min("store_id")).first()[0], batches.STOPPED_PROVIDER).otherwise(state)
+            x = x.withColumn("state", state)
+            done = F.col("state").isin(*batches.DONE)
+            mode = F.when(done & (F.col("c_acctbal") > 5000), "BACKFILL_FALLBACK").otherwise(F.col("mode"))
+            ends = x.select("store_id", "state", mode.alias("mode"), F.lit("CAPTCHA").alias("reason_code"), F.when(done, F.col("n_orders")).otherwise(0).alias("collected_count"), F.lit(0).alias("duplicate_count"), F.lit(0).alias("rejected_pii_count"))
+            return ends, rows.join(x.where(done).select("store_id"), "store_id", "left_semi")
+
+        return f
+
+    batch = batches.Batch(spark, Versions(tables.scratch(spark, "batch"), tempfile.mkdtemp()), {"run_id": "r", "as_of_date": "2026-07-29", "key_version": "k"})
+    first = batch.run(targets, sync, collect(True), batches.BUDGET_MS, wave)["status"]
+    before = batch.stores().select("store_id", F.col("state").alias("stopped_state"))
+    last = batch.run(targets, sync, collect(False), batches.BUDGET_MS, wave)["status"]
+    return batch.stores().join(before, "store_id").select("store_id", "stopped_state", "state", "mode", "collected_count", F.lit(first).alias("stopped_run"), F.lit(last).alias("run"))
+
+
 @query("SELECT c_custkey AS observation_id, o_orderkey AS locator FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_acctbal >= 0 AND o_orderdate > TIMESTAMP '1995-06-01 00:00:00'")
 def work_list(spark, d):
     o = read(spark, d, "customer").select(F.col("c_custkey").alias("observation_id"), F.when(F.col("c_acctbal") < 0, "UNMATCHED").otherwise("MATCHED_ELIGIBLE").alias("match_status"))
