@@ -101,6 +101,46 @@ def test_evidence_is_addressed_by_content(spark, tmp_path):
     assert publish.superseded(one, public, False) and not publish.superseded(one, public, True) and publish.superseded(one, public.limit(0), True)
 
 
+def test_a_catalog_supersedes_evidence_in_its_own_swap(spark, tmp_path):
+    v = Versions(str(tmp_path / "app"))
+    slot, rows = publish.evidence_slot(v), [candidate(1, "alpha"), candidate(2, "beta", "inactive")]
+    one = evidence(spark, [("old1", "m1", "Rye", "x")])
+    with pytest.raises(StaleSource):  # there is no catalog yet
+        publish.publish_evidence(slot, one, None, SOURCE)
+    catalog = publish.publish_catalog(v, *inputs(spark, rows), SOURCE)
+    with pytest.raises(publish.PublishRefused, match="STORE_NOT_ACTIVE"):  # old9 is no longer public
+        publish.publish_evidence(slot, evidence(spark, [("old9", "m1", "Rye", "x")]), None, SOURCE)
+    made = publish.publish_evidence(slot, one, None, SOURCE)
+    assert slot.state()["active"] == made and v.state()["active"] == catalog and slot.read(spark, "menus").count() == 1
+    assert publish.publish_catalog(v, *inputs(spark, rows), SOURCE) == catalog and slot.state()["active"] == made  # the same catalog again
+
+    copy = v.backup(spark, str(tmp_path / "copy"))
+    assert copy.slot("evidence").read(spark, "menus").count() == 1 and "evidence/menus" in copy.verify(spark)
+
+    before = v.state()["generation"]
+    later = publish.publish_catalog(v, *inputs(spark, rows), SOURCE | {"basis_date": "2026-07-02", "snapshot_id": "snap2"})
+    assert v.state()["generation"] == before + 1 and v.state()["active"] == later
+    assert slot.state()["active"] is None and slot.state()["superseded"] == [{"version": made["version"], "by": later["version"]}]
+    assert publish.publish_evidence(slot, one, None, SOURCE)["version"] != made["version"]
+
+
+def test_of_a_catalog_and_evidence_swapped_at_once_one_is_refused(spark, tmp_path, monkeypatch):
+    v = Versions(str(tmp_path / "app"))
+    slot, rows = publish.evidence_slot(v), [candidate(1, "alpha"), candidate(2, "beta", "inactive")]
+    publish.publish_catalog(v, *inputs(spark, rows), SOURCE)
+    one, newer = evidence(spark, [("old1", "m1", "Rye", "x")]), SOURCE | {"basis_date": "2026-07-02", "snapshot_id": "snap2"}
+    written = slot._written
+    monkeypatch.setattr(slot, "_written", lambda df, version, name: (publish.publish_catalog(v, *inputs(spark, rows), newer) if name == "hours" else None, written(df, version, name))[1])
+    with pytest.raises(StaleSource):  # the catalog came while evidence for the earlier one was written
+        publish.publish_evidence(slot, one, None, SOURCE)
+    assert slot.state()["active"] is None
+    monkeypatch.undo()
+    state = slot.state()
+    publish.publish_evidence(slot, one, None, SOURCE)
+    with pytest.raises(Conflict):
+        slot._swap(state, state["generation"])
+
+
 @pytest.mark.parametrize(
     ("more", "want"),
     [

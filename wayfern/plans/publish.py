@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, text, timeutil
 from ..functions.ids import stable_id
+from ..operators import candidates as C
 from ..operators import eligibility, resolve, tables
-from ..sources.versions import StaleSource, Versions
+from ..sources.versions import Slot, StaleSource, Versions
 
 # Catalog states by decision.
 STATES = {"eligible": "published", "excluded": "excluded", "admin_review": "admin_review"}
@@ -69,13 +70,42 @@ def evidence_refs(lists: Column) -> Column:
 
 
 def publish_catalog(versions: Versions, candidates: DataFrame, evidence: DataFrame, existing: DataFrame, old_stores: DataFrame, queue: DataFrame, source: dict, version: str = "v1") -> dict:
-    """Publish a catalog; the source's order is checked before and again when the manifest is swapped."""
+    """Publish a catalog; the source's order is checked before and again when the manifest is swapped.
+
+    Search evidence of the manifest's slot (``evidence_slot``) that does not
+    fit the catalog is superseded in the same swap: readers see the old catalog
+    with its evidence or the new one without.
+    """
     versions.guard(source)
     if not candidates.where(F.col("reject_code").isNotNull()).isEmpty():
         raise PublishRefused("CATALOG_INPUT_REJECTED")
     if not eligibility.assignment_errors(candidates, evidence).isEmpty():
         raise PublishRefused("CATALOG_EVIDENCE_INVALID")
-    return versions.publish(catalog(candidates, evidence, existing, old_stores, queue, source["snapshot_id"], version), source)
+    spark = candidates.sparkSession
+    return versions.publish(catalog(candidates, evidence, existing, old_stores, queue, source["snapshot_id"], version), source, beside=lambda entry, state: _without_old_evidence(spark, versions, entry, state))
+
+
+def evidence_slot(versions: Versions) -> Slot:
+    """Where the search evidence for a catalog is published."""
+    return versions.slot("evidence")
+
+
+def public_of(spark: SparkSession, versions: Versions, entry: dict) -> DataFrame:
+    """The public stores of a catalog's entry: those that a search may show."""
+    t = versions.tables(spark, entry)
+    return C.public_stores(t["placed"], t["bakeries"], t["links"])
+
+
+def _without_old_evidence(spark: SparkSession, versions: Versions, entry: dict, state: dict) -> dict:
+    slot = evidence_slot(versions)
+    own = state.get("slots", {}).get(slot.name)
+    if not own or not own["active"]:
+        return {}
+    fits = own["active"]["source"].get("for_version") == entry["version"]
+    if not superseded(slot.tables(spark, own["active"]), public_of(spark, versions, entry), fits):
+        return {}
+    last = {"version": own["active"]["version"], "by": entry["version"]}
+    return {"slots": slot.put(state, own | {"active": None, "superseded": [*own.get("superseded", []), last]})}
 
 
 def superseded(evidence: dict[str, DataFrame], public: DataFrame, same_publish: bool) -> bool:
@@ -140,8 +170,18 @@ def evidence_violations(e: dict[str, DataFrame], public: DataFrame) -> DataFrame
     return out
 
 
-def publish_evidence(versions: Versions, e: dict[str, DataFrame], public: DataFrame, source: dict) -> dict:
-    """Publish evidence under an id of its content: the same content gives the same version, another one replaces it."""
+def publish_evidence(versions: Versions, e: dict[str, DataFrame], public: DataFrame | None, source: dict) -> dict:
+    """Publish evidence under an id of its content: the same content gives the same version, another one replaces it.
+
+    In a catalog's slot (``evidence_slot``), evidence is for the catalog that
+    is active now and its public stores, and refused if that is replaced before
+    the swap.
+    """
+    if isinstance(versions, Slot):
+        first = versions.of.state()["active"]
+        source = source | {"for_version": first and first["version"]}
+        versions.guard(source)
+        public = public_of(e["menus"].sparkSession, versions.of, first)
     broken = sorted({r["violation"] for r in evidence_violations(e, public).select("violation").distinct().collect()})  # a row a kind
     if broken:
         raise PublishRefused(", ".join(broken))

@@ -54,11 +54,13 @@ class Versions:
         if active and self.source_order(active["source"]) > self.source_order(source):
             raise StaleSource(active["version"])
 
-    def publish(self, tables: dict[str, DataFrame], source: dict, checks: DataFrame | None = None) -> dict:
+    def publish(self, tables: dict[str, DataFrame], source: dict, checks: DataFrame | None = None, beside: Callable[[dict, dict], dict] | None = None) -> dict:
         """Write all tables under a version made from the source, then swap.
 
         The same source gives the same version and returns what was published;
         a failed check or a newer active source leaves the manifest untouched.
+        ``beside`` gets the entry and the state that it follows, and gives what
+        else of the state changes in the same swap.
         """
         self.guard(source)
         version = "v_" + digest(source)[:24]
@@ -66,7 +68,7 @@ class Versions:
         for past in state["history"]:
             if past["version"] == version:
                 if past != state["active"]:  # back to earlier tables of this source
-                    self._swap({"active": past, "history": state["history"]}, state.get("generation", 0))
+                    self._swap(state | {"active": past} | (beside(past, state) if beside else {}), state.get("generation", 0))
                 return past
         if checks is not None:
             broken = {r["check"]: r["n"] for r in checks.where("n > 0").collect()}  # a row a check
@@ -77,7 +79,7 @@ class Versions:
             entry["tables"][name] = self._written(df, version, name)
         state = self.state()
         self.guard(source, state)
-        self._swap({"active": entry, "history": [*state["history"], entry]}, state.get("generation", 0))
+        self._swap(state | {"active": entry, "history": [*state["history"], entry]} | (beside(entry, state) if beside else {}), state.get("generation", 0))
         return entry
 
     def _swap(self, state: dict, seen: int) -> None:
@@ -95,9 +97,17 @@ class Versions:
         entry = old | {"version": "v_" + digest([old["version"], state.get("generation", 0), step])[:24]} | facts
         shared = {name: {"at": old["version"]} | f for name, f in old["tables"].items() if name not in tables}
         entry["tables"] = shared | {name: self._written(df, entry["version"], name) for name, df in tables.items() if df is not None}
-        self._swap({"active": entry, "history": [*state["history"], entry]}, state.get("generation", 0))
+        self._swap(state | {"active": entry, "history": [*state["history"], entry]}, state.get("generation", 0))
         return entry
 
+    def slot(self, name: str) -> Slot:
+        """Another pointer of this manifest with versions of its own."""
+        return Slot(self, name)
+
+    def tables(self, spark: SparkSession, entry: dict) -> dict[str, DataFrame]:
+        """All tables of an entry."""
+        return {name: spark.read.parquet(f"{self.root}/{facts.get('at', entry['version'])}/{name}") for name, facts in entry["tables"].items()}
+
     def _written(self, df: DataFrame, version: str, name: str) -> dict:
         path = f"{self.root}/{version}/{name}"
         df.write.mode("overwrite").parquet(path)
@@ -126,18 +136,27 @@ class Versions:
         return spark.read.parquet(f"{self.root}/{folder}/{table}")
 
     def verify(self, spark: SparkSession) -> dict[str, bool]:
-        """Whether each table of the active version still has its digest."""
-        active = self.state()["active"]
-        return {name: table_digest(self.read(spark, name)).first()["digest"] == facts["digest"] for name, facts in active["tables"].items()}
+        """Whether each table of the active version, and of the slots' active ones (``slot/table``), still has its digest."""
+        state = self.state()
+        found = {}
+        for prefix, of, entry in [("", self, state["active"]), *((f"{name}/", self.slot(name), own["active"]) for name, own in state.get("slots", {}).items() if own["active"])]:
+            tables = of.tables(spark, entry)
+            found |= {prefix + name: table_digest(tables[name]).first()["digest"] == facts["digest"] for name, facts in entry["tables"].items()}
+        return found
 
     def backup(self, spark: SparkSession, target: str) -> Versions:
-        """Copy the active version and check the copy's digests."""
-        active = self.state()["active"]
-        copy = Versions(target)
-        for name in active["tables"]:
-            self.read(spark, name).write.parquet(f"{copy.root}/{active['version']}/{name}")
-        active = active | {"tables": {name: f | {"at": active["version"]} for name, f in active["tables"].items()}}
-        copy._swap({"active": active, "history": [active]}, 0)
+        """Copy the active version and those of the slots, and check the copies' digests."""
+        state, copy = self.state(), Versions(target)
+
+        def copied(of: Versions, to: Versions, entry: dict) -> dict:
+            for name, df in of.tables(spark, entry).items():
+                df.write.parquet(f"{to.root}/{entry['version']}/{name}")
+            entry = entry | {"tables": {name: f | {"at": entry["version"]} for name, f in entry["tables"].items()}}
+            return {"active": entry, "history": [entry]}
+
+        whole = copied(self, copy, state["active"])
+        slots = {name: copied(self.slot(name), copy.slot(name), own["active"]) for name, own in state.get("slots", {}).items() if own["active"]}
+        copy._swap(whole | ({"slots": slots} if slots else {}), 0)
         if not all(copy.verify(spark).values()):
             raise ValueError("the copy differs")
         return copy
@@ -163,3 +182,38 @@ class Versions:
         for n in numbered(self.manifest.parent, f"{self.manifest.stem}.*.json"):
             self.manifest.with_suffix(f".{n}.json").unlink()
         self.manifest.unlink(missing_ok=True)
+
+
+class Slot(Versions):
+    """A second pointer of a manifest: its versions follow the first pointer's, and a swap of either sees the other.
+
+    What is published names the version of the first pointer that it was made
+    for (``for_version`` of its source), and is refused once that is not the
+    active one any more.  The manifest's one generation counts swaps of all
+    pointers, so that of a swap here and one there that read the same state,
+    one is refused.
+    """
+
+    def __init__(self, of: Versions, name: str):
+        super().__init__(f"{of.root}/{name}", str(of.manifest.parent), of.lease)
+        self.of, self.name = of, name
+
+    def state(self) -> dict:
+        whole = self.of.state()
+        return {"active": None, "history": []} | whole.get("slots", {}).get(self.name, {}) | {"generation": whole.get("generation", 0)}
+
+    def guard(self, source: dict, state: dict | None = None) -> None:
+        first = self.of.state()["active"]
+        if not first or source.get("for_version") != first["version"]:
+            raise StaleSource(source.get("for_version"))
+        super().guard(source, state)
+
+    def _swap(self, state: dict, seen: int) -> None:
+        whole = self.of.state()
+        if whole.get("generation", 0) != seen:
+            raise Conflict(f"generation {seen + 1}")
+        self.of._swap(whole | {"slots": self.put(whole, {k: v for k, v in state.items() if k != "generation"})}, seen)
+
+    def put(self, whole: dict, state: dict) -> dict:
+        """The slots of a whole state with this one's state in it."""
+        return whole.get("slots", {}) | {self.name: state}
