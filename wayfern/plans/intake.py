@@ -13,7 +13,7 @@ from ..operators import eligibility, places, resolve, reviews, tables
 from ..sources import dom, frontier, keyword, ledger
 from ..sources.versions import Versions
 from ..streaming import ingest, seen
-from . import batches, proxy, publish, runs, users
+from . import batches, proxy, publish, runs, signature, users
 from .proxy import ctes
 from .queries import AGG, ARTICLES, BRANDED, FACTS, NOON_MS, PAIRS, PUBLIC, _branded, _candidates, _mean, _public, _resolvable
 from .registry import query, read
@@ -647,3 +647,29 @@ def rows_upserted(spark, d):
 def evidence_superseded(spark, d):
     v = {n: proxy.view(spark, d, n) for n in ("menus", "hours")}
     return spark.createDataFrame([(publish.superseded(v, _public(spark, d), True),)], "superseded boolean")
+
+
+@query("""WITH c AS (SELECT 'r' || substr(sha256('{"c_custkey":' || CAST(c_custkey AS VARCHAR) || '}'), 1, 2) AS node, c_custkey % 397 = 0 AS changed, c_custkey % 401 = 0 AS gone FROM customer),
+o AS (SELECT 'r' || substr(sha256('{"o_orderkey":' || CAST(o_orderkey AS VARCHAR) || '}'), 1, 2) AS node, o_orderkey % 2999 = 0 AS added FROM orders)
+SELECT 'customer' AS "table", node, count(*) AS n_a, count(*) FILTER (NOT gone) AS n_b FROM c GROUP BY node HAVING bool_or(changed OR gone)
+UNION ALL SELECT 'orders', node, count(*), count(*) + count(*) FILTER (added) FROM o GROUP BY node HAVING bool_or(added)""")
+def signature_ranges(spark, d):
+    """Ranges of two tables that differ once some customers have changed or gone and some orders are there twice."""
+    c, o = read(spark, d, "customer"), read(spark, d, "orders")
+    changed = c.where("c_custkey % 401 <> 0").withColumn("c_name", F.when(F.col("c_custkey") % 397 == 0, "another").otherwise(F.col("c_name")))
+    a = {"customer": signature.in_ranges(c, ["c_custkey"]), "orders": signature.in_ranges(o, ["o_orderkey"])}
+    b = {"customer": signature.in_ranges(changed, ["c_custkey"]), "orders": signature.in_ranges(o.unionByName(o.where("o_orderkey % 2999 = 0")), ["o_orderkey"])}
+    return signature.differing(signature.tree(spark, a), signature.tree(spark, b))
+
+
+@query("SELECT c_custkey, c_name, 'a' AS side FROM customer WHERE c_custkey % 397 = 0 OR c_custkey % 401 = 0 UNION ALL SELECT c_custkey, 'another', 'b' FROM customer WHERE c_custkey % 397 = 0 AND c_custkey % 401 <> 0")
+def rows_located(spark, d):
+    """The customers that differ, read from the ranges that differ."""
+    c = read(spark, d, "customer").select("c_custkey", "c_name")
+    changed = c.where("c_custkey % 401 <> 0").withColumn("c_name", F.when(F.col("c_custkey") % 397 == 0, "another").otherwise(F.col("c_name")))
+    paths = [tables.scratch(spark, "signed") for _ in "ab"]
+    for path, df in zip(paths, (c, changed), strict=True):
+        signature.store(signature.in_ranges(df, ["c_custkey"]), path)
+    trees = [signature.tree(spark, {"customer": signature.read(spark, path)}) for path in paths]
+    nodes = [r["node"] for r in signature.differing(*trees).select("node").collect()]  # at most 256
+    return signature.located(spark, *paths, nodes)
