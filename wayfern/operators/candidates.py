@@ -219,30 +219,31 @@ def ranking(q: Query) -> list[Column]:
     ]
 
 
+#: What ``ranking`` orders by.
+ORDERED_BY = ("menu_match", "included_count", "usable_evidence", "review_status", "review_count", "latest_date", "opening_state", "distance_m", "completeness", "adjusted_rating", "store_id")
+
+
 def ranked(marked: DataFrame, q: Query) -> DataFrame:
-    """Kept candidates with ``rank`` from 1.
+    """Kept candidates with ``rank`` from 1; ``store_id`` is unique.
 
-    Rows are numbered within groups that follow each other in the order (its
-    leading keys, distances by the kilometre); a group starts behind the sum of
-    the groups before it.  Only groups are put into one sequence, not rows.
+    Ids and what orders them are range-partitioned and sorted, and written with
+    their place within their partition.  A partition starts behind the rows of
+    those before it, so only partitions are put into one sequence, neither rows
+    nor groups of them; as no two rows are equal in the order, no range is too
+    large for one partition.  Whole rows move for the join with their rank only.
     Callers that need the first rows only use ``orderBy(*ranking(q)).limit(n)``.
     """
     rows = cut(marked.where(F.col("removal_reason").isNull()), "ranked")
-    available = F.col("review_status") == "AVAILABLE"
-    opening = F.when(F.col("opening_state") == "OPEN", 0).when(F.col("opening_state") == "UNKNOWN", 1).otherwise(2)
-    km = F.coalesce(F.floor(F.col("distance_m") / 1000), F.lit(1 << 40))
-    used = lambda f, none: F.coalesce(F.when(F.col("usable_evidence"), F.col(f"evidence.{f}")), F.lit(none))
-    lead = {"g0": ~F.col("menu_match"), "g1": -F.col("included_count"), "g2": ~F.col("usable_evidence"), "g3": used("term_priority", 1 << 30), "g4": used("rank", 1e300)}
-    if not q.terms:
-        lead |= {"g5": -F.when(available, F.col("review_count")).otherwise(0), "g6": -F.coalesce(F.unix_date(F.when(available, F.col("latest_date")).cast("date")), F.lit(-(1 << 30)))}
-        lead |= {"g7": km} if q.sort_mode == "DISTANCE" else {"g7": opening, "g8": km}
-    keys = [F.col(c) for c in lead]
-    named = rows.withColumns(lead)
-    groups = named.groupBy(*keys).agg(F.count(F.lit(1)).alias("g_size"))
-    before = F.coalesce(F.sum("g_size").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = groups.select(*keys, before.alias("g_before"))
-    placed = named.withColumn("g_row", F.row_number().over(Window.partitionBy(*keys).orderBy(*ranking(q)))).join(starts, [*lead])
-    return placed.withColumn("rank", (F.col("g_before") + F.col("g_row")).cast("int")).drop(*lead, "g_row", "g_before")
+    evidence = F.struct(*(F.col(f"evidence.{f}") for f in ("term_priority", "rank", "published_date", "review_id")))
+    keys = rows.select(*ORDERED_BY, evidence.alias("evidence"))
+    placed = keys.repartitionByRange(*ranking(q)).sortWithinPartitions(*ranking(q))
+    placed = cut(placed.select("store_id", F.monotonically_increasing_id().alias("at")), "places")
+    part, row = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))  # how such an id is made up
+    sizes = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("part", before.alias("start"))  # a row for each partition of the shuffle
+    ranks = placed.withColumn("part", part).join(F.broadcast(starts), "part").select("store_id", (F.col("start") + row + 1).cast("int").alias("rank"))
+    return rows.join(ranks, "store_id")
 
 
 def representative_menus(q: Query, n: int = 3) -> Column:
