@@ -161,3 +161,62 @@ def test_templates_find_changed_questions():
     t = decontam.Templates()
     a, b = (decontam.windows(*t.canonical(pa.array([x])))[0].tolist() for x in (item, "Some words before it. " + other))
     assert set(a) <= set(b)
+
+
+def test_allow_list_reads_once_and_whole_parts():
+    """Long separator lines in linear time; a word lets a candidate go only as a part of its own; plain paths are none."""
+    import time
+
+    rule = secret_scan.EntropyRule()
+    for text in ("-" * 100_000 + "9", "_/" * 50_000 + "9", "ab-" * 33_000 + "9", "a9-" * 33_000, "12-" * 33_000 + "x", "/usr1" * 20_000 + "//=9"):
+        began = time.perf_counter()
+        assert not rule.allowed(text)
+        assert time.perf_counter() - began < 0.1
+    spans = lambda t: secret_scan.entropy_spans(t, rule)
+    assert spans("ThisIsARandomSampleKey9f8g7h6j5k4l") == [(0, 34, "entropy_alnum")]
+    assert spans("/usr/local/lib/python3/site-packages/numpy") == [] == spans("key-sample-q7RkX2pLm9ZtW4vBn8YcD3fH6") == spans("Example/q7RkX2pLm9ZtW4vBn8YcD3fH6")
+    assert spans("q7RkX2pLm9Zt/W4vBn8YcD3fH6") and spans("/opt/q7RkX2pLm9ZtW4vBn8YcD3fH6")
+
+
+def test_identifiers_behind_cues():
+    found = lambda t: [t[a:b] for k, a, b in pii.find(t) if k == "account"]
+    for text, want in (
+        ("passport: X1234567", "X1234567"),
+        ("passport no. C01X00T47, issued", "C01X00T47"),
+        ("Passport number is AB1234567.", "AB1234567"),
+        ("passport 12AB34567", "12AB34567"),
+        ("Konto-Nr. 12345678", "12345678"),
+        ("Kontonummer: 12345678", "12345678"),
+        ("account " + "7" * 40, "7" * 40),
+        ("account no:" + " " * 40 + "1234-5678", "1234-5678"),
+        ("Account number 12 345 678", "12 345 678"),
+    ):
+        assert found(text) == [want], text
+    for text in ("passport HOLDERS", "passport expired 2024", "account manager", "passport none 123456", "passport X12", "Passport X1234567y", "IBAN GB83WEST12345698765432", "IBAN X1234567"):
+        assert found(text) == [], text
+
+
+def test_recall_of_planted_identifiers():
+    """Every kind, planted in prose; what stands in README comes from here."""
+    rnd = random.Random(12)
+    digits = lambda n: "".join(rnd.choices("0123456789", k=n))
+
+    def card():
+        body = digits(15)
+        return next(body + d for d in "0123456789" if pii.luhn(body + d))
+
+    def iban():
+        body = digits(18)
+        return next(x for x in (f"DE{k:02d}{body}" for k in range(2, 99)) if pii.iban(x))
+
+    make = {
+        "email": lambda: f"user{digits(3)}@host{digits(2)}.example.org",
+        "ip": lambda: ".".join(str(rnd.randrange(256)) for _ in range(4)),
+        "card": card,
+        "phone": lambda: f"+49 {digits(3)} {digits(7)}",
+        "account": lambda: rnd.choice([lambda: "IBAN " + iban(), lambda: f"passport no. {rnd.choice('ABCX')}{digits(7)}", lambda: f"Konto-Nr. {digits(8)}", lambda: f"SSN {digits(3)}-{digits(2)}-{digits(4)}"])(),
+        "login": lambda: f"https://u{digits(2)}:p{digits(5)}@host.example.org/x",
+    }
+    for kind, new in make.items():
+        hits = sum(any(s[0] == kind for s in pii.find(f"Some words before {new()} and some behind")) for _ in range(300))
+        assert hits == 300, (kind, hits)

@@ -10,7 +10,8 @@ character.
 Base kinds (as a leftmost non-overlapping match of the kind's pattern would
 give them): ``email``, ``ip``, ``card``, ``phone``.  Added by cues and schemes:
 ``account`` (the identifier after a cue such as "IBAN" or "account no."; IBANs
-must pass mod 97, others need 6 digits) and ``login`` (user and password before
+must pass mod 97, numbers need 6 digits, and of capitals and digits mixed 5 of 6
+to 20 characters must be digits) and ``login`` (user and password before
 the host of a URL).  Added spans never remove base spans.
 
 Defined cases: null texts count as empty; texts without findings have zero
@@ -38,6 +39,9 @@ LABEL = ALNUM | frozenset("-")
 PHONE = DIGITS | frozenset(" ().-")
 # Cues before an identifier, matched as written, in upper case and with one or all words capitalised.
 CUES = ("account", "acct", "iban", "passport", "ssn", "social security", "konto", "compte", "cuenta")
+# Words that may stand between a cue and its identifier, the longer of two first.
+LINKS = ("number", "nummer", "numéro", "número", "no.", "no", "nr.", "nr", "n°", "id")
+GAP = frozenset(" \t:#=.")
 SCHEMES = ("http://", "https://", "ftp://", "ssh://", "postgres://", "mysql://", "redis://", "amqp://", "mongodb://")
 
 
@@ -149,24 +153,32 @@ def iban_at(text: str, at: int) -> tuple[int, int] | None:
     return None if best is None else (at, best)
 
 
-def account_after(text: str, at: int) -> tuple[int, int] | None:
-    """The identifier within a few characters behind a cue that ends at ``at``: an IBAN, or 6 to 34 digits parted by spaces or dashes."""
+def mixed_at(text: str, at: int) -> tuple[int, int] | None:
+    """A word of 6 to 20 capitals and digits, of which 5 or more are digits, as passports have."""
+    end = run_end(text, at, ALNUM)
+    word = text[at:end]
+    return (at, end) if 6 <= end - at <= 20 and word == word.upper() and sum(c in DIGITS for c in word) >= 5 else None
+
+
+def account_after(text: str, at: int, cue: str) -> tuple[int, int] | None:
+    """The identifier behind a cue that ends at ``at``: an IBAN, 6 digits or more parted by spaces or dashes, or (but for IBANs) capitals and digits mixed."""
     i, n = at, len(text)
-    for word in ("number", "no.", "no", "nr.", "id"):
-        j = i + 1 if i < n and text[i] == " " else i
+    for word in LINKS:
+        j = i + 1 if i < n and text[i] in " -" else i
         if text[j : j + len(word)].lower() == word:
             i = j + len(word)
             break
-    while i < n and i < at + 16 and text[i] in " :#=.":
-        i += 1
+    i = run_end(text, i, GAP)
+    if text[i : i + 3] == "is ":
+        i = run_end(text, i + 3, GAP)
     if i < n and text[i] not in DIGITS:
-        return iban_at(text, i)
+        return iban_at(text, i) or (None if cue == "iban" else mixed_at(text, i))
     end = i
     while end < n and (text[end] in DIGITS or text[end] in " -" and end + 1 < n and text[end + 1] in DIGITS):
         end += 1
     if end < n and text[end] in ALNUM:
-        return None
-    return (i, end) if 6 <= sum(c in DIGITS for c in text[i:end]) <= 34 else None
+        return None if cue == "iban" else mixed_at(text, i)
+    return (i, end) if sum(c in DIGITS for c in text[i:end]) >= 6 else None
 
 
 def login_after(text: str, at: int) -> tuple[int, int] | None:
@@ -207,7 +219,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
                 if 8 <= sum(c in DIGITS for c in text[span[0] : span[1]]) <= 15:
                     out["phone"].append(span)
         elif anchor == "cue":
-            if (at == 0 or text[at - 1] not in ALNUM) and (span := account_after(text, end + 1)) is not None and (not out["account"] or span[0] >= out["account"][-1][1]):
+            if (at == 0 or text[at - 1] not in ALNUM) and (span := account_after(text, end + 1, text[at : end + 1].lower())) is not None and (not out["account"] or span[0] >= out["account"][-1][1]):
                 out["account"].append(span)
         elif (span := login_after(text, end + 1)) is not None and (not out["login"] or span[0] >= out["login"][-1][1]):
             out["login"].append(span)

@@ -47,12 +47,14 @@ class EntropyRule:
 
     window: int = 20
     limits: tuple[tuple[str, float], ...] = (("hex", 2.9), ("alnum", 3.6), ("base64", 3.7))
-    #: Full matches of a candidate that are no secrets: dates and numbers, words (in one case or with an initial capital) joined by dashes, ids of public form.
+    #: Full matches of a candidate that are no secrets: dates and numbers, words (in one case or with an initial capital) joined by dashes, paths of
+    #: such words (with a number of one or two digits behind), ids of public form, and what has a part that says so.  No entry goes back over what it has read.
     allow: tuple[str, ...] = (
-        r"[0-9]+(-[0-9]+)*",
-        r"[-_/+]*([A-Z]?[a-z]+|[A-Z]+)?([-_/+]+([A-Z]?[a-z]+|[A-Z]+))*[-_/+]*=*",
+        r"[0-9]++(-[0-9]++)*+",
+        r"[-_/+]*+(?>[A-Z]?[a-z]++|[A-Z]++)?+(?:[-_/+]++(?>[A-Z]?[a-z]++|[A-Z]++))*+[-_/+]*+=*+",
+        r"(?=[^/]*+/)/*+(?>[A-Z]?[a-z]{3,}+[0-9]{1,2}+|[A-Z]?[a-z]++|[A-Z]++)(?:[-_/]++(?>[A-Z]?[a-z]{3,}+[0-9]{1,2}+|[A-Z]?[a-z]++|[A-Z]++))*+/*+",
         r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}",
-        r"(?i:.*(example|sample|dummy|placeholder).*)",
+        r"(?i:(?:[a-z0-9]*+[-_/+]++)*?(?:example|sample|dummy|placeholder)(?:[-_/+=].*)?)",
     )
 
     def allowed(self, text: str) -> bool:
