@@ -4,6 +4,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from wayfern.operators import eligibility, resolve
 
@@ -47,6 +48,45 @@ def test_blocking_loses_no_pair(spark):
     assert key(resolve.evaluate_pairs(resolve.candidate_pairs(df), df)) == key(resolve.evaluate_pairs(every, df))
 
 
+def test_decisions_equal_those_of_all_pairs(spark):
+    rnd = random.Random(8)
+    rows = []
+    for i in range(260):
+        name = "".join(rnd.choices("가나다라", k=rnd.randint(1, 4)))
+        point = (375000000 + rnd.randint(0, 90) * 2500, 1270000000 + rnd.randint(0, 9) * 3000) if rnd.random() < 0.8 else (None, None)
+        rows.append(candidate(f"{i:03d}", name, address=rnd.choice(["", None, *(f"서울특별시 강남구 {k}" for k in range(60))]), phone=rnd.choice([None, f"02{rnd.randint(0, 60):08d}"]), lat=point[0], lon=point[1]))
+    # copies, with and without a phone, a place or an address
+    rows += [(f"d{i:03d}", *r[1:]) for i, r in enumerate(rnd.choices(rows, k=60))]
+    rows += [candidate(f"e{i}", phone="0212345678", lat=376000000 + i // 2 * 3000) for i in range(6)]
+    rows += [candidate(f"f{i}", "홀로", address="서울특별시 중구 9", phone="0311112222", lat=378000000 + i % 2) for i in range(3)]
+    rows += [candidate(f"g{i}", f"이웃{i}", address="", phone=f"033000000{i}", lat=379000000 + i) for i in range(2)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    every = resolve.evaluate_pairs(spark.createDataFrame([*itertools.combinations(sorted(r[0] for r in rows), 2)], "a string, b string"), df)
+    got, want = resolve.decide(df).collect(), every.collect()
+    known = {(r.a, r.b): r.status for r in want}
+    assert all(r.a < r.b and known[r.a, r.b] == r.status for r in got)  # no pair of its own making
+    review = lambda x: {c for r in x if r.status == "admin_review" for c in (r.a, r.b)}
+    assert review(got) == review(want) and 0 < len(review(want)) < len(rows)
+    stores = lambda m: sorted((tuple(r.source_candidate_ids), r.merge_status) for r in resolve.canonical_stores(df, m).collect())
+    found = stores(resolve.decide(df))
+    assert found == stores(every) and {s for _, s in found} == {"distinct", "auto_merged", "admin_review"}
+    assert {r.rule for r in got} == {"SCORE", "COPY", "PHONE_OF_OTHER_ADDRESS", "ADDRESS_OF_OTHER_PHONE", "NEAR_OTHER_ADDRESS", "NEAR_OTHER_PHONE"}
+    assert resolve.decide(df.limit(0)).count() == 0
+
+
+def test_decisions_of_a_chain_grow_with_its_stores(spark):
+    """A name and a phone that all stores share, in places of their own or one: a row or two a store, not a row a pair."""
+    n = 50_000
+    i = F.col("id").cast("string")
+    base = spark.range(n).select(F.format_string("c%06d", "id").alias("candidate_id"), i.alias("source_record_id"), i.alias("management_number"), F.lit("소금빵").alias("display_name"), F.lit("소금빵").alias("normalized_name"), F.lit("소금빵").alias("normalized_brand_name"), F.lit("강남구").alias("district"), F.lit("0212345678").alias("normalized_phone"), F.lit("active").alias("business_status"))
+    apart = base.withColumns({"normalized_address": F.concat(F.lit("서울특별시 강남구 "), "source_record_id"), "latitude_e7": (F.lit(370000000) + F.col("candidate_id").substr(2, 6).cast("int") * 1000).cast("int"), "longitude_e7": F.lit(1270000000)})
+    found = resolve.decide(apart)
+    seen = found.select("status", F.explode(F.array("a", "b")).alias("c")).distinct().groupBy("status").count()
+    assert [(r.status, r["count"]) for r in seen.collect()] == [("admin_review", n)] and found.count() <= n
+    one = base.withColumns({"normalized_address": F.lit("서울특별시 강남구 1"), "latitude_e7": F.lit(370000000), "longitude_e7": F.lit(1270000000)})
+    assert [(r.status, r["count"]) for r in resolve.decide(one).groupBy("status").count().collect()] == [("auto_merge", n - 1)]
+
+
 def test_canonical_stores(spark):
     rows = [candidate(1, phone="0212345678"), candidate(2, phone="0212345678"), candidate(3, "다른가게", address="서울특별시 중구 9", lat=375500000)]
     df = spark.createDataFrame(rows, SCHEMA)

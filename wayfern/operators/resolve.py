@@ -5,6 +5,12 @@ A pair is a candidate if addresses or phones are equal, points are within
 that every such pair shares: the address, the phone, the name, neighbouring
 cells wider than 100 m, and a shared bigram within the size that similarity
 allows.  Pairs from all blocks are made distinct, then tested exactly.
+
+``candidate_pairs`` and ``evaluate_pairs`` give evidence pair by pair, so their
+rows grow with the square of a name's, phone's or address's stores.  What a
+catalog needs of all those pairs is less: which candidates merge, and which are
+in any pair under review.  ``decide`` finds just that from classes of equal
+candidates and from the two extremes of each group.
 """
 
 from __future__ import annotations
@@ -98,6 +104,86 @@ def evaluate_pairs(pairs: DataFrame, candidates: DataFrame, version: str = "v1")
     return rows.withColumn("status", status).withColumn("match_id", stable_id("match", F.concat_ws(":", F.lit(version), "a", "b")))
 
 
+#: What a pair's evidence depends on.
+EVIDENCE = ["normalized_name", "normalized_brand_name", "normalized_address", "normalized_phone", "latitude_e7", "longitude_e7"]
+
+
+def _other(value: str, lo: str, hi: str, rule: str) -> list[Column]:
+    """(witness, rule): the id beside an extreme of the group that differs from the row's value; null if the group has no other value."""
+    return [F.when(F.col(f"{lo}.v") != F.col(value), F.col(f"{lo}.id")).when(F.col(f"{hi}.v") != F.col(value), F.col(f"{hi}.id")).alias("witness"), F.lit(rule).alias("rule")]
+
+
+def _extremes(value: str, name: str) -> list[Column]:
+    known = F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("v"), F.col("id")))
+    return [F.min(known).alias(f"{name}_lo"), F.max(known).alias(f"{name}_hi")]
+
+
+def _crossed(reps: DataFrame, by: str, value: str, rule: str) -> DataFrame:
+    """``id``, ``witness``, ``rule``: classes of one ``by`` and different values."""
+    known = reps.where(F.col(by).isNotNull() & F.col(value).isNotNull()).select("id", by, value)
+    ends = known.groupBy(by).agg(*_extremes(value, "x")).where(F.col("x_lo.v") != F.col("x_hi.v"))
+    return known.join(ends, by).select("id", *_other(value, "x_lo", "x_hi", rule))
+
+
+def _near_conflicts(reps: DataFrame) -> DataFrame:
+    """``id``, ``witness``, ``rule``: classes within 50 m of another address or phone.  Distances are between points, not classes."""
+    placed = reps.where(F.col("latitude_e7").isNotNull() & F.col("longitude_e7").isNotNull())
+    points = cut(placed.groupBy("latitude_e7", "longitude_e7").agg(*_extremes("address", "a"), *_extremes("phone", "p")), "points")
+    y, x = F.floor(F.col("latitude_e7") / CELL_LAT), F.floor(F.col("longitude_e7") / CELL_LON)
+    here = points.select("latitude_e7", "longitude_e7", y.alias("y"), x.alias("x"))
+    steps = F.array(*(F.struct((y + dy).alias("y"), (x + dx).alias("x")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))
+    there = points.select(F.col("latitude_e7").alias("lat"), F.col("longitude_e7").alias("lon"), "a_lo", "a_hi", "p_lo", "p_hi", F.explode(steps).alias("s")).select("*", "s.y", "s.x").drop("s")
+    metres = geo.haversine_m(F.col("latitude_e7"), F.col("longitude_e7"), F.col("lat"), F.col("lon"))
+    around = here.join(there, ["y", "x"]).where(metres <= MATCH_M).groupBy("latitude_e7", "longitude_e7")
+    around = around.agg(*(f(c).alias(c) for c, f in (("a_lo", F.min), ("a_hi", F.max), ("p_lo", F.min), ("p_hi", F.max))))
+    around = around.where((F.col("a_lo.v") != F.col("a_hi.v")) | (F.col("p_lo.v") != F.col("p_hi.v")))
+    found = placed.join(around, ["latitude_e7", "longitude_e7"])
+    return found.select("id", *_other("address", "a_lo", "a_hi", "NEAR_OTHER_ADDRESS")).unionByName(found.select("id", *_other("phone", "p_lo", "p_hi", "NEAR_OTHER_PHONE")))
+
+
+def decide(candidates: DataFrame) -> DataFrame:
+    """``a``, ``b`` (a < b), ``status``, ``rule``: merges that connect what ``evaluate_pairs`` would merge, and for each
+    candidate that it would put under review in any pair one such pair, so rows grow with the candidates.
+
+    The scores leave few ways to either status.  A pair whose phones or addresses
+    differ is under review if it shares an address, a phone or a place: any two
+    different values in a group tell so for all its members, and the least and the
+    greatest value are such two.  A pair without such a difference needs an equal
+    address, and an equal phone or a place within 50 m, to reach either score, so
+    only classes of one address and phone, or of one address and place with a phone
+    missing, are compared as pairs.  Candidates that are equal in all evidence are
+    one class, compared once.
+
+    Null or empty values match nothing and differ from nothing; no candidates give no rows.
+    """
+    keyed = candidates.select("candidate_id", *EVIDENCE, F.sha2(F.to_json(F.struct(*EVIDENCE)), 256).alias("sig"))
+    found = keyed.groupBy("sig", *EVIDENCE).agg(F.min("candidate_id").alias("id"))
+    reps = cut(found.withColumns({"address": F.when(F.col("normalized_address") != "", F.col("normalized_address")), "phone": F.col("normalized_phone")}), "classes")
+    address, phone = F.col("address").isNotNull(), F.col("phone").isNotNull()
+    point = F.col("latitude_e7").isNotNull() & F.col("longitude_e7").isNotNull()
+    members = cut(keyed.select("candidate_id", "sig").join(reps.select("sig", "id", address.alias("address"), phone.alias("phone"), point.alias("point")), "sig").drop("sig"), "class-members")
+    equal = F.when(F.col("phone") & F.col("point"), "auto_merge").when(F.col("phone") | F.col("point"), "admin_review")
+    copies = members.where(F.col("address") & (F.col("candidate_id") != F.col("id"))).select(F.col("id").alias("a"), F.col("candidate_id").alias("b"), equal.alias("status"), F.lit("COPY").alias("rule"))
+    # one address and phone; or one address and neighbouring cells, a phone missing on one side or both
+    at = reps.where(address)
+    y, x = F.floor(F.col("latitude_e7") / CELL_LAT), F.floor(F.col("longitude_e7") / CELL_LON)
+    steps = F.array(*(F.struct((y + dy).alias("y"), (x + dx).alias("x")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))
+    left, right = at.where(phone).select(F.col("id").alias("a"), "address", "phone"), at.where(phone).select(F.col("id").alias("b"), "address", "phone")
+    by_phone = left.join(right, ["address", "phone"]).where(F.col("a") < F.col("b")).select("a", "b")
+    open_ = at.where(point & ~phone).select(F.col("id").alias("l"), "address", F.struct(y.alias("y"), x.alias("x")).alias("cell"))
+    others = at.where(point).select(F.col("id").alias("r"), "address", F.explode(steps).alias("cell"))
+    by_place = open_.join(others, ["address", "cell"]).where(F.col("l") != F.col("r")).select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b")).distinct()
+    pairs = evaluate_pairs(by_phone.unionByName(by_place), reps.withColumnRenamed("id", "candidate_id").select("candidate_id", *EVIDENCE)).where(F.col("status") != "separate")
+    pairs = cut(pairs.select("a", "b", "status"), "class-pairs")
+    sides = pairs.where(F.col("status") == "admin_review").select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("witness")), F.struct(F.col("b").alias("id"), F.col("a").alias("witness")))).alias("s")).select("s.*", F.lit("SCORE").alias("rule"))
+    crossed = _crossed(reps, "phone", "address", "PHONE_OF_OTHER_ADDRESS").unionByName(_crossed(reps, "address", "phone", "ADDRESS_OF_OTHER_PHONE"))
+    witnesses = sides.unionByName(crossed).unionByName(_near_conflicts(reps)).where(F.col("witness").isNotNull())
+    flagged = witnesses.groupBy("id").agg(F.min(F.struct("rule", "witness")).alias("w"))
+    review = members.select("candidate_id", "id").join(flagged, "id").select(F.least("candidate_id", "w.witness").alias("a"), F.greatest("candidate_id", "w.witness").alias("b"), F.lit("admin_review").alias("status"), "w.rule")
+    merges = pairs.where(F.col("status") == "auto_merge").select("a", "b", "status", F.lit("SCORE").alias("rule"))
+    return merges.unionByName(copies.where(F.col("status").isNotNull())).unionByName(review).groupBy("a", "b", "status").agg(F.min("rule").alias("rule"))
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step over edges (hi, lo), hi > lo: neighbours (``large``: larger ones, else smaller) move to the smallest one."""
     seen = edges.unionByName(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo"))) if large else edges

@@ -26,7 +26,7 @@ def catalog(candidates: DataFrame, evidence: DataFrame, existing: DataFrame, old
     bakery_id, catalog_status, business_status.  ``queue``: the manual reviews
     (manual_review_id, snapshot_id, store_id, status, decision, evidence_refs).
     """
-    matches = tables.cut(resolve.evaluate_pairs(resolve.candidate_pairs(candidates), candidates, version), "matches")
+    matches = tables.cut(resolve.decide(candidates), "matches")
     found = resolve.reconcile(resolve.canonical_stores(candidates, matches, version), existing)
     # an id conflict holds the new store and the old ones back
     found = found.withColumns({"store_id": F.coalesce("old_store_id", "store_id"), "merge_status": F.when(F.col("id_conflict"), "admin_review").otherwise(F.col("merge_status"))})
