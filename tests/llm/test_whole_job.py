@@ -3,6 +3,7 @@
 import random
 
 import public_tokenizers as P
+import pytest
 
 from wayfern.llm import decontam, lang_id, line_dedup, queries, secret_scan, token_store
 
@@ -69,6 +70,32 @@ def test_values_of_other_word_counts(spark):
     assert contaminated(spark, [texts[0]], [TRAIN, texts[0]]) == {(0, 0): (25, True), (1, 0): (25, False)}
 
 
+def frames(spark, items, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+
+
+@pytest.mark.parametrize("n", [8, 9, 20])
+def test_a_passage_of_many_questions_is_found(spark, n):
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnop", k=6))
+    passage = " ".join(word() for _ in range(60))
+    docs, bench = frames(spark, [f"{passage} " + " ".join(word() for _ in range(12)) for _ in range(n)], [f"before it {passage} and behind", " ".join(word() for _ in range(80))])
+    rows = decontam.find_classes(docs, bench).collect()
+    assert len(rows) == 8 and {r.doc_id for r in rows} == {0} and {r.shared for r in rows} == {n > 8} and all(r.span_words >= 60 for r in rows)
+    assert {(r.doc_id, r.item_id) for r in decontam.find(docs, bench, common=None).collect()} == {(0, k) for k in range(n)}
+
+
+def test_a_family_of_one_template_is_one_class(spark):
+    text = "a farmer has {} red apples in the barn and gives {} of them to the neighbour who lives across the road, how many are left"
+    items = [text.format(2 * k + 1, k + 5000) for k in range(150)]
+    docs, bench = frames(spark, items, [text.format(k + 200, 9000 + k) for k in range(150)] + [items[7]])
+    rows = {r.doc_id: r for r in decontam.find_classes(docs, bench).collect()}
+    assert len(rows) == 151 and {(r.class_id, r.n_items) for r in rows.values()} == {(0, 150)}
+    assert (rows[150].item_id, rows[150].changed) == (7, False) and rows[0].changed
+    assert sorted((r.class_id, r.item_id) for r in decontam.members(bench).collect()) == [(0, k) for k in range(150)]
+    assert decontam.find(docs, bench).count() == 151 * 150
+
+
 def test_copies_of_items_with_few_literals(spark):
     items = ["Compute 12 + 7 - 3 + 44 - 9 + 15 - 8 + 21 - 6 + 30", "Invited: " + " ".join(f"Name{chr(97 + i)} Other{chr(97 + i)}" for i in range(12)).replace("Name", "Na"), "Compute 12 times 7"]
     items.append("The first list has 1 2 3 4 5 6 7 and the second has 8 9 10 11 12 13 14 and nothing else")
