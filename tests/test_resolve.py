@@ -48,6 +48,16 @@ def test_blocking_loses_no_pair(spark):
     assert key(resolve.evaluate_pairs(resolve.candidate_pairs(df), df)) == key(resolve.evaluate_pairs(every, df))
 
 
+def test_candidates_of_dissimilar_names_are_no_pairs(spark):
+    # the names share a bigram of their prefixes, so that each copy of one met each of the other
+    rows = [candidate(f"{k}{i}", name, address=f"서울특별시 강남구 {k}{i}", lat=375000000 + (20 * k + i) * 40000) for k, name in enumerate(("가나다라마", "가나바사아", "가나다라마바")) for i in range(20)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = [(r.a[1], r.b[1]) for r in resolve.candidate_pairs(df).collect()]
+    assert got and {tuple(sorted(p)) for p in got} == {("0", "0"), ("1", "1"), ("2", "2"), ("0", "2")} and len(got) == 3 * 190 + 400
+    names = spark.createDataFrame([(n,) for n in ("가나다라마", "가나다라마바", "가나바사아", "가")] * 5, "n string")
+    assert sorted(tuple(r) for r in resolve.similar_names(names).collect()) == [("가", "가"), ("가나다라마", "가나다라마"), ("가나다라마", "가나다라마바"), ("가나다라마바", "가나다라마"), ("가나다라마바", "가나다라마바"), ("가나바사아", "가나바사아")]
+
+
 def test_decisions_equal_those_of_all_pairs(spark):
     rnd = random.Random(8)
     rows = []

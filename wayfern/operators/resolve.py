@@ -3,8 +3,8 @@
 A pair is a candidate if addresses or phones are equal, points are within
 100 m, or names are similar by 7,500 basis points.  Each of these has a block
 that every such pair shares: the address, the phone, the name, neighbouring
-cells wider than 100 m, and a shared bigram within the size that similarity
-allows.  Pairs from all blocks are made distinct, then tested exactly.
+cells wider than 100 m, and two similar brand names, which are found among the
+distinct names.  Pairs from all blocks are made distinct, then tested exactly.
 
 ``candidate_pairs`` and ``evaluate_pairs`` give evidence pair by pair, so their
 rows grow with the square of a name's, phone's or address's stores.  What a
@@ -39,24 +39,33 @@ def _block(df: DataFrame, key: Column, other: Column | None = None) -> DataFrame
     return a.join(b, "k").where(F.col("a") < F.col("b")).select("a", "b")
 
 
-def candidate_pairs(candidates: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, that share a block.
+def similar_names(names: DataFrame) -> DataFrame:
+    """``n``, ``m``: each two of the names ``n`` that are similar by their bigrams, both ways round and a name with itself.
 
-    For names both sizes bound the overlap: 2 * shared >= 0.75 * (m + n) means
-    that after the rarest-first order of bigrams the two prefixes of
-    n - ceil(0.6 n) + 1 bigrams meet, as each side must share at least 60 % of
-    its own.
+    Names are compared once each, however many candidates have them.  Both
+    sizes bound the overlap: 2 * shared >= 0.75 * (m + n) means that after the
+    rarest-first order of bigrams the two prefixes of n - ceil(0.6 n) + 1
+    bigrams meet, as each side must share at least 60 % of its own.
     """
+    grams = names.distinct().select("n", F.explode(bigrams(F.col("n"))).alias("g"))
+    often = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    ordered = grams.join(often, "g").groupBy("n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("gs"))
+    prefix = ordered.select("n", F.transform("gs", lambda x: x["g"]).alias("all"), F.explode(F.slice("gs", F.lit(1), (F.size("gs") - F.ceil(F.size("gs") * F.lit(3) / F.lit(5)) + 1).cast("int"))).alias("p")).select("n", "all", F.col("p.g").alias("k"))
+    both = prefix.join(prefix.select(F.col("n").alias("m"), F.col("all").alias("m_all"), "k"), "k").where(F.col("n") <= F.col("m"))
+    found = both.where(_dice("all", "m_all") >= SIMILAR).select("n", "m").distinct()
+    return found.unionByName(found.where(F.col("n") < F.col("m")).select(F.col("m").alias("n"), F.col("n").alias("m")))
+
+
+def candidate_pairs(candidates: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, that share a block."""
     cell_lat = F.floor(F.col("latitude_e7") / CELL_LAT)
     cell_lon = F.floor(F.col("longitude_e7") / CELL_LON)
     cell = F.when(F.col("latitude_e7").isNotNull() & F.col("longitude_e7").isNotNull(), F.struct(cell_lat.alias("y"), cell_lon.alias("x")))
     steps = F.array(*(F.struct((cell_lat + dy).alias("y"), (cell_lon + dx).alias("x")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))
     near = F.explode(F.when(cell.isNotNull(), steps))
-    grams = candidates.select("candidate_id", F.explode(bigrams(F.col("normalized_brand_name"))).alias("g"))
-    often = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    ordered = grams.join(often, "g").groupBy("candidate_id").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("gs"))
-    prefix = ordered.select("candidate_id", F.explode(F.slice("gs", F.lit(1), (F.size("gs") - F.ceil(F.size("gs") * F.lit(3) / F.lit(5)) + 1).cast("int"))).alias("p")).select("candidate_id", F.col("p.g").alias("k"))
-    by_name = prefix.withColumnRenamed("candidate_id", "a").join(prefix.withColumnRenamed("candidate_id", "b"), "k").where(F.col("a") < F.col("b")).select("a", "b")
+    similar = similar_names(candidates.select(F.col("normalized_brand_name").alias("n")))
+    brand = candidates.select("candidate_id", F.col("normalized_brand_name").alias("n"))
+    by_name = brand.select(F.col("candidate_id").alias("a"), "n").join(similar, "n").join(brand.select(F.col("candidate_id").alias("b"), F.col("n").alias("m")), "m").where(F.col("a") < F.col("b")).select("a", "b")
     blocks = [
         _block(candidates, F.when(F.col("normalized_address") != "", F.col("normalized_address"))),
         _block(candidates, F.col("normalized_phone")),
@@ -70,11 +79,13 @@ def candidate_pairs(candidates: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def _dice(a: Column | str, b: Column | str) -> Column:
+    return F.floor(F.lit(20000) * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b)) + 0.5).cast("int")
+
+
 def similarity(l_name: Column, r_name: Column, l_brand: Column, r_brand: Column) -> Column:
     """Basis points of shared bigrams of the brand names; 10,000 for equal names."""
-    a, b = bigrams(l_brand), bigrams(r_brand)
-    dice = F.floor(F.lit(20000) * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b)) + 0.5).cast("int")
-    return F.when(l_name == r_name, 10000).otherwise(dice)
+    return F.when(l_name == r_name, 10000).otherwise(_dice(bigrams(l_brand), bigrams(r_brand)))
 
 
 def evaluate_pairs(pairs: DataFrame, candidates: DataFrame, version: str = "v1") -> DataFrame:
