@@ -48,3 +48,24 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
         assert _rows(found.columns, got) == _rows(columns, want.fetchall())
     else:
         assert len(got) > 0
+
+
+def _over(tmp_path, sf_dir, table, sql):
+    """The tables with another one in the place of ``table``, and an engine over them."""
+    c = duckdb.connect()
+    c.execute("SET TimeZone='UTC'")
+    for t in [*TABLES, "labels", "conversations"]:
+        at = tmp_path / f"{t}.parquet"
+        if t == table:
+            c.execute(f"COPY ({sql}) TO '{at}'")
+        else:
+            at.symlink_to(f"{sf_dir}/{t}.parquet")
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{at}'")
+    return str(tmp_path), c
+
+
+def test_tiles_of_points_on_their_edges(spark, sf_dir, tmp_path):
+    sql = f"SELECT c.* REPLACE (j * 218750 AS c_custkey) FROM (SELECT * FROM '{sf_dir}/customer.parquet' LIMIT 1) c, range(1, 451) r(j)"
+    d, c = _over(tmp_path, sf_dir, "customer", sql)
+    want = c.execute(plans.SQL["saturated_tiles"]).fetchall()
+    assert sorted(map(tuple, plans.QUERIES["saturated_tiles"](spark, d).collect())) == sorted(want) and len(want) > 10

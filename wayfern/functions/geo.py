@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -116,10 +117,26 @@ def coordinates(x: Column, y: Column) -> Column:
     return _let(grid_to_wgs84(x.try_cast("double"), y.try_cast("double")), e7)
 
 
+def _path(row: Column, col: Column, depth: int) -> Column:
+    bit = lambda v, k: F.shiftright(v, depth - 1 - k).bitwiseAND(F.lit(1))
+    return F.concat_ws(".", F.lit("0"), *((bit(row, k) * 2 + bit(col, k)).cast("string") for k in range(depth)))
+
+
 def tile_key(lat_e7: Column, lon_e7: Column, depth: int, box: tuple[int, int, int, int]) -> Column:
     """The path of quadrants (0 to 3, joined by dots) of a point in a box (lat0, lat1, lon0, lon1) of 1e-7 degrees."""
     n = 1 << depth
     row = F.least(F.floor((lat_e7 - box[0]) * n / (box[1] - box[0])), F.lit(n - 1)).cast("long")
     col = F.least(F.floor((lon_e7 - box[2]) * n / (box[3] - box[2])), F.lit(n - 1)).cast("long")
-    bit = lambda v, k: F.shiftright(v, depth - 1 - k).bitwiseAND(F.lit(1))
-    return F.concat_ws(".", F.lit("0"), *((bit(row, k) * 2 + bit(col, k)).cast("string") for k in range(depth)))
+    return _path(row, col, depth)
+
+
+def tile_key_degrees(lat: Column, lon: Column, depth: int, area: tuple[float, float, float, float]) -> Column:
+    """As ``tile_key`` for degrees in an area (west, south, east, north); points outside belong to the tiles at its edge."""
+    n = 1 << depth
+
+    def at(x: Column, low: float, high: float) -> Column:
+        # the width as it is written: 127.3 - 126.7 in doubles is a little less than 0.6
+        width = float(Decimal(str(high)) - Decimal(str(low)))
+        return F.greatest(F.least(F.floor((x - low) / width * n), F.lit(n - 1)), F.lit(0)).cast("long")
+
+    return _path(at(lat, area[1], area[3]), at(lon, area[0], area[2]), depth)

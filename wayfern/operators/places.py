@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -46,13 +46,15 @@ def first_seen(observations: DataFrame, keys: list[str], order: list[str]) -> Da
     return observations.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
-def saturated_tiles(points: DataFrame, box: tuple[int, int, int, int], most: int, max_depth: int = 8) -> DataFrame:
+def saturated_tiles(points: DataFrame, box: tuple[int, int, int, int] | None, most: int, max_depth: int = 8, key: Column | None = None) -> DataFrame:
     """``tile``, ``depth``, ``n``, ``status`` of leaf tiles: a tile with ``most`` points or more is split, down to ``max_depth`` where it stays PARTIAL.
 
     Points are read once, for the counts of the finest tiles; those are rolled
     up to all depths, and a tile is a leaf if its parent is full and it is not.
+    ``key``: the points' tiles at ``max_depth``, where they are not by ``box``.
     """
-    finest = points.groupBy(geo.tile_key(F.col("latitude_e7"), F.col("longitude_e7"), max_depth, box).alias("t")).agg(F.count(F.lit(1)).alias("c"))
+    key = geo.tile_key(F.col("latitude_e7"), F.col("longitude_e7"), max_depth, box) if key is None else key
+    finest = points.groupBy(key.alias("t")).agg(F.count(F.lit(1)).alias("c"))
     every = finest.select("c", F.split("t", r"\.").alias("t")).withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(max_depth))))
     every = every.groupBy(F.array_join(F.slice("t", F.lit(1), F.col("depth") + 1), ".").alias("tile"), "depth").agg(F.sum("c").alias("n"))
     full = F.col("n") >= most
