@@ -69,3 +69,12 @@ def test_tiles_of_points_on_their_edges(spark, sf_dir, tmp_path):
     d, c = _over(tmp_path, sf_dir, "customer", sql)
     want = c.execute(plans.SQL["saturated_tiles"]).fetchall()
     assert sorted(map(tuple, plans.QUERIES["saturated_tiles"](spark, d).collect())) == sorted(want) and len(want) > 10
+
+
+@pytest.mark.parametrize("name", ["review_topk", "review_topk_stored", "review_topk_merged"])
+def test_ranks_that_round_alike_go_by_date(spark, sf_dir, tmp_path, name):
+    # "the" is in most documents and weighs next to nothing, so its uses move the seventh digit; some have no text
+    body = "CASE WHEN i % 11 = 0 THEN NULL WHEN i % 4 = 1 THEN 'licensed ' || repeat('the ', CAST(1 + i * 7 % 5 AS INT)) || repeat('x ', CAST(30 - i * 7 % 5 AS INT)) ELSE 'the ' || repeat('y ', CAST(i % 9 AS INT)) END"
+    d, c = _over(tmp_path, sf_dir, "documents", f"SELECT i AS doc_id, {body} AS text, 'en' AS lang, 'src' || CAST(i % 7 AS VARCHAR) AS source, CAST(40 AS BIGINT) AS n_chars FROM range(600) r(i)")
+    want = c.execute(plans.SQL[name]).fetchall()
+    assert [tuple(r) for r in plans.QUERIES[name](spark, d).collect()] == want and len(want) >= 20

@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .fulltext import K1, B, query_tokens, scope, tokens
+from .fulltext import K1, B, order, query_tokens, scope, term_counts
 from .tables import cut
 
 BLOCK = 128
@@ -53,21 +53,21 @@ class TextIndex:
     def facts(self, version: str) -> dict:
         return self.spark.read.parquet(f"{self.root}/{version}/facts").first().asDict(recursive=True)
 
-    def _describe(self, version: str, segments: list[str], n_docs: int, total: int) -> None:
-        row = [(version, segments, n_docs, total)]
-        self.spark.createDataFrame(row, "version string, segments array<string>, n_docs long, total_dl long").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{version}/facts")
+    def _describe(self, version: str, segments: list[str], n_docs: int, n_texts: int, total: int) -> None:
+        row = [(version, segments, n_docs, n_texts, total)]
+        self.spark.createDataFrame(row, "version string, segments array<string>, n_docs long, n_texts long, total_dl long").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{version}/facts")
 
-    def _cut_words(self, documents: DataFrame) -> DataFrame:
-        return documents.select("review_id", "store_id", "published_date", tokens(F.col("normalized_body"), self.folded).alias("t")).withColumn("dl", F.size("t"))
+    def _words(self, documents: DataFrame) -> DataFrame:
+        """The documents' terms, cut and counted once and written."""
+        return cut(term_counts(documents, folded=self.folded, keep=("store_id", "published_date")), "terms")
 
-    def _segment(self, documents: DataFrame, path: str, ranges: int, average: float) -> None:
-        docs = self._cut_words(documents)
+    def _segment(self, docs: DataFrame, path: str, ranges: int, average: float) -> None:
         # documents of like length share blocks; as many blocks a length class as its documents fill
         kind = F.floor(F.log2(F.col("dl") + 1) * 4).cast("long")
         classes = docs.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
         docs = docs.withColumn("kind", kind).join(F.broadcast(classes), "kind")
         block = F.shiftleft(F.col("kind"), 40) + F.pmod(F.xxhash64("review_id"), F.ceil(F.col("n") / BLOCK))
-        hits = docs.select("review_id", "store_id", "published_date", "dl", block.alias("block"), F.explode("t").alias("token")).groupBy("review_id", "store_id", "published_date", "dl", "block", "token").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+        hits = docs.where(F.size("terms") > 0).select("review_id", "store_id", "published_date", F.col("dl").cast("int").alias("dl"), block.alias("block"), F.inline("terms")).withColumn("tf", F.col("tf").cast("int"))
         # ranges of (token, block) hold each group whole, so grouping moves nothing again
         rows = hits.repartitionByRange(ranges, "token", "block").groupBy("token", "block").agg(F.count(F.lit(1)).alias("n"), F.max(part_score(F.col("tf"), F.col("dl"), F.lit(1.0), average)).alias("most"), F.lit(average).alias("average"), F.collect_list(F.struct(*_POSTING)).alias("hits"))
         rows.withColumn("range", F.spark_partition_id()).sortWithinPartitions("token", "block").write.mode("overwrite").partitionBy("range").parquet(f"{path}/postings")
@@ -82,27 +82,28 @@ class TextIndex:
         """Index all documents of a version, if it is not there."""
         if self._there(f"{self.root}/{version}/facts"):
             return
-        n, total = self._counted(self._cut_words(documents))
-        self._segment(documents, f"{self.root}/{version}/segment", self._ranges(documents), max(total, 1) / max(n, 1))
-        self._describe(version, [version], n, total)
+        words = self._words(documents)
+        n, texts, total = self._counted(words)
+        self._segment(words, f"{self.root}/{version}/segment", self._ranges(documents), max(total, 1) / max(texts, 1))
+        self._describe(version, [version], n, texts, total)
 
-    def _counted(self, words: DataFrame) -> tuple[int, int]:
-        """(documents, words)."""
-        return tuple(words.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first())
+    def _counted(self, words: DataFrame) -> tuple[int, int, int]:
+        """(documents, those with a body, words)."""
+        return tuple(words.agg(F.count(F.lit(1)), F.count("dl"), F.coalesce(F.sum("dl"), F.lit(0))).first())
 
     def extend(self, base: str, version: str, added: DataFrame, removed: DataFrame) -> None:
         """The index of a version that differs from ``base`` by ``removed`` and ``added`` documents (a changed one is in both, in its old and new form)."""
         if self._there(f"{self.root}/{version}/facts"):
             return
         old = self.facts(base)
-        gone = self._cut_words(removed)
-        more, less = self._counted(self._cut_words(added)), self._counted(gone)
-        n, total = old["n_docs"] + more[0] - less[0], old["total_dl"] + more[1] - less[1]
-        self._segment(added, f"{self.root}/{version}/segment", self._ranges(added), max(total, 1) / max(n, 1))
+        words, gone = self._words(added), self._words(removed)
+        more, less = self._counted(words), self._counted(gone)
+        n, texts, total = (old[c] + m - x for c, m, x in zip(("n_docs", "n_texts", "total_dl"), more, less, strict=True))
+        self._segment(words, f"{self.root}/{version}/segment", self._ranges(added), max(total, 1) / max(texts, 1))
         gone.select("review_id").write.mode("overwrite").parquet(f"{self.root}/{version}/gone")
-        terms = gone.select(F.explode(F.array_distinct("t")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+        terms = gone.select(F.explode("terms.token").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
         terms.sort("token").write.mode("overwrite").parquet(f"{self.root}/{version}/gone_terms")
-        self._describe(version, [*old["segments"], version], n, total)
+        self._describe(version, [*old["segments"], version], n, texts, total)
 
     # -- reading --------------------------------------------------------------
 
@@ -144,8 +145,8 @@ class TextIndex:
         n = self.facts(version)["n_docs"]
         return {t: max(math.log((n - d + 0.5) / (d + 0.5)), 1e-6) for t, d in df.items() if d > 0}
 
-    def search(self, version: str, text: str, limit: int = 20, store_ids: list[str] | None = None) -> tuple[DataFrame, dict]:
-        """(``review_id``, ``store_id``, ``published_date``, ``rank`` of the best ``limit`` (1 to 100) by rank, newest, id; what was read).
+    def search(self, version: str, text: str, limit: int = 20, store_ids: list[str] | None = None, digits: int | None = None) -> tuple[DataFrame, dict]:
+        """(``review_id``, ``store_id``, ``published_date``, ``rank`` of the best ``limit`` (1 to 100) in the ``order`` of ``digits``; what was read).
 
         Documents hold all terms; of these stores, if any are named.
         """
@@ -157,7 +158,7 @@ class TextIndex:
         rows = self.postings(version, terms)
         idf = self._weights(version, terms, rows)
         facts = self.facts(version)
-        average = facts["total_dl"] / max(1, facts["n_docs"])
+        average = facts["total_dl"] / max(1, facts["n_texts"])
         if len(idf) < len(terms):
             rows, idf = rows.where(F.lit(False)), dict.fromkeys(terms, 0.0)
         weight = F.create_map(*(F.lit(x) for t in terms for x in (t, idf[t])))[F.col("token")]
@@ -166,7 +167,7 @@ class TextIndex:
         bounds = rows.groupBy("segment", "block").agg(F.count(F.lit(1)).alias("n_terms"), (F.sum(bound) * (1 + 1e-9)).alias("bound")).where(F.col("n_terms") == len(terms)).drop("n_terms")
         bounds = cut(bounds, "bounds")
         gone = self._gone(version)
-        order = [F.col("rank"), F.desc("published_date"), F.col("review_id")]
+        by = order(digits)
 
         def scored(blocks: DataFrame) -> DataFrame:
             hits = rows.join(blocks.select("segment", "block"), ["segment", "block"], "left_semi").select("segment", "token", F.explode("hits").alias("h")).select("segment", "token", "h.*")
@@ -182,8 +183,9 @@ class TextIndex:
             return found.where(F.col("n") == len(terms)).select("review_id", "store_id", "published_date", (-total).alias("rank"))
 
         first = scored(bounds.orderBy(F.desc("bound"), "segment", "block").limit(max(4, limit // 4)))
-        worst = [r["rank"] for r in first.orderBy(*order).limit(limit).collect()]
-        reach = bounds if len(worst) < limit else bounds.where(F.col("bound") >= -worst[-1])
-        best = cut(scored(reach).orderBy(*order).limit(limit), "best")
+        worst = [r["rank"] for r in first.orderBy(*by).limit(limit).select(by[0].alias("rank")).collect()]
+        slack = 0.0 if digits is None else 10.0**-digits  # rounding moves a rank by half of that
+        reach = bounds if len(worst) < limit else bounds.where(F.col("bound") >= -worst[-1] - slack)
+        best = cut(scored(reach).orderBy(*by).limit(limit), "best")
         counts = {"blocks": bounds.count(), "blocks_scored": reach.count(), "files": len(rows.inputFiles())}
-        return best.orderBy(*order), counts
+        return best.orderBy(*by), counts

@@ -44,15 +44,17 @@ VIEWS = {
 }
 
 
-def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "labels", "conversations")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "labels", "conversations")
+
+
+def tables(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = TABLES) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of ``VIEWS`` over the tables of ``sf_dir``."""
     text = VIEWS[name]
-    used = {n: df for n, df in tables(spark, sf_dir).items() if f" {n} " in f"{text} ".replace("\n", " ")}
+    used = tables(spark, sf_dir, tuple(n for n in TABLES if f" {n} " in f"{text} ".replace("\n", " ")))
     for n in used:
         text = f"{text} ".replace(f"FROM {n} ", f"FROM {{{n}}} ").replace(f"FROM {n}\n", f"FROM {{{n}}}\n").replace(f"JOIN {n} ", f"JOIN {{{n}}} ")
     return spark.sql(text, **used)
