@@ -85,6 +85,16 @@ def test_a_passage_of_many_questions_is_found(spark, n):
     assert {(r.doc_id, r.item_id) for r in decontam.find(docs, bench, common=None).collect()} == {(0, k) for k in range(n)}
 
 
+def test_every_question_of_a_passage_is_compared(spark, tmp_path):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnop", k=6))
+    passage = " ".join(word() for _ in range(30))
+    docs, bench = frames(spark, [f"{passage} " + " ".join(word() for _ in range(12)) for _ in range(20)], [f"before it {passage} and behind"])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {(r.doc_id, r.class_id, r.shared) for r in queries.op5_decontamination(spark, str(tmp_path)).collect()} == {(0, k, True) for k in range(20)}
+
+
 def test_a_family_of_one_template_is_one_class(spark):
     text = "a farmer has {} red apples in the barn and gives {} of them to the neighbour who lives across the road, how many are left"
     items = [text.format(2 * k + 1, k + 5000) for k in range(150)]

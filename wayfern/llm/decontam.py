@@ -14,8 +14,8 @@ a document is compared with once; the class's items are listed once.  A document
 is compared with the classes of which it holds a window that ``common`` classes
 have at most, or that is among the class's least shared ones; of a window that
 more share, such as a passage's with many questions, with the first ``common``
-of them, and what is found by such windows alone is marked as shared.  Then all
-their windows are matched.  Matches of one document and one item that lie on one diagonal
+of them or, with ``every``, with all, and what is found by such windows alone is
+marked as shared.  Then all their windows are matched.  Matches of one document and one item that lie on one diagonal
 (document position minus item position) form a run; a run counts if it spans
 enough words, has such a window and its slots are consistent: within the run each value of the
 item's slots always stands against one value of the document's and the other
@@ -283,8 +283,11 @@ def _short_lengths(benchmark: DataFrame, text_col: str) -> list[int]:
     return sorted(r.n for r in _word_counts(benchmark, text_col).where((F.col("n") < WINDOW) & (F.col("n") >= LITERALS)).distinct().collect())  # a few lengths below a window
 
 
-def _runs(docs: DataFrame, items: DataFrame, short: list[int], doc_id: str, text_col: str, common: int | None) -> DataFrame:
-    """The best run of each document and class: ``doc``, ``form``, ``joined``, ``filled``, ``span``, ``slots``, ``changed``, ``shared``, ``first`` and ``n_items``."""
+def _runs(docs: DataFrame, items: DataFrame, short: list[int], doc_id: str, text_col: str, common: int | None, every: bool = False) -> DataFrame:
+    """The best run of each document and class: ``doc``, ``form``, ``joined``, ``filled``, ``span``, ``slots``, ``changed``, ``shared``, ``first`` and ``n_items``.
+
+    ``every``: all classes of a window are asked, however many share it.
+    """
     classes = items.groupBy("form").agg(F.min("key").alias("first"), F.count_distinct(F.struct("key")).alias("n_items"))
     filtered = None
     if items.count() <= BLOOM_WINDOWS:
@@ -297,11 +300,13 @@ def _runs(docs: DataFrame, items: DataFrame, short: list[int], doc_id: str, text
         i = rated.withColumns({"telling": F.lit(True), "asked": F.lit(True)})
     else:
         least = rated.groupBy("form", "joined").agg(F.greatest(F.min("n_forms"), F.lit(common)).alias("most"))
+        telling = F.col("n_forms") <= F.col("most")
+        i = rated.join(least, ["form", "joined"]).withColumns({"telling": telling, "asked": F.lit(True)})
+    if common is not None and not every:
         order = Window.partitionBy("h").orderBy(F.col("key").asc_nulls_last(), "form")
         # the first forms of a window that more share: they are asked, though it tells no form from others
         owners = rated.where(F.col("n_forms") > common).select("h", "form", "key").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= common).select("h", "form", F.lit(True).alias("owner"))
-        telling = F.col("n_forms") <= F.col("most")
-        i = rated.join(least, ["form", "joined"]).join(owners, ["h", "form"], "left").withColumns({"telling": telling, "asked": telling | F.coalesce("owner", F.lit(False))})
+        i = i.join(owners, ["h", "form"], "left").withColumn("asked", F.col("telling") | F.coalesce("owner", F.lit(False)))
     i = cut(i.select("form", "joined", "h", "i_at", "i_slots", "n_words", "low", "high", "telling", "asked"), "benchmark-windows")
     keyed = docs.select(F.col(f"`{doc_id}`").alias("key"), F.xxhash64(F.col(f"`{text_col}`")).alias("t"), F.col(f"`{text_col}`").alias("text"))
     found = _windows_of(keyed, short, filtered, False).join(i.select("h").distinct(), "h", "left_semi")
@@ -335,21 +340,22 @@ def _runs(docs: DataFrame, items: DataFrame, short: list[int], doc_id: str, text
     return runs.where(good).groupBy("doc", "form").agg(F.max(best).alias("r")).select("doc", "form", "r.*").join(classes, "form")
 
 
-def find_classes(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", common: int | None = COMMON) -> DataFrame:
+def find_classes(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", common: int | None = COMMON, every: bool = False) -> DataFrame:
     """A row for each document and class of items it holds; items that differ by the values of their slots only are one class.
 
     Columns: the document's id; the id of the best item (the one whose values the
     document has, if it holds one whole, else the class's least); ``class_id``, the
     least item of the class; ``n_items`` of it (``members`` lists them); ``shared``,
     whether the run is of windows only that more than ``common`` classes share, of
-    which ``common`` classes are reported then; ``span_words`` (words of the longest
-    counting run), ``n_slots`` (its slots) and ``changed`` (whether any slot's value
-    differs from the best item's).  With ``common`` None every class that shares a
-    window is compared, whatever it costs.
+    which ``common`` classes are reported then, or all with ``every``; ``span_words``
+    (words of the longest counting run), ``n_slots`` (its slots) and ``changed``
+    (whether any slot's value differs from the best item's).  With ``every`` each
+    class that shares a window is compared, and ``shared`` still tells which runs
+    have no window of their own; with ``common`` None no window counts as shared.
     """
     short = _short_lengths(benchmark, text_col)
     items = _read_items(benchmark, short, item_id, text_col)
-    found = _runs(docs, items, short, doc_id, text_col, common)
+    found = _runs(docs, items, short, doc_id, text_col, common, every)
     exact = _filled(items).groupBy("form", "joined", "filled").agg(F.min("item").alias("item"), F.lit(True).alias("equal"))
     out = found.join(exact, ["form", "joined", "filled"], "left")
     columns = {doc_id: F.col("doc"), item_id: F.coalesce("item", "first"), "class_id": F.col("first"), "n_items": F.col("n_items"), "shared": F.col("shared")}
@@ -369,11 +375,13 @@ def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id:
 
     Columns: the two ids, ``span_words`` (words of the longest counting run),
     ``n_slots`` (its slots) and ``changed`` (whether any slot's value differs; a run
-    that is not of a whole item is held against the class's least item).
+    that is not of a whole item is held against the class's least item).  A run of
+    windows only that more than ``common`` classes share, as of a prompt, is no
+    contamination here; with ``common`` None it is.
     """
     short = _short_lengths(benchmark, text_col)
     items = _read_items(benchmark, short, item_id, text_col)
-    found = _runs(docs, items, short, doc_id, text_col, common).withColumnRenamed("filled", "d_filled")
+    found = _runs(docs, items, short, doc_id, text_col, common).where(~F.col("shared")).withColumnRenamed("filled", "d_filled")
     every = found.join(_filled(items), ["form", "joined"])
     out = every.groupBy("doc", "item").agg(F.max(F.struct("span", "slots", ((F.col("filled") != F.col("d_filled")) & F.col("changed")).alias("changed"))).alias("run"))
     return out.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), F.col("run.span").cast("long").alias("span_words"), F.col("run.slots").cast("long").alias("n_slots"), F.col("run.changed").alias("changed"))

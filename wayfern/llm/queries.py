@@ -44,7 +44,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.find_classes(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.find_classes(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), every=True)
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
