@@ -6,7 +6,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from wayfern.plans import intake, queries  # noqa: F401  both register
+from wayfern.plans import intake, proxy, queries  # noqa: F401  two of them register
 from wayfern.plans import registry as plans
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
@@ -78,3 +78,13 @@ def test_ranks_that_round_alike_go_by_date(spark, sf_dir, tmp_path, name):
     d, c = _over(tmp_path, sf_dir, "documents", f"SELECT i AS doc_id, {body} AS text, 'en' AS lang, 'src' || CAST(i % 7 AS VARCHAR) AS source, CAST(40 AS BIGINT) AS n_chars FROM range(600) r(i)")
     want = c.execute(plans.SQL[name]).fetchall()
     assert [tuple(r) for r in plans.QUERIES[name](spark, d).collect()] == want and len(want) >= 20
+
+
+def test_menus_are_made_distinct_by_their_keys(spark, sf_dir, tmp_path):
+    # a part that stands twice, and one of two names
+    d, c = _over(tmp_path, sf_dir, "part", f"SELECT * FROM '{sf_dir}/part.parquet' UNION ALL SELECT * REPLACE (CASE WHEN p_partkey % 2 = 0 THEN 'other' ELSE p_name END AS p_name) FROM '{sf_dir}/part.parquet' WHERE p_partkey < 20")
+    menus, stores = proxy.view(spark, d, "menus"), proxy.view(spark, d, "menus", ["store_id"])
+    assert _rows(menus.columns, menus.collect()) == _rows(menus.columns, c.execute(proxy.VIEWS["menus"]).fetchall())
+    assert sorted(r.store_id for r in stores.collect()) == [x for x, in c.execute(f"SELECT DISTINCT store_id FROM ({proxy.VIEWS['menus']}) ORDER BY 1").fetchall()]
+    wide = [x for x in menus._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in x and ("menu_" in x or "store_" in x)]
+    assert not wide
