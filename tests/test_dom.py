@@ -99,3 +99,15 @@ def test_breaks_of_the_contract_stop_without_a_review(spark):
     states, found = run(spark, {f"s{i:02}": pages for i, pages in enumerate(broken)})
     assert [s for s in states if s[1] != "MORE"] == [(len(p), dom.CHANGED, s[2], 0) for p, s in zip(broken, [x for x in states if x[1] != "MORE"], strict=True)]
     assert len(found) == 4  # of the first pages that were right
+
+
+def test_pages_are_parsed_once_in_bounded_batches(spark):
+    rows = [("s", i + 1, review() + NEXT) for i in range(dom.PAGES * 3)]
+    pages = spark.createDataFrame(rows, "store_id string, page_no int, html string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found, reviews = dom.extract(pages, contract("replace"), "2026-07-26")
+    links = dom.elements(pages, "article")
+    # what follows reads written rows, so that no page is parsed for each of its uses
+    assert all("EvalPython" not in x._jdf.queryExecution().optimizedPlan().toString() for x in (found, reviews, links))
+    assert found.count() == reviews.count() == links.count() == len(rows)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before

@@ -24,11 +24,20 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{folder}/{what}-{uuid.uuid4().hex[:12]}"
 
 
-def cut(df: DataFrame, what: str) -> DataFrame:
-    """Write to the shared folder and read back: it is computed once and its lineage ends."""
-    path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def cut(df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
+    """Write to the shared folder and read back: it is computed once and its lineage ends.
+
+    ``rows``: what a Python function gets at a time while it is written, where rows are wide.
+    """
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path, before = scratch(spark, what), spark.conf.get(name)
+    if rows is not None:
+        spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timeutil import dotted_date
+from ..operators.tables import cut
 
 # Elements without content, elements whose content is no text, gates in the order they are looked for.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,6 +39,8 @@ ENDS = dict.fromkeys(_BLOCKS, ({"p"}, {"table", "td", "th", "button", "li"})) |
 }
 GATES = (("loginWall", "LOGIN_REQUIRED"), ("captcha", "CAPTCHA"), ("accessDenial", "ACCESS_DENIED"))
 CHANGED = "DOM_CONTRACT_CHANGED"
+#: Pages that a task's Python holds at a time.
+PAGES = 64
 
 
 @dataclass
@@ -213,7 +216,7 @@ def elements(pages: DataFrame, selector: str, html_col: str = "html") -> DataFra
 
         return texts.map(rows)
 
-    return pages.select(*keep, found(F.col(html_col)).alias("__e")).select(*keep, F.posexplode("__e").alias("position", "__x")).select(*keep, "position", "__x.*")
+    return cut(pages.select(*keep, found(F.col(html_col)).alias("__e")), "page-elements", PAGES).select(*keep, F.posexplode("__e").alias("position", "__x")).select(*keep, "position", "__x.*")
 
 
 ITEM = "struct<body:string,rating:string,date:string,nickname:string>"
@@ -255,7 +258,8 @@ def extract(pages: DataFrame, contract: dict[str, str], as_of: str, key: str = "
     def found(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([page_facts(x, selectors) for x in texts], columns=["gate", "items", "has_next"])
 
-    x = pages.select(key, order, found(F.col(html_col)).alias("f")).select(key, order, "f.*").withColumn("n_items", F.size("items"))
+    # written, as items and pages both come from it: pages are parsed once
+    x = cut(pages.select(key, order, found(F.col(html_col)).alias("f")).select(key, order, "f.*"), "page-facts", PAGES).withColumn("n_items", F.size("items"))
     by_page = Window.partitionBy(key).orderBy(order)
     start = F.coalesce(F.lag("n_items").over(by_page), F.lit(0)) if contract["paginationMode"] == "append" else F.lit(0)
     x = x.withColumn("start", start)
