@@ -113,6 +113,17 @@ def test_components_of_a_chain(spark):
     assert got == {f"{i:03d}": "000" for i in range(n)} | {f"{n:03d}": f"{n:03d}"}
 
 
+def test_edges_that_lie_one_behind_the_other_take_two_rounds(spark, monkeypatch):
+    """A path of 2,000 ids whose edges come in order, and one whose edges are dealt over partitions: as many rounds as are left after each batch."""
+    written, cut = [], resolve.cut
+    monkeypatch.setattr(resolve, "cut", lambda df, what: written.append(what) or cut(df, what))
+    nodes = spark.range(2001).withColumnRenamed("id", "candidate_id")
+    edges = spark.range(0, 2000, 1, 2).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {r.root for r in resolve.connected(nodes, edges).collect()} == {0} and len(written) <= 3
+    dealt = edges.union(spark.createDataFrame([(None, 1), (5, 5)], "a long, b long")).repartition(4, "a")
+    assert {(r.candidate_id, r.root) for r in resolve.connected(nodes, dealt).collect()} == {(i, 0) for i in range(2001)}
+
+
 BRAND = "store_id string, bakery_id string, brand_key string, business_status string, latitude_e7 int, merge_status string, management_numbers array<string>"
 EVIDENCE = "brand_key string, management_numbers array<string>, ftc_status string, admin_status string, n_operator_refs int, n_independence_refs int"
 

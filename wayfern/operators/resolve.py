@@ -15,6 +15,9 @@ candidates and from the two extremes of each group.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -196,23 +199,51 @@ def decide(candidates: DataFrame) -> DataFrame:
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step over edges (hi, lo), hi > lo: neighbours (``large``: larger ones, else smaller) move to the smallest one."""
+    """One step over edges (hi, lo), hi > lo: neighbours (``large``: larger ones, else smaller) move to the smallest one.
+
+    A large star gives no more edges than it gets, some of them twice; a small one makes them distinct.
+    """
     seen = edges.unionByName(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo"))) if large else edges
     centre = seen.groupBy("hi").agg(F.min("lo").alias("c")).select("hi", F.least("hi", "c").alias("c"))
     moved = seen.join(centre, "hi")
-    moved = moved.where(F.col("lo") > F.col("hi")) if large else moved
+    if large:
+        return moved.where(F.col("lo") > F.col("hi")).select(F.col("lo").alias("hi"), F.col("c").alias("lo"))
     out = moved.select(F.col("lo").alias("hi"), F.col("c").alias("lo")).unionByName(centre.select("hi", F.col("c").alias("lo")))
     return out.where(F.col("hi") != F.col("lo")).distinct()
 
 
+def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (hi, lo) of each batch as stars: every id beside the smallest one that it reaches by the batch's edges."""
+    for batch in batches:
+        over: dict = {}
+
+        def root(x):
+            while x in over:
+                up = over[x]
+                if up in over:
+                    over[x] = over[up]
+                x = up
+            return x
+
+        for hi, lo in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            hi, lo = root(hi), root(lo)
+            if hi != lo:
+                over[max(hi, lo)] = min(hi, lo)
+        ids = list(over)
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((ids, [root(x) for x in ids]), batch.schema, strict=True)], schema=batch.schema)
+
+
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``candidate_id``, ``root``: the smallest id reachable over edges (a, b).
 
-    Large and small stars alternate until nothing changes, a number of rounds
-    that grows with the logarithm of the longest path; no node's neighbours
-    meet in one task's memory.
+    Edges are first shortened where they lie, an Arrow batch at a time, so that
+    paths whose edges come one behind the other are stars before any shuffle.
+    Then large and small stars alternate until nothing changes, a number of
+    rounds that grows with the logarithm of the longest path that is left; no
+    node's neighbours meet in one task's memory.
     """
-    now = cut(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
+    given = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
+    now = cut(given.mapInArrow(_shortened, given.schema).distinct(), "edges")
     state = None
     while True:
         found = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
