@@ -5,6 +5,7 @@ from decimal import Decimal
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from wayfern.plans import intake, proxy, queries  # noqa: F401  two of them register
 from wayfern.plans import registry as plans
@@ -88,3 +89,15 @@ def test_menus_are_made_distinct_by_their_keys(spark, sf_dir, tmp_path):
     assert sorted(r.store_id for r in stores.collect()) == [x for x, in c.execute(f"SELECT DISTINCT store_id FROM ({proxy.VIEWS['menus']}) ORDER BY 1").fetchall()]
     wide = [x for x in menus._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in x and ("menu_" in x or "store_" in x)]
     assert not wide
+
+
+def test_aliases_of_an_item_are_those_of_its_menus(spark):
+    from wayfern.operators import candidates as C
+
+    stores = spark.createDataFrame([("s1",), ("s2",), ("s3",)], "store_id string")
+    menus = spark.createDataFrame([("s1", "m1", 7), ("s2", "m2", 7), ("s2", "m3", 8)], "store_id string, menu_id string, item_id long").withColumns({c: F.lit("x") for c in ("name", "normalized_name", "category", "evidence_id")})
+    items = spark.createDataFrame([(7, "b"), (7, "a"), (9, "c"), (8, None)], "item_id long, normalized_alias string")
+    none = lambda schema: spark.createDataFrame([], f"store_id string, {schema}")
+    rest = none("alias_type string, normalized_alias string"), none("weekday int, sequence int, opens_minute int, closes_minute int, closes_next_day boolean"), none("review_count long, latest_date string, rated_count long, rating_sum_bp long")
+    got = {r.store_id: r.menus and [(m.menu_id, m.aliases) for m in r.menus] for r in C.nest(stores, menus, items, *rest).collect()}
+    assert got == {"s1": [("m1", ["a", "b"])], "s2": [("m2", ["a", "b"]), ("m3", [])], "s3": None}

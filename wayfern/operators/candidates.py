@@ -88,9 +88,13 @@ def review_aggregates(reviews: DataFrame) -> DataFrame:
 
 
 def nest(stores: DataFrame, menus: DataFrame, menu_aliases: DataFrame, aliases: DataFrame, hours: DataFrame, aggregates: DataFrame) -> DataFrame:
-    """Candidate rows; facts of unknown stores are ignored here and counted by ``orphans``."""
-    by_menu = menu_aliases.groupBy("menu_id").agg(F.array_sort(F.collect_list("normalized_alias")).alias("menu_alias_list"))
-    m = menus.join(by_menu, "menu_id", "left").withColumn("menu_alias_list", F.coalesce("menu_alias_list", F.array().cast("array<string>")))
+    """Candidate rows; facts of unknown stores are ignored here and counted by ``orphans``.
+
+    ``menu_aliases``: ``normalized_alias`` by ``menu_id``, or by ``item_id`` where ``menus`` has one too, as menus of one item have the same aliases.
+    """
+    key = "item_id" if "item_id" in menu_aliases.columns else "menu_id"
+    by_menu = menu_aliases.groupBy(key).agg(F.array_sort(F.collect_list("normalized_alias")).alias("menu_alias_list"))
+    m = menus.join(by_menu, key, "left").withColumn("menu_alias_list", F.coalesce("menu_alias_list", F.array().cast("array<string>")))
     m = m.groupBy("store_id").agg(F.array_sort(F.collect_list(F.struct("menu_id", "name", "normalized_name", "category", F.col("evidence_id"), F.col("menu_alias_list").alias("aliases")))).alias("menus"))
     a = aliases.groupBy("store_id").agg(F.array_sort(F.collect_list(F.struct("alias_type", "normalized_alias"))).alias("aliases"))
     h = hours.groupBy("store_id").agg(F.array_sort(F.collect_list(F.struct("weekday", "sequence", "opens_minute", "closes_minute", "closes_next_day"))).alias("hours"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.tables import cut
+
 STORE_ID = "'store_' || lpad(CAST({} AS STRING), 8, '0')"
 
 VIEWS = {
@@ -44,12 +46,14 @@ VIEWS = {
 }
 
 
+#: The different keys of ``menus``.
+PAIRS = "(SELECT DISTINCT o_custkey, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 #: The same rows by a shorter way: keys are made distinct before names are joined to them.
 NARROW = {
     "menus": f"""
         SELECT {STORE_ID.format('o_custkey')} AS store_id, 'menu_' || CAST(o_custkey AS STRING) || '_' || CAST(p_partkey AS STRING) AS menu_id,
                p_name AS name, lower(replace(p_name, ' ', '')) AS normalized_name, p_brand AS category
-        FROM (SELECT DISTINCT o_custkey, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey) JOIN (SELECT DISTINCT p_partkey, p_name, p_brand FROM part ) ON l_partkey = p_partkey""",
+        FROM {PAIRS} JOIN (SELECT DISTINCT p_partkey, p_name, p_brand FROM part ) ON l_partkey = p_partkey""",
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "labels", "conversations")
 
@@ -71,6 +75,18 @@ def view(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None
     return out if columns is None else out.select(*columns).distinct()
 
 
+def menu_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The different (o_custkey, l_partkey) of ``menus``, written once: what a query takes from them more than once is not joined again."""
+    used = tables(spark, sf_dir, ("orders", "lineitem"))
+    return cut(spark.sql("SELECT DISTINCT o_custkey, l_partkey FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey", **used), "menu-keys")
+
+
+def menus_of(spark: SparkSession, sf_dir: str, keys: DataFrame) -> DataFrame:
+    """``menus`` over written ``menu_keys``, with the part's key as ``item_id``."""
+    text = NARROW["menus"].replace(PAIRS, "{keys}").replace("FROM part )", "FROM {part})").replace("p_brand AS category", "p_brand AS category, p_partkey AS item_id")
+    return spark.sql(text, keys=keys, **tables(spark, sf_dir, ("part",)))
+
+
 def ctes(*names: str) -> str:
     """The views as common table expressions."""
     return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in names)
