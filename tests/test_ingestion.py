@@ -118,6 +118,13 @@ def test_ingestion_counts_and_runs_again(spark, tmp_path):
     assert counts(_tables(run)) == counts(before)
 
 
+def test_a_run_of_many_pages_has_bounded_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "MOST_BATCHES", 2)
+    landed, snapshot = _landed(spark, tmp_path, [page(i, [item(f"S{i}")], 5) for i in range(1, 6)])
+    run = ingest.Ingestion(spark, f"{tmp_path}/root", snapshot)
+    assert run.run(landed, pages_a_trigger=1)["n_inserted"] == 5 and len(run.commits()) == 2
+
+
 def test_a_drifted_staged_row_is_repaired_as_an_update(spark, tmp_path):
     landed, snapshot = _landed(spark, tmp_path, PAGES)
     run = ingest.Ingestion(spark, f"{tmp_path}/root", snapshot)

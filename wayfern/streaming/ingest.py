@@ -14,7 +14,7 @@ reason) and ``checkpoints`` (a row for each page of the run's last attempt).
 
 A row's key is its management number; rows without one are known by their
 place.  Each batch reads keys and digests of the snapshot's rows so far, so
-pages a trigger should grow with the snapshot.
+pages a trigger grow with the snapshot: a run has at most ``MOST_BATCHES``.
 """
 
 from __future__ import annotations
@@ -34,6 +34,9 @@ from ..sources.lease import Fenced, Lease, create_whole, numbered, replace_whole
 RUNNING, SUCCEEDED, FAILED = "RUNNING", "SUCCEEDED", "FAILED_FINAL"
 COUNTS = ("n_read", "n_inserted", "n_updated", "n_rejected")
 
+#: Batches of a run at most: what they read of those before them is at most half as many times the snapshot.
+MOST_BATCHES = 16
+
 
 class ImmutableRow(RuntimeError):
     """A source row of one snapshot came with another content."""
@@ -48,6 +51,12 @@ def land(pages: DataFrame, folder: str) -> None:
     pages.select("page_no", "json").write.partitionBy("page_no").text(folder)
 
 
+def landed_pages(spark: SparkSession, folder: str) -> int:
+    """How many files a landed folder has."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getFileCount()
+
+
 def snapshot(basis_date: str, pages: DataFrame) -> dict:
     """A source's description from its pages, whatever their order."""
     return {"basis_date": basis_date, "snapshot_id": "snapshot_" + digest([basis_date, ledger.pages_digest(pages)])[:24]}
@@ -97,6 +106,7 @@ class Ingestion:
     def run(self, landed: str, pages_a_trigger: int = 100, lease: Lease | None = None) -> dict:
         """Commit all landed pages; goes on with an attempt that did not end, else begins a new one.
 
+        ``pages_a_trigger``: at least so many pages go into a batch, and more if there would be over ``MOST_BATCHES``.
         ``lease``: renewed before each commit, which a lost one ends.
         """
         state = self.run_state()
@@ -108,6 +118,7 @@ class Ingestion:
         def batch(df: DataFrame, number: int) -> None:
             self._commit(df, attempt, number, lease)
 
+        pages_a_trigger = max(pages_a_trigger, -(-landed_pages(self.spark, landed) // MOST_BATCHES))
         pages = self.spark.readStream.schema("value string, page_no long").option("wholetext", True).option("maxFilesPerTrigger", pages_a_trigger).format("text").load(landed)
         query = pages.writeStream.foreachBatch(batch).option("checkpointLocation", f"{self.root}/stream/attempt-{attempt}").trigger(availableNow=True).start()
         try:
