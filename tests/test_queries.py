@@ -91,6 +91,38 @@ def test_menus_are_made_distinct_by_their_keys(spark, sf_dir, tmp_path):
     assert not wide
 
 
+MENU_QUERIES = ["filter_reason_counts", "derived_facts", "representative_menus_top3", "reason_codes", "supersede_check", "filtered_left_joins", "evidence_superseded"]
+
+
+@pytest.mark.parametrize("name", MENU_QUERIES)
+def test_many_menus_are_dealt_out_by_their_number(spark, sf_dir, tmp_path, monkeypatch, name):
+    # a part of two names, and lines and orders without a key
+    d, c = _over(tmp_path, sf_dir, "part", f"SELECT * FROM '{sf_dir}/part.parquet' UNION ALL SELECT * REPLACE ('hot almond' AS p_name) FROM '{sf_dir}/part.parquet' WHERE p_partkey < 20")
+    for t, key in (("lineitem", "l_orderkey"), ("orders", "o_orderkey")):
+        (tmp_path / f"{t}.parquet").unlink()
+        c.execute(f"COPY (SELECT * REPLACE (CASE WHEN {key} % 50 <> 0 THEN {key} END AS {key}) FROM '{sf_dir}/{t}.parquet') TO '{tmp_path}/{t}.parquet'")
+    monkeypatch.setattr(proxy, "FEW", 0)
+    monkeypatch.setattr(proxy, "ROWS_A_TASK", 500)
+    tasks = -(-sum(c.execute(f"SELECT count(*) FROM {t}").fetchall()[0][0] for t in ("lineitem", "orders")) // 500)
+    menus = proxy.view(spark, d, "menus")
+    assert tasks > 4 and menus.rdd.getNumPartitions() == tasks  # the session has 4
+    assert _rows(menus.columns, menus.collect()) == _rows(menus.columns, c.execute(proxy.VIEWS["menus"]).fetchall())
+    got, want = plans.QUERIES[name](spark, d), c.execute(plans.SQL[name])
+    assert _rows(got.columns, got.collect()) == _rows([x[0] for x in want.description], want.fetchall())
+
+
+def test_menus_hold_what_is_asked_of_them(spark):
+    from wayfern.operators import candidates as C
+
+    stores = spark.createDataFrame([("s1",), ("s2",)], "store_id string")
+    menus = spark.createDataFrame([("s1", "b"), ("s1", "a"), ("s1", "b"), ("s3", "a")], "store_id string, category string")
+    none = lambda schema: spark.createDataFrame([], f"store_id string, {schema}")
+    rest = none("alias_type string, normalized_alias string"), none("weekday int, sequence int, opens_minute int, closes_minute int, closes_next_day boolean"), none("review_count long, latest_date string, rated_count long, rating_sum_bp long")
+    of = lambda m: {r.store_id: r.menus and [x.asDict() for x in r.menus] for r in C.nest(stores, m, None, *rest).collect()}
+    assert of(menus) == {"s1": [{"category": "a", "aliases": []}, {"category": "b", "aliases": []}], "s2": None}
+    assert of(menus.select("store_id")) == {"s1": [{"aliases": []}], "s2": None}
+
+
 def test_aliases_of_an_item_are_those_of_its_menus(spark):
     from wayfern.operators import candidates as C
 

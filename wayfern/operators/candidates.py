@@ -77,7 +77,7 @@ def public_stores(stores: DataFrame, bakeries: DataFrame, links: DataFrame) -> D
     """Published active stores of published bakeries with an address and a place, linked to the snapshot.  ``links``: the snapshot's ``store_id``."""
     good = (F.col("catalog_status") == "published") & (F.col("business_status") == "active") & (F.col("normalized_address") != "") & F.col("latitude_e7").isNotNull() & F.col("longitude_e7").isNotNull()
     published = bakeries.where(F.col("catalog_status") == "published").select("bakery_id")
-    return stores.where(good).join(published, "bakery_id", "left_semi").join(links.select("store_id"), "store_id", "left_semi")
+    return stores.where(good).join(published, "bakery_id", "left_semi").join(links.select("store_id").distinct(), "store_id", "left_semi")
 
 
 def review_aggregates(reviews: DataFrame) -> DataFrame:
@@ -87,17 +87,27 @@ def review_aggregates(reviews: DataFrame) -> DataFrame:
     )
 
 
-def nest(stores: DataFrame, menus: DataFrame, menu_aliases: DataFrame, aliases: DataFrame, hours: DataFrame, aggregates: DataFrame) -> DataFrame:
+#: What a candidate holds of a menu, but for its aliases.
+MENU = ("menu_id", "name", "normalized_name", "category", "evidence_id")
+
+
+def nest(stores: DataFrame, menus: DataFrame, menu_aliases: DataFrame | None, aliases: DataFrame, hours: DataFrame, aggregates: DataFrame) -> DataFrame:
     """Candidate rows; facts of unknown stores are ignored here and counted by ``orphans``.
 
-    ``menu_aliases``: ``normalized_alias`` by ``menu_id``, or by ``item_id`` where ``menus`` has one too, as menus of one item have the same aliases.
+    ``menu_aliases``: ``normalized_alias`` by ``menu_id``, or by ``item_id`` where ``menus`` has one too, as menus of one item have the same aliases; None: there are none.
+    ``menus`` may lack columns of ``MENU`` that the caller does not ask for, and so do the candidates then; without ids their menus are the different ones.
     """
-    key = "item_id" if "item_id" in menu_aliases.columns else "menu_id"
-    by_menu = menu_aliases.groupBy(key).agg(F.array_sort(F.collect_list("normalized_alias")).alias("menu_alias_list"))
-    m = menus.join(by_menu, key, "left").withColumn("menu_alias_list", F.coalesce("menu_alias_list", F.array().cast("array<string>")))
-    m = m.groupBy("store_id").agg(F.array_sort(F.collect_list(F.struct("menu_id", "name", "normalized_name", "category", F.col("evidence_id"), F.col("menu_alias_list").alias("aliases")))).alias("menus"))
-    a = aliases.groupBy("store_id").agg(F.array_sort(F.collect_list(F.struct("alias_type", "normalized_alias"))).alias("aliases"))
-    h = hours.groupBy("store_id").agg(F.array_sort(F.collect_list(F.struct("weekday", "sequence", "opens_minute", "closes_minute", "closes_next_day"))).alias("hours"))
+    none, held = F.array().cast("array<string>"), [c for c in MENU if c in menus.columns]
+    if menu_aliases is None:
+        m = menus.withColumn("menu_alias_list", none)
+    else:
+        key = "item_id" if "item_id" in menu_aliases.columns else "menu_id"
+        by_menu = menu_aliases.groupBy(key).agg(F.sort_array(F.collect_list("normalized_alias")).alias("menu_alias_list"))
+        m = menus.join(by_menu, key, "left").withColumn("menu_alias_list", F.coalesce("menu_alias_list", none))
+    collect = F.collect_list if "menu_id" in held else F.collect_set
+    m = m.groupBy("store_id").agg(F.sort_array(collect(F.struct(*held, F.col("menu_alias_list").alias("aliases")))).alias("menus"))
+    a = aliases.groupBy("store_id").agg(F.sort_array(F.collect_list(F.struct("alias_type", "normalized_alias"))).alias("aliases"))
+    h = hours.groupBy("store_id").agg(F.sort_array(F.collect_list(F.struct("weekday", "sequence", "opens_minute", "closes_minute", "closes_next_day"))).alias("hours"))
     out = stores.join(m, "store_id", "left").join(a, "store_id", "left").join(h, "store_id", "left").join(aggregates, "store_id", "left")
     zero = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("review_count", "rated_count", "rating_sum_bp")}
     return out.withColumns(zero)
@@ -254,7 +264,7 @@ def representative_menus(q: Query, n: int = 3) -> Column:
     """Up to ``n`` menus: explicit matches, then included categories, then by name and id."""
     included = lambda m: m["category"].isin(*q.include) if q.include else F.lit(False)
     keyed = F.transform("menus", lambda m: F.struct((~_menu_match(m, q.terms)).alias("a"), (~included(m)).alias("b"), m["normalized_name"].alias("c"), m["menu_id"].alias("menu_id"), truncate(m["name"], 200).alias("name"), m["category"].alias("category"), m["evidence_id"].alias("evidence_id")))
-    return F.transform(F.slice(F.array_sort(keyed), 1, n), lambda m: F.struct(m["menu_id"], m["name"], m["category"], m["evidence_id"]))
+    return F.transform(F.slice(F.sort_array(keyed), 1, n), lambda m: F.struct(m["menu_id"], m["name"], m["category"], m["evidence_id"]))
 
 
 def _codes(*pairs: tuple[Column, str]) -> Column:

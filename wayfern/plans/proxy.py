@@ -6,7 +6,10 @@ check by another engine starts from the same rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.tables import cut
 
@@ -46,15 +49,13 @@ VIEWS = {
 }
 
 
-#: The different keys of ``menus``.
-PAIRS = "(SELECT DISTINCT o_custkey, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
-#: The same rows by a shorter way: keys are made distinct before names are joined to them.
-NARROW = {
-    "menus": f"""
-        SELECT {STORE_ID.format('o_custkey')} AS store_id, 'menu_' || CAST(o_custkey AS STRING) || '_' || CAST(p_partkey AS STRING) AS menu_id,
-               p_name AS name, lower(replace(p_name, ' ', '')) AS normalized_name, p_brand AS category
-        FROM {PAIRS} JOIN (SELECT DISTINCT p_partkey, p_name, p_brand FROM part ) ON l_partkey = p_partkey""",
-}
+#: ``menus`` by a shorter way: keys are made distinct before names are joined to them, and texts are made of what is left.
+MENU_TEXTS = """
+        SELECT store_id, 'menu_' || CAST(o_custkey AS STRING) || '_' || CAST(l_partkey AS STRING) AS menu_id,
+               p_name AS name, lower(replace(p_name, ' ', '')) AS normalized_name, p_brand AS category, l_partkey AS item_id
+        FROM {rows}"""
+#: Rows of ``lineitem`` and ``orders`` that a task takes, where there are more than ``FEW`` of them.
+ROWS_A_TASK, FEW = 1_000_000, 16_000_000
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "labels", "conversations")
 
 
@@ -67,7 +68,9 @@ def view(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None
 
     Rows are made distinct by these columns then, and no wider ones are moved.
     """
-    text = NARROW.get(name, VIEWS[name]) if columns is None else VIEWS[name].replace("SELECT DISTINCT", "SELECT")
+    if name == "menus":
+        return _menus(spark, sf_dir, columns)
+    text = VIEWS[name]
     used = tables(spark, sf_dir, tuple(n for n in TABLES if f" {n} " in f"{text} ".replace("\n", " ")))
     for n in used:
         text = f"{text} ".replace(f"FROM {n} ", f"FROM {{{n}}} ").replace(f"FROM {n}\n", f"FROM {{{n}}}\n").replace(f"JOIN {n} ", f"JOIN {{{n}}} ")
@@ -75,16 +78,60 @@ def view(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None
     return out if columns is None else out.select(*columns).distinct()
 
 
+def dealer(*sized: DataFrame) -> Callable[[DataFrame, str], DataFrame]:
+    """Deals rows out by a key, to tasks that get more with the rows of ``sized``; few rows stay where they are.
+
+    By the session's number of partitions alone, the rows of one task would grow with the tables.
+    """
+    rows = sum(df.count() for df in sized)  # from the files' footers
+    tasks = -(-rows // ROWS_A_TASK)
+    return lambda df, key: df.repartition(tasks, key) if rows > FEW else df
+
+
+def _lines(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> tuple[DataFrame, Callable[[DataFrame, str], DataFrame]]:
+    """(o_custkey, l_partkey) of each line of an order, if given of the stores ``of`` (``k``), and the dealer of their number."""
+    used = tables(spark, sf_dir, ("orders", "lineitem"))
+    deal = dealer(*used.values())
+    orders = used["orders"] if of is None else used["orders"].join(of.select("k"), F.col("o_custkey") == F.col("k"), "left_semi")
+    lines = spark.sql("SELECT o_custkey, l_partkey FROM {l} JOIN {o} ON l_orderkey = o_orderkey", l=deal(used["lineitem"], "l_orderkey"), o=deal(orders, "o_orderkey"))
+    return lines, deal
+
+
+def _named(spark: SparkSession, sf_dir: str, keys: DataFrame, deal: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """``keys`` with the different names of their parts and their store, dealt by the store."""
+    part = deal(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand"), "p_partkey").distinct()
+    rows = spark.sql(f"SELECT {STORE_ID.format('o_custkey')} AS store_id, o_custkey, l_partkey, p_name, p_brand FROM {{keys}} JOIN {{part}} ON l_partkey = p_partkey", keys=keys, part=part)
+    return spark.sql(MENU_TEXTS, rows=deal(rows, "store_id"))
+
+
+def _menus(spark: SparkSession, sf_dir: str, columns: list[str] | None) -> DataFrame:
+    if columns is not None:
+        return menu_rows(spark, sf_dir, columns).distinct()
+    lines, deal = _lines(spark, sf_dir)
+    return _named(spark, sf_dir, deal(lines, "l_partkey").distinct(), deal).drop("item_id")
+
+
+def menu_rows(spark: SparkSession, sf_dir: str, columns: list[str], of: DataFrame | None = None) -> DataFrame:
+    """``columns`` of ``menus``, if given of the stores ``of`` only; a row may come more than once, for callers that collect the different ones."""
+    lines, deal = _lines(spark, sf_dir, of)
+    keys = deal(lines, "l_partkey")
+    if columns != ["store_id"]:
+        return _named(spark, sf_dir, keys, deal).select(*columns)
+    part = deal(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey"), "p_partkey")
+    buyers = keys.join(part, F.col("l_partkey") == F.col("p_partkey"), "left_semi").select("o_custkey")
+    return deal(buyers, "o_custkey").distinct().select(F.expr(STORE_ID.format("o_custkey")).alias("store_id"))
+
+
 def menu_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The different (o_custkey, l_partkey) of ``menus``, written once: what a query takes from them more than once is not joined again."""
-    used = tables(spark, sf_dir, ("orders", "lineitem"))
-    return cut(spark.sql("SELECT DISTINCT o_custkey, l_partkey FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey", **used), "menu-keys")
+    lines, deal = _lines(spark, sf_dir)
+    return cut(deal(lines, "l_partkey").distinct(), "menu-keys")
 
 
 def menus_of(spark: SparkSession, sf_dir: str, keys: DataFrame) -> DataFrame:
     """``menus`` over written ``menu_keys``, with the part's key as ``item_id``."""
-    text = NARROW["menus"].replace(PAIRS, "{keys}").replace("FROM part )", "FROM {part})").replace("p_brand AS category", "p_brand AS category, p_partkey AS item_id")
-    return spark.sql(text, keys=keys, **tables(spark, sf_dir, ("part",)))
+    deal = dealer(keys)
+    return _named(spark, sf_dir, deal(keys, "l_partkey"), deal)
 
 
 def ctes(*names: str) -> str:
