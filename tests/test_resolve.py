@@ -58,6 +58,35 @@ def test_candidates_of_dissimilar_names_are_no_pairs(spark):
     assert sorted(tuple(r) for r in resolve.similar_names(names).collect()) == [("가", "가"), ("가나다라마", "가나다라마"), ("가나다라마", "가나다라마바"), ("가나다라마바", "가나다라마"), ("가나다라마바", "가나다라마바"), ("가나바사아", "가나바사아")]
 
 
+def test_each_pair_comes_once_from_chunks_of_blocks(spark, monkeypatch):
+    """Blocks of several chunks and tasks, values that are null or empty, names of one brand: every pair of all, once, with all its evidence."""
+    monkeypatch.setattr(resolve, "CHUNK", 5)
+    monkeypatch.setattr(resolve, "PAIRS_A_TASK", 200)
+    rnd = random.Random(11)
+    rows = []
+    for i in range(150):
+        name, brand = "".join(rnd.choices("가나다라", k=rnd.randint(1, 3))), "".join(rnd.choices("가나다𐍈", k=rnd.randint(1, 6)))
+        point = (375000000 + rnd.randint(0, 40) * 2500, 1270000000 + rnd.randint(0, 9) * 3000) if rnd.random() < 0.8 else (None, None)
+        r = candidate(f"{i:03d}", rnd.choice([name, None]), brand, rnd.choice(["", None, *(f"서울특별시 강남구 {k}" for k in range(25))]), rnd.choice([None, "", *(f"02{k:08d}" for k in range(25))]), *point)
+        rows.append(r)
+    df = spark.createDataFrame(rows, SCHEMA)
+    every = spark.createDataFrame([*itertools.combinations(sorted(r[0] for r in rows), 2)], "a string, b string")
+    got, want = resolve.matched_pairs(df), resolve.evaluate_pairs(every, df)
+    assert got.columns == want.columns
+    key = lambda x: sorted(x.collect(), key=lambda r: (r.a, r.b))
+    assert key(got) == key(want) and {r.status for r in key(got)} >= {"separate", "admin_review"}
+
+
+def test_pairs_are_not_made_distinct(spark):
+    """All of a thousand stores share name, address, phone and place: half a million pairs, none of which is shuffled."""
+    base = spark.createDataFrame([candidate(0, phone="0212345678")], SCHEMA).drop("candidate_id")
+    df = base.crossJoin(spark.range(1000).select(F.format_string("c%04d", "id").alias("candidate_id")))
+    got = resolve.candidate_pairs(df)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [a" not in plan and "Distinct" not in plan
+    assert got.count() == 499_500 and resolve.matched_pairs(df).groupBy("status", "score_bp").count().collect() == [("auto_merge", 10000, 499_500)]
+
+
 def test_decisions_equal_those_of_all_pairs(spark):
     rnd = random.Random(8)
     rows = []

@@ -4,9 +4,11 @@ A pair is a candidate if addresses or phones are equal, points are within
 100 m, or names are similar by 7,500 basis points.  Each of these has a block
 that every such pair shares: the address, the phone, the name, neighbouring
 cells wider than 100 m, and two similar brand names, which are found among the
-distinct names.  Pairs from all blocks are made distinct, then tested exactly.
+distinct names.  A pair comes from the first of its blocks only, so that pairs
+are neither shuffled nor made distinct; blocks are cut into chunks that meet two
+by two, so that a large one is dealt over tasks.
 
-``candidate_pairs`` and ``evaluate_pairs`` give evidence pair by pair, so their
+``matched_pairs``, ``candidate_pairs`` and ``evaluate_pairs`` give evidence pair by pair, so their
 rows grow with the square of a name's, phone's or address's stores.  What a
 catalog needs of all those pairs is less: which candidates merge, and which are
 in any pair under review.  ``decide`` finds just that from classes of equal
@@ -16,6 +18,7 @@ candidates and from the two extremes of each group.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,18 +33,16 @@ NEAR_M, MATCH_M = 100, 50
 SIMILAR, MERGE, REVIEW = 7500, 9200, 7500
 #: Cell width in 1e-7 degrees: over 101 m of latitude, and of longitude up to 60 degrees.
 CELL_LAT, CELL_LON = 9_200, 18_400
+#: Words of 64 bits in which two sets of bigrams without a common bit have no common bigram.
+WORDS = 4
+#: Members of a block that meet those of another chunk in one place, at most on average; pairs that a task makes.
+CHUNK, PAIRS_A_TASK = 256, 4_000_000
 
 
 def _side(df: DataFrame, side: str) -> DataFrame:
     return df.select(*(F.col(c).alias(f"{side}_{c}") for c in df.columns))
 
 
-def _block(df: DataFrame, key: Column, other: Column | None = None) -> DataFrame:
-    a = df.select(F.col("candidate_id").alias("a"), key.alias("k")).where(F.col("k").isNotNull())
-    b = df.select(F.col("candidate_id").alias("b"), (key if other is None else other).alias("k")).where(F.col("k").isNotNull())
-    return a.join(b, "k").where(F.col("a") < F.col("b")).select("a", "b")
-
-
 def similar_names(names: DataFrame) -> DataFrame:
     """``n``, ``m``: each two of the names ``n`` that are similar by their bigrams, both ways round and a name with itself.
 
@@ -59,33 +60,114 @@ def similar_names(names: DataFrame) -> DataFrame:
     return found.unionByName(found.where(F.col("n") < F.col("m")).select(F.col("m").alias("n"), F.col("n").alias("m")))
 
 
+def _meet(blocks: dict[str, tuple[DataFrame, DataFrame | None, Column]]) -> DataFrame:
+    """Each two members, once, of what meets and passes the test; ``l_*`` and ``r_*``, in no order of ids.
+
+    ``blocks``: by name, candidates with their block ``k``; blocks (k, m) that
+    meet, or None if each meets itself only; the test.  A block is cut into
+    chunks, which meet each other and themselves, and tasks get more with the
+    pairs that are to be made.
+    """
+    every = reduce(DataFrame.unionByName, (keyed.select(F.lit(name).alias("block"), "k") for name, (keyed, _, _) in blocks.items()))
+    sizes = cut(every.groupBy("block", "k").agg(F.count(F.lit(1)).alias("n")).withColumn("g", F.ceil(F.col("n") / CHUNK).cast("int")), "blocks")
+    same = F.col("k") == F.col("m")
+    meets = []
+    for name, (_, others, _) in blocks.items():
+        size = sizes.where(F.col("block") == name)
+        if others is None:
+            found = size.where(F.col("n") > 1).select("block", "k", F.col("k").alias("m"), "n", F.col("n").alias("o"), "g", F.col("g").alias("h"))
+        else:
+            found = others.join(size, "k").join(size.select(F.col("k").alias("m"), F.col("n").alias("o"), F.col("g").alias("h")), "m").where(~same | (F.col("n") > 1))
+        meets.append(found)
+    meets = cut(reduce(DataFrame.unionByName, meets), "meets")
+    made = dict(meets.groupBy("block").agg(F.sum(F.col("n") * F.col("o") / F.when(same, 2).otherwise(1))).collect())
+    out = [_meeting(keyed, sizes.where(F.col("block") == name).drop("block"), meets.where(F.col("block") == name), int(made.get(name, 0) // PAIRS_A_TASK) + 1, test) for name, (keyed, _, test) in blocks.items()]
+    return reduce(DataFrame.unionByName, out)
+
+
+def _meeting(keyed: DataFrame, sizes: DataFrame, meets: DataFrame, tasks: int, test: Column) -> DataFrame:
+    dealt = F.pmod(F.xxhash64("candidate_id"), F.coalesce("g", F.lit(1))).cast("int")
+    members = keyed.join(sizes.where(F.col("g") > 1).select("k", "g"), "k", "left").withColumn("i", dealt).drop("g")
+    same = F.col("k") == F.col("m")
+    # of one block, the chunks from its own on; of two, all
+    meets = meets.select("k", "m", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("i"), "h").select("k", "i", "m", F.explode(F.sequence(F.when(same, F.col("i")).otherwise(0), F.col("h") - 1)).alias("j"))
+    left = _side(members, "l").join(meets, (F.col("l_k") == F.col("k")) & (F.col("l_i") == F.col("i"))).withColumn("own", same & (F.col("i") == F.col("j"))).drop("k", "i", "l_k", "l_i")
+    right = _side(members, "r")
+    if tasks > 1:
+        left, right = left.repartition(tasks, "m", "j"), right.repartition(tasks, "r_k", "r_i")
+    once = ~F.col("own") | (F.col("l_candidate_id") < F.col("r_candidate_id"))
+    return left.join(right, (F.col("m") == F.col("r_k")) & (F.col("j") == F.col("r_i")) & once & test).drop("m", "j", "own", "r_k", "r_i")
+
+
+def _same(column: str) -> Column:
+    return F.coalesce(F.col(f"l_{column}") == F.col(f"r_{column}"), F.lit(False))
+
+
+def _cell(dy: int = 0, dx: int = 0) -> Column:
+    """The cell of a point, or one beside it; null without a point."""
+    return F.concat_ws(":", F.floor(F.col("latitude_e7") / CELL_LAT) + dy, F.floor(F.col("longitude_e7") / CELL_LON) + dx)
+
+
+def _met(candidates: DataFrame) -> DataFrame:
+    """``a``, ``b`` (a < b) and both sides (``l_*``, ``r_*``, in no order) of each pair that passes the candidate test, once.
+
+    A pair comes from the first that it shares of name, address, phone, place and
+    similar brand; a later block refuses what an earlier one has.
+    """
+    rows = cut(_prepared(candidates.select("candidate_id", *EVIDENCE).repartition("candidate_id")), "candidates")
+    name, phone = _same("normalized_name"), _same("normalized_phone")
+    street = _same("normalized_address") & (F.col("l_normalized_address") != "")
+    # as a lambda's argument the long distance stays out of the join's generated code, which the JVM compiles up to 8,000 bytes
+    # only; with it there, each pair that was tested took some 20 microseconds
+    near = _within(NEAR_M, F.get(F.transform(F.array(_distance()), lambda m: m), F.lit(0)))
+    block = lambda key, known: rows.where(known).withColumn("k", key)
+    # a cell meets itself and half of those around it, the others meet it
+    placed = block(_cell(), F.col("latitude_e7").isNotNull() & F.col("longitude_e7").isNotNull())
+    around = placed.select("k", F.array(*(_cell(dy, dx) for dy, dx in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1)))).alias("m")).distinct().withColumn("m", F.explode("m"))
+    # kinds are the different (brand, name); two of one name share the block of it
+    kinds = block(F.to_json(F.struct("normalized_brand_name", "normalized_name")), F.col("normalized_brand_name").isNotNull())
+    kind = kinds.select("k", F.col("normalized_brand_name").alias("n"), F.col("normalized_name").alias("name")).distinct()
+    alike = kind.join(similar_names(kind.select("n")).withColumnRenamed("m", "like"), "n").drop("n").join(kind.select(F.col("k").alias("m"), F.col("n").alias("like"), F.col("name").alias("its")), "like")
+    alike = alike.where((F.col("k") <= F.col("m")) & ~F.coalesce(F.col("name") == F.col("its"), F.lit(False))).select("k", "m")
+    out = _meet({
+        "name": (block(F.col("normalized_name"), F.col("normalized_name").isNotNull()), None, F.lit(True)),
+        "address": (block(F.col("normalized_address"), F.col("normalized_address") != ""), None, ~name),
+        "phone": (block(F.col("normalized_phone"), F.col("normalized_phone").isNotNull()), None, ~name & ~street),
+        "place": (placed, around, ~name & ~street & ~phone & near),
+        "brand": (kinds, alike, ~name & ~street & ~phone & ~near),
+    })
+    return out.withColumns({"a": F.least("l_candidate_id", "r_candidate_id"), "b": F.greatest("l_candidate_id", "r_candidate_id")})
+
+
 def candidate_pairs(candidates: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, that share a block."""
-    cell_lat = F.floor(F.col("latitude_e7") / CELL_LAT)
-    cell_lon = F.floor(F.col("longitude_e7") / CELL_LON)
-    cell = F.when(F.col("latitude_e7").isNotNull() & F.col("longitude_e7").isNotNull(), F.struct(cell_lat.alias("y"), cell_lon.alias("x")))
-    steps = F.array(*(F.struct((cell_lat + dy).alias("y"), (cell_lon + dx).alias("x")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))
-    near = F.explode(F.when(cell.isNotNull(), steps))
-    similar = similar_names(candidates.select(F.col("normalized_brand_name").alias("n")))
-    brand = candidates.select("candidate_id", F.col("normalized_brand_name").alias("n"))
-    by_name = brand.select(F.col("candidate_id").alias("a"), "n").join(similar, "n").join(brand.select(F.col("candidate_id").alias("b"), F.col("n").alias("m")), "m").where(F.col("a") < F.col("b")).select("a", "b")
-    blocks = [
-        _block(candidates, F.when(F.col("normalized_address") != "", F.col("normalized_address"))),
-        _block(candidates, F.col("normalized_phone")),
-        _block(candidates, F.col("normalized_name")),
-        _block(candidates, cell, near),
-        by_name,
-    ]
-    out = blocks[0]
-    for b in blocks[1:]:
-        out = out.unionByName(b)
-    return out.distinct()
+    """Distinct (a, b), a < b, that pass the candidate test."""
+    return _met(candidates).select("a", "b")
+
+
+def matched_pairs(candidates: DataFrame, version: str = "v1") -> DataFrame:
+    """Evidence, score and class of each pair that passes the candidate test: ``evaluate_pairs`` of ``candidate_pairs``, without a join of pairs."""
+    return _evidence(_met(candidates), version)
 
 
 def _dice(a: Column | str, b: Column | str) -> Column:
     return F.floor(F.lit(20000) * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b)) + 0.5).cast("int")
 
 
+def _codes(x: Column) -> Column:
+    """``bigrams`` as numbers, one for each two characters: comparing these takes a fraction of the time."""
+    point = lambda g, i: F.when(F.length(g) >= i, F.ascii(F.substring(g, i, 1)) + 1).otherwise(0).cast("long")
+    return F.transform(bigrams(x), lambda g: F.when(g.isNotNull(), point(g, 1) * 2**21 + point(g, 2)))
+
+
+def _prepared(candidates: DataFrame) -> DataFrame:
+    """With what every pair of a candidate needs: its brand's bigrams, these as bits, and its point on the unit sphere."""
+    rows = candidates.withColumn("grams", _codes(F.col("normalized_brand_name")))
+    bit = lambda g: F.pmod(F.xxhash64(g), F.lit(64 * WORDS))
+    word = lambda w: F.aggregate(F.filter("grams", lambda g: F.floor(bit(g) / 64) == w), F.lit(0).cast("long"), lambda x, g: x.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (bit(g) % 64).cast("int"))))
+    lat, lon = F.radians(F.col("latitude_e7") / geo.E7), F.radians(F.col("longitude_e7") / geo.E7)
+    return rows.withColumns({f"g{w}": word(w) for w in range(WORDS)} | {"x": F.cos(lat) * F.cos(lon), "y": F.cos(lat) * F.sin(lon), "z": F.sin(lat)})
+
+
 def similarity(l_name: Column, r_name: Column, l_brand: Column, r_brand: Column) -> Column:
     """Basis points of shared bigrams of the brand names; 10,000 for equal names."""
     return F.when(l_name == r_name, 10000).otherwise(_dice(bigrams(l_brand), bigrams(r_brand)))
@@ -93,8 +175,34 @@ def similarity(l_name: Column, r_name: Column, l_brand: Column, r_brand: Column)
 
 def evaluate_pairs(pairs: DataFrame, candidates: DataFrame, version: str = "v1") -> DataFrame:
     """Evidence, score and class of each pair that passes the candidate test."""
-    rows = pairs.join(_side(candidates, "l"), F.col("a") == F.col("l_candidate_id")).join(_side(candidates, "r"), F.col("b") == F.col("r_candidate_id"))
-    metres = geo.haversine_m(F.col("l_latitude_e7"), F.col("l_longitude_e7"), F.col("r_latitude_e7"), F.col("r_longitude_e7"))
+    rows = _prepared(candidates)
+    rows = _evidence(pairs.join(_side(rows, "l"), F.col("a") == F.col("l_candidate_id")).join(_side(rows, "r"), F.col("b") == F.col("r_candidate_id")), version)
+    return rows.where(F.col("address_matched") | F.coalesce(F.col("distance_m") <= NEAR_M, F.lit(False)) | F.col("phone_matched") | (F.col("similarity_bp") >= SIMILAR))
+
+
+def _metres() -> Column:
+    return geo.haversine_m(F.col("l_latitude_e7"), F.col("l_longitude_e7"), F.col("r_latitude_e7"), F.col("r_longitude_e7"))
+
+
+def _distance() -> Column:
+    """Metres in hundredths, null if a place is unknown."""
+    return F.floor(_metres() * 100 + 0.5) / 100
+
+
+def _within(most: int, metres: Column) -> Column:
+    """Whether ``metres`` are ``most`` or less: the chord, which is no longer, refuses most pairs before they are computed."""
+    chord = sum(((F.col(f"l_{c}") - F.col(f"r_{c}")) * (F.col(f"l_{c}") - F.col(f"r_{c}")) for c in "xyz"), F.lit(0.0))
+    return F.coalesce((chord <= ((most + 0.5) / geo.EARTH_M) ** 2) & (metres <= most), F.lit(False))
+
+
+def _similarity() -> Column:
+    """``similarity`` of prepared sides."""
+    shared = reduce(Column.bitwiseOR, (F.col(f"l_g{w}").bitwiseAND(F.col(f"r_g{w}")) for w in range(WORDS)))
+    return F.when(F.col("l_normalized_name") == F.col("r_normalized_name"), 10000).when(shared == 0, 0).otherwise(_dice("l_grams", "r_grams"))
+
+
+def _evidence(rows: DataFrame, version: str) -> DataFrame:
+    """Evidence, score and class of each row of two prepared sides."""
     address = (F.col("l_normalized_address") != "") & (F.col("r_normalized_address") != "")
     phone = F.col("l_normalized_phone").isNotNull() & F.col("r_normalized_phone").isNotNull()
     rows = rows.select(
@@ -102,13 +210,12 @@ def evaluate_pairs(pairs: DataFrame, candidates: DataFrame, version: str = "v1")
         "b",
         (address & (F.col("l_normalized_address") == F.col("r_normalized_address"))).alias("address_matched"),
         (address & (F.col("l_normalized_address") != F.col("r_normalized_address"))).alias("address_conflict"),
-        F.coalesce(metres <= MATCH_M, F.lit(False)).alias("near"),
-        (F.floor(metres * 100 + 0.5) / 100).alias("distance_m"),
+        _within(MATCH_M, _metres()).alias("near"),
+        _distance().alias("distance_m"),
         F.coalesce(phone & (F.col("l_normalized_phone") == F.col("r_normalized_phone")), F.lit(False)).alias("phone_matched"),
         F.coalesce(phone & (F.col("l_normalized_phone") != F.col("r_normalized_phone")), F.lit(False)).alias("phone_conflict"),
-        similarity(F.col("l_normalized_name"), F.col("r_normalized_name"), F.col("l_normalized_brand_name"), F.col("r_normalized_brand_name")).alias("similarity_bp"),
+        _similarity().alias("similarity_bp"),
     )
-    rows = rows.where(F.col("address_matched") | F.coalesce(F.col("distance_m") <= NEAR_M, F.lit(False)) | F.col("phone_matched") | (F.col("similarity_bp") >= SIMILAR))
     points = lambda c, n: F.when(F.col(c), n).otherwise(0)
     score = points("address_matched", 4000) + points("near", 2500) + points("phone_matched", 2000) + F.floor(F.col("similarity_bp") * 0.15 + 0.5).cast("int")
     conflict = F.col("address_conflict") | F.col("phone_conflict")
